@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.operators import growth, revenue, segments, usage
+from tierscope.operators import growth, quality, report, revenue, segments, usage
+from tierscope.functions.expr import FREE_TO_PAID, PAID_UPGRADE
 from tierscope.sources.base_table import load_base_table
 
 OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -35,6 +36,37 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m17_at_risk_accounts": usage.at_risk_accounts,
     "m18_high_opportunity_clients": segments.high_opportunity_clients,
     "m19_potential_referrals": segments.potential_referrals,
+    # report frames over the metric operators (pandas steps in the reference)
+    "a01_kpi_growth": lambda df: report.kpi_growth(revenue.latest_snapshot(df)),
+    "a03_arr_moving_average": lambda df: report.moving_average(revenue.monthly_metrics(df)),
+    "a04_arr_pivot_by_plan": lambda df: report.pivot_by_plan(revenue.arr_by_plan(df)),
+    "a06_arr_stacked_by_plan": lambda df: report.stacked_by_plan(revenue.arr_by_plan(df)),
+    "a07_plan_mix_latest": lambda df: report.plan_mix_latest(revenue.plan_distribution(df)),
+    "a09_top_countries_bar": lambda df: report.top_by_value(
+        revenue.revenue_by_geography(df), "country"),
+    "a11_top_customers_table": lambda df: report.top_customers_table(revenue.top_customers(df)),
+    "a12_new_customers_table": lambda df: report.new_customers_table(
+        revenue.new_customers_of_note(df)),
+    "a13_power_users_table": lambda df: report.usage_table(usage.power_users(df)),
+    "a13_at_risk_table": lambda df: report.usage_table(usage.at_risk_accounts(df)),
+    "a13_opportunity_table": lambda df: report.opportunity_table(
+        segments.high_opportunity_clients(df)),
+    "a13_industry_table": lambda df: report.breakdown_table(
+        revenue.industry_breakdown(df), "industry"),
+    "a14_referrals_free_to_paid": lambda df: report.referral_split(
+        segments.potential_referrals(df), FREE_TO_PAID),
+    "a14_referrals_paid_upgrade": lambda df: report.referral_split(
+        segments.potential_referrals(df), PAID_UPGRADE),
+    "a15_referral_class_counts": lambda df: report.referral_class_counts(
+        segments.potential_referrals(df)),
+    "a20_mau_long": lambda df: report.mau_long(usage.mau_metrics(df)),
+    # data-quality checks (stated only in prose in the reference)
+    "r01_profile": quality.profile,
+    "r02_completeness": quality.completeness,
+    "r03_free_plan_with_arr": quality.free_plan_with_arr,
+    "r04_duplicate_keys": quality.duplicate_keys,
+    "r04_month_gaps": quality.month_gaps,
+    "r04_stopped_customers": quality.stopped_customers,
 }
 
 
