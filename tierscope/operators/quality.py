@@ -35,15 +35,25 @@ def profile(df: DataFrame) -> DataFrame:
 def completeness(df: DataFrame, columns: tuple[str, ...] = ("country", "industry")) -> DataFrame:
     """Per column, NULL and blank counts and the missing share, over all
     rows (``scope = 'all'``) and per plan (``scope = 'plan'``, ``plan`` NULL
-    for rows with no plan). One pass with ROLLUP, then unpivot."""
+    for rows with no plan).
+
+    One aggregation per plan; the overall row is a global aggregate of those
+    few rows (so an empty table still gets its overall row, as SQL's ROLLUP
+    gives, where Spark's rollup would give none) and reuses their shuffle.
+    """
     aggs = [F.count("*").alias("rows")]
     for c in columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"),
                  F.count_if(F.col(c) == "").alias(f"{c}__blank")]
-    g = df.rollup("plan").agg(*aggs, F.grouping("plan").alias("g"))
+    per_plan = df.groupBy("plan").agg(*aggs).withColumn("scope", F.lit("plan"))
+    measures = [a for a in per_plan.columns if a not in ("plan", "scope")]
+    overall = per_plan.agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m)
+                             for m in measures]) \
+        .select(F.lit(None).cast("string").alias("plan"), *measures, F.lit("all").alias("scope"))
+    g = per_plan.unionByName(overall)
     stack = ", ".join(f"'{c}', `{c}__null`, `{c}__blank`" for c in columns)
     long = g.selectExpr(
-        "CASE WHEN g = 1 THEN 'all' ELSE 'plan' END AS scope", "plan", "rows",
+        "scope", "plan", "rows",
         f"stack({len(columns)}, {stack}) AS (column_name, null_count, blank_count)")
     return long.select(
         "scope", "plan", "column_name", "rows", "null_count", "blank_count",

@@ -104,7 +104,10 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     """
     latest = max_month(df)
     prev = df.filter(F.col("month_date") < latest).select(F.max("month_date")).scalar()
-    per_month = (df.filter(F.col("month_date").isin(latest, prev) & F.col("is_active"))
+    # Two equalities rather than IN (latest, prev): Spark 4.1 fails to push an
+    # IN of scalar-subquery DATE values into a parquet scan of a data column.
+    in_two = (F.col("month_date") == latest) | (F.col("month_date") == prev)
+    per_month = (df.filter(in_two & F.col("is_active"))
                  .groupBy("month_date")
                  .agg(F.count_distinct("id").alias("n"), F.sum(F.col("annual_recurring_revenue")).alias("s")))
     is_latest = F.col("month_date") == latest
