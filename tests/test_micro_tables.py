@@ -63,6 +63,11 @@ def _micro_tables():
     t["first_seen"] = [row(1, "2023-01-31", created="2023-01-10", first_paid=None),
                        row(1, "2023-02-28", created="2023-01-10", first_paid="2023-02-28"),
                        row(2, "2023-02-28", created="2023-02-03", first_paid="2023-02-28")]
+    # plan names outside the five tiers: MAX(plan) by text must still see them
+    t["odd_plans"] = [row(1, M_END[k], plan=p, e28=300, created="2023-01-01")
+                      for k, p in enumerate(("Free", "Zeta", "Top"))] + \
+        [row(2, M_END[k], plan=p, e28=300, created="2023-01-01")
+         for k, p in enumerate(("Low", "Enterprise", "Middle", ""))]
     return t
 
 
@@ -207,6 +212,12 @@ def test_duplicate_keys(micro):
                                                                                 (2, 2)]
 
 
+def test_unknown_plan_names_in_text_max(micro):
+    df, _ = micro["odd_plans"]
+    refs = {r.customer_id: r.ending_plan_name for r in segments.potential_referrals(df).collect()}
+    assert refs == {1: "Zeta", 2: "Middle"}
+
+
 def test_distinct_on_takes_earliest_row(micro):
     df, _ = micro["first_seen"]
     out = [tuple(r) for r in growth.new_customers(df).collect()]

@@ -117,3 +117,38 @@ def nullif_blank(c) -> Column:
     """NULL for NULL or '' (the reference treats both as missing)."""
     c = col(c)
     return F.when(c.isNotNull() & (c != ""), c)
+
+
+# Known plan names in text (binary collation) order: MAX(plan) over known
+# names is the name with the largest position in this list.
+PLAN_TEXT_ORDER = sorted(PLAN_ORDER)
+
+
+def plan_text_code(plan="plan") -> Column:
+    """1-based position of a known plan name in text order; NULL otherwise.
+
+    Lets MAX(plan)/MIN(plan) by text run as an integer hash aggregate instead
+    of a sort-based aggregate over strings."""
+    p = col(plan)
+    expr = None
+    for i, name in enumerate(PLAN_TEXT_ORDER, start=1):
+        expr = F.when(p == name, F.lit(i)) if expr is None else expr.when(p == name, F.lit(i))
+    return expr
+
+
+def _name_of(code, names) -> Column:
+    # A CASE chain, not element_at(array(...), code): Spark 4.1 mis-evaluates
+    # element_at over a literal array when the index is NULL.
+    c = col(code)
+    expr = None
+    for i, name in enumerate(names, start=1):
+        expr = F.when(c == i, F.lit(name)) if expr is None else expr.when(c == i, F.lit(name))
+    return expr
+
+
+def plan_from_text_code(code) -> Column:
+    return _name_of(code, PLAN_TEXT_ORDER)
+
+
+def plan_from_rank(rank) -> Column:
+    return _name_of(rank, PLAN_ORDER)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import PLAN_ORDER, pct, plan_rank
+from tierscope.functions.expr import PLAN_ORDER, pct, plan_from_rank, plan_rank
 from tierscope.operators.latest import max_month
 
 
@@ -84,7 +84,7 @@ def free_plan_with_arr(df: DataFrame, plan: str = "Free") -> DataFrame:
             .groupBy("id", "month_date", "annual_recurring_revenue")
             .agg(F.max(score).alias("score")))
     rank = (F.col("score") % 8).cast("int")
-    name = F.element_at(F.array(*[F.lit(p) for p in PLAN_ORDER]), rank)
+    name = plan_from_rank(rank)
     return (best.select(F.col("id").alias("customer_id"), "month_date",
                         F.col("annual_recurring_revenue").cast("double").alias("arr"),
                         F.lit(plan).alias("plan"), name.alias("suggested_plan"))

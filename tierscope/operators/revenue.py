@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (desc_pg, exact_sum, plan_sort_key, round_avg,
-                                      whole_months, years_from_months)
+from tierscope.functions.expr import (desc_pg, exact_sum, plan_sort_key, plan_text_code,
+                                      round_avg, whole_months, years_from_months)
+from tierscope.operators.common import text_max_plan
 from tierscope.operators.latest import latest_rows, max_month, nth_latest_month
 from tierscope.sources.schema import MONEY
 
@@ -148,12 +149,14 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3) ->
     cutoff = nth_latest_month(df, recent_months)
     first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
                   .filter(F.col("first_seen") >= cutoff))
-    recent_active = df.filter((F.col("month_date") >= cutoff) & F.col("is_active")) \
-        .select("id", "month_date", "plan", F.col("annual_recurring_revenue").alias("arr"))
-    g = (recent_active.join(first_seen, "id")
-         .groupBy("id", "first_seen")
-         .agg(F.max("plan").alias("plan"), F.sum("arr").alias("arr_sum"),
+    recent_active = (df.filter((F.col("month_date") >= cutoff) & F.col("is_active"))
+                     .select("id", "month_date", "plan", plan_text_code().alias("plan_code"),
+                             F.col("annual_recurring_revenue").alias("arr"))
+                     .join(first_seen, "id"))
+    g = (recent_active.groupBy("id", "first_seen")
+         .agg(F.max("plan_code").alias("plan_code"), F.sum("arr").alias("arr_sum"),
               F.max("month_date").alias("last_month")))
+    g = text_max_plan(g, recent_active, ["id", "first_seen"], "plan_code", "plan")
     return (g.orderBy(desc_pg("arr_sum"), F.col("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),

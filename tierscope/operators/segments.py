@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import (FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, desc_pg,
-                                      exact_sum, plan_rank, round_avg, whole_months)
+                                      exact_sum, plan_from_rank, plan_rank, plan_text_code,
+                                      round_avg, whole_months)
+from tierscope.operators.common import text_max_plan
 from tierscope.operators.latest import recent_rows
 
 
@@ -52,27 +54,31 @@ def potential_referrals(df: DataFrame, max_months: int = REFERRAL_MAX_MONTHS,
     text (K7, K9); Free -> Trial only is dropped. Ordered by class, then mean
     events (highest first), then customer.
     """
-    rank = plan_rank()
     h = (df.filter(F.col("account_created_date").isNotNull())
          .filter(whole_months("month_date", "account_created_date") <= max_months)
          .select("id", "month_date", "plan", "account_created_date", "events_28d",
-                 rank.alias("plan_rank")))
+                 plan_rank().alias("plan_rank"), plan_text_code().alias("plan_code")))
     r = F.col("plan_rank")
+    # Integer aggregates only (hash aggregation): the Free/Trial start name
+    # is the one with the lower rank (their text order is their rank order),
+    # and MAX(plan) by text comes from a text-order code (common.text_max_plan).
     g = (h.groupBy("id").agg(
         F.min(r).alias("s_rank"), F.max(r).alias("e_rank"),
-        F.min(F.when(r.isin(1, 2), F.col("plan"))).alias("starting_plan_name"),
-        F.max("plan").alias("ending_plan_name"),
+        F.min(F.when(r.isin(1, 2), r)).alias("start_rank"),
+        F.max("plan_code").alias("plan_code"),
         exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n"),
         F.max(F.col("events_28d")).alias("peak_events"),
         F.count_distinct("month_date").alias("months_observed"),
         F.min("account_created_date").alias("joined_date"))
-        .filter(F.col("e_rank") > F.col("s_rank")))
+        .filter(F.col("e_rank") > F.col("s_rank"))
+        .withColumn("starting_plan_name", plan_from_rank("start_rank")))
     s, e = F.col("s_rank"), F.col("e_rank")
     to_paid = s.isin(1, 2) & (e >= 3)
     paid_up = (s >= 3) & (e > s)
     upgrade_type = F.when(to_paid, F.lit(FREE_TO_PAID)).when(paid_up, F.lit(PAID_UPGRADE))
     out = (g.withColumn("avg_events", round_avg("ev_sum", "ev_n", 0))
-           .filter((F.col("avg_events") > min_avg_events) & (to_paid | paid_up))
+           .filter((F.col("avg_events") > min_avg_events) & (to_paid | paid_up)))
+    out = (text_max_plan(out, h, ["id"], "plan_code", "ending_plan_name")
            .withColumn("upgrade_type", upgrade_type)
            .withColumn("class_order", F.when(to_paid, 1).when(paid_up, 2)))
     return (out.orderBy("class_order", desc_pg("avg_events"), F.col("id"))
