@@ -11,11 +11,12 @@ The derivation is a Spark job whose work grows with those tables:
   shuffle partition;
 * the customer-by-month panel is generated per customer with
   ``sequence`` + ``explode`` (no cross or range join); each customer gets at
-  most one row per calendar month;
-* the calendar (distinct month-ends of the order dates) is joined without a
-  broadcast hint: AQE measures it at runtime and broadcasts it because it is
-  tiny (one row per month of history), and would keep a sort-merge join if
-  it were not;
+  most one row per calendar month; it meets the fact aggregates in a union
+  shuffled once by customer, and the (customer, month) merge and both
+  per-customer windows reuse that one partitioning;
+* the calendar (distinct month-ends of the order dates) is broadcast: its
+  size is bounded by the months of history, not by data volume, and a shuffle
+  join on its month number would concentrate the panel on a few dozen keys;
 * the trailing-12-month sums and the per-customer first paid month are
   windows partitioned by customer, whose partitions hold at most one row per
   calendar month each.
@@ -54,36 +55,8 @@ def derive_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    # Rule 1: calendar of distinct month-ends, numbered in date order. The
-    # distinct runs distributed; the numbering window sees one row per month.
-    months = orders.select("month_date").distinct()
-    cal = months.withColumn(
-        "idx", (F.row_number().over(Window.orderBy("month_date")) - 1).cast("bigint"))
-    n_months = cal.select(F.count("*")).scalar()
-
-    # Rules 2-3: customer attributes.
-    id_ = F.col("id")
-    cust = (customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-            .select(
-                "id", "c_nationkey",
-                (id_ % n_months).alias("entry_idx"),
-                F.when(id_ % 4 != 0, None).when(id_ % 16 == 12, "")
-                 .otherwise(F.col("n_name")).alias("country"),
-                F.when(id_ % 4 != 0, None).when(id_ % 16 == 8, "")
-                 .otherwise(F.col("c_mktsegment")).alias("industry"),
-            ))
-    entry = cal.select(F.col("idx").alias("entry_idx"),
-                       F.trunc("month_date", "month").alias("entry_month"))
-    cust = cust.join(entry, "entry_idx").withColumn(
-        "account_created_date",
-        F.when(id_ % 50 == 7, None).otherwise(
-            F.date_add("entry_month", (id_ % 31).cast("int")))).drop("entry_month")
-
-    # Rule 4: panel = every calendar month from the entry month on.
-    panel = (cust.withColumn("idx", F.explode(F.sequence(F.col("entry_idx"), n_months - 1)))
-             .join(cal, "idx"))
-
-    # Orders and shipped quantity per (customer, month), pre-aggregated.
+    # Orders and shipped quantity per (customer, month), pre-aggregated
+    # map-side before anything is keyed by customer.
     oagg = (orders.groupBy(F.col("o_custkey").alias("id"), "month_date")
             .agg(F.count("*").alias("n_orders"), F.sum("price").alias("rev")))
     shipped = (lineitem.join(orders.select("o_orderkey", "o_custkey"),
@@ -96,19 +69,72 @@ def derive_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(F.col("ship_date") == F.col("month_date"), F.col("qty"))
               .otherwise(0)).alias("e1")))
 
-    panel = (panel.join(oagg, ["id", "month_date"], "left")
-             .join(sagg, ["id", "month_date"], "left")
-             .select("id", "month_date", "idx", "entry_idx", "c_nationkey", "country",
-                     "industry", "account_created_date",
-                     F.coalesce("n_orders", F.lit(0)).alias("n_orders"),
-                     F.coalesce("rev", F.lit(0).cast(MONEY)).alias("rev"),
-                     F.coalesce("e28", F.lit(0)).alias("e28"),
-                     F.coalesce("e1", F.lit(0)).alias("e1")))
+    # Rule 1: calendar of distinct month-ends of the orders, numbered in date
+    # order. Taken from the orders aggregate (same months, far fewer rows);
+    # the numbering window sees one row per month.
+    months = oagg.select("month_date").distinct()
+    cal = months.withColumn(
+        "idx", (F.row_number().over(Window.orderBy("month_date")) - 1).cast("bigint"))
+    n_months = cal.select(F.count("*")).scalar()
+    # The calendar is broadcast on purpose: its size is bounded by the months
+    # the order dates span (12 rows per year of history), whatever the data
+    # volume. A shuffle join on ``idx`` would instead send every customer-month
+    # of one calendar month to one task (a few dozen keys for the whole panel).
+    cal_b = F.broadcast(cal)
+
+    # Rules 2-3: customer attributes (joined back by customer at the end).
+    id_ = F.col("id")
+    entry = cal_b.select(F.col("idx").alias("entry_idx"),
+                       F.trunc("month_date", "month").alias("entry_month"))
+    # nation is a fixed 25-row dimension at every scale factor: broadcast
+    # rather than shuffle all customers onto 25 join keys.
+    cust = (customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey, "left")
+            .select("id", "c_nationkey", (id_ % n_months).alias("entry_idx"),
+                    F.when(id_ % 4 != 0, None).when(id_ % 16 == 12, "")
+                     .otherwise(F.col("n_name")).alias("country"),
+                    F.when(id_ % 4 != 0, None).when(id_ % 16 == 8, "")
+                     .otherwise(F.col("c_mktsegment")).alias("industry"))
+            .join(entry, "entry_idx")
+            .withColumn("account_created_date",
+                        F.when(id_ % 50 == 7, None)
+                         .otherwise(F.date_add("entry_month", (id_ % 31).cast("int"))))
+            .drop("entry_month"))
+
+    # Rule 4: panel = every calendar month from the entry month on, as
+    # (customer, month) skeleton rows, merged with the two fact aggregates by
+    # one shuffle on customer: union, repartition by id, then the (id, month)
+    # aggregate and the per-customer windows all reuse that partitioning. Each
+    # customer has at most three rows per calendar month at this point.
+    zero_money = F.lit(0).cast(MONEY)
+    skeleton = (customer.select("id")
+                .withColumn("entry_idx", id_ % n_months)
+                .withColumn("idx", F.explode(F.sequence(F.col("entry_idx"), n_months - 1)))
+                .join(cal_b, "idx")
+                .select("id", "month_date", "idx", "entry_idx", F.lit(1).alias("in_panel"),
+                        F.lit(0).cast("bigint").alias("n_orders"), zero_money.alias("rev"),
+                        F.lit(0).cast("bigint").alias("e28"), F.lit(0).cast("bigint").alias("e1")))
+    no_idx = F.lit(None).cast("bigint")
+    facts_o = oagg.select("id", "month_date", no_idx.alias("idx"), no_idx.alias("entry_idx"),
+                          F.lit(0).alias("in_panel"), "n_orders", "rev",
+                          F.lit(0).cast("bigint").alias("e28"),
+                          F.lit(0).cast("bigint").alias("e1"))
+    facts_s = sagg.select("id", "month_date", no_idx.alias("idx"), no_idx.alias("entry_idx"),
+                          F.lit(0).alias("in_panel"), F.lit(0).cast("bigint").alias("n_orders"),
+                          zero_money.alias("rev"), "e28", "e1")
+    panel = (skeleton.unionByName(facts_o).unionByName(facts_s)
+             .repartition("id")
+             .groupBy("id", "month_date")
+             .agg(F.max("in_panel").alias("in_panel"), F.max("idx").alias("idx"),
+                  F.max("entry_idx").alias("entry_idx"), F.sum("n_orders").alias("n_orders"),
+                  F.sum("rev").alias("rev"), F.sum("e28").alias("e28"),
+                  F.sum("e1").alias("e1"))
+             .filter(F.col("in_panel") == 1))   # facts outside the panel drop (left join)
 
     # Rule 5: trailing 12 rows per customer, before the gaps of rule 11.
     trail = Window.partitionBy("id").orderBy("idx").rowsBetween(-(TRAILING_ROWS - 1), 0)
     panel = (panel.withColumn("n12", F.sum("n_orders").over(trail))
-             .withColumn("rev12", F.sum("rev").over(trail)))
+             .withColumn("rev12", F.sum("rev").over(trail))
+             .join(cust.drop("entry_idx"), "id"))
 
     idx = F.col("idx")
     n12 = F.col("n12")
