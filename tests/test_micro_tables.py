@@ -222,3 +222,39 @@ def test_distinct_on_takes_earliest_row(micro):
     df, _ = micro["first_seen"]
     out = [tuple(r) for r in growth.new_customers(df).collect()]
     assert out == [(D("2023-01-01"), 1, 0), (D("2023-02-01"), 1, 1)]
+
+
+# ---- opt-in corrections of the reference's quirks (defaults stay exact) ----
+
+def test_option_calendar_strict_churn(micro):
+    df, _ = micro["gap"]
+    out = [tuple(r) for r in growth.churn_metrics(df, calendar_strict=True).collect()]
+    assert out == [(D("2023-02-28"), 1, 0, 0.0)]             # April has no March predecessor
+
+
+def test_option_new_customers_nulls_last(micro):
+    df, _ = micro["null_order"]
+    ids = [r.customer_id for r in revenue.new_customers_of_note(df, nulls="last").collect()]
+    assert ids[0] == 4 and ids[-1] == 1
+
+
+def test_option_rank_max_plan(micro):
+    df, _ = micro["plans"]
+    refs = {r.customer_id: r.ending_plan_name
+            for r in segments.potential_referrals(df, plan_by="rank").collect()}
+    assert refs[1] == "Top"
+
+
+def test_option_ordered_upgrades(micro):
+    df, _ = micro["plans"]
+    refs = {r.customer_id: (r.starting_plan_name, r.ending_plan_name, r.upgrade_type)
+            for r in segments.potential_referrals(df, ordered=True).collect()}
+    assert refs == {1: ("Trial", "Top", "Free/Trial → Paid"),
+                    4: ("Low", "Middle", "Paid Tier Upgrade")}  # Top -> Low no longer counts
+
+
+def test_option_conversion_requires_free_start(micro):
+    df, _ = micro["first_seen"]   # every row pays from the first month (ARR 1000)
+    r = growth.conversion_funnel(df, require_free_start=True).first()
+    assert (r.total_users, r.converted_users) == (2, 0)
+    assert growth.conversion_funnel(df).first().converted_users == 2

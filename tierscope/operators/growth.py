@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierscope.functions.expr import exact_sum, pct, round_div
 
 
-def churn_metrics(df: DataFrame) -> DataFrame:
+def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
     """Per month, rows whose previous row (same customer, by month) was
     active, how many of them are now inactive, and that rate.
 
@@ -30,6 +30,9 @@ def churn_metrics(df: DataFrame) -> DataFrame:
       plus all TRUE rows of the month but one;
     * churned (TRUE then FALSE): only the first row, if it is FALSE and the
       previous month ended TRUE.
+
+    ``calendar_strict=True`` (correcting K1) compares only with the previous
+    calendar month: a customer absent that month has no predecessor.
     """
     per_month = df.groupBy("id", "month_date").agg(
         F.count_if(F.col("is_active").isNull()).alias("n_null"),
@@ -40,6 +43,10 @@ def churn_metrics(df: DataFrame) -> DataFrame:
                    .when(F.col("n_false") > 0, F.lit(False)))
     w = Window.partitionBy("id").orderBy("month_date")
     prev = F.lag(last_status).over(w)
+    if calendar_strict:
+        month_no = lambda c: F.year(c) * 12 + F.month(c)
+        adjacent = month_no(F.col("month_date")) - month_no(F.lag("month_date").over(w)) == 1
+        prev = F.when(adjacent, prev)
     steps = per_month.select(
         "month_date", "n_null", "n_false", "n_true", prev.alias("prev_last"))
     nonnull = F.col("n_false") + F.col("n_true")

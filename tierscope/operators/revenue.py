@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (desc_pg, exact_sum, plan_sort_key, plan_text_code,
-                                      round_avg, whole_months, years_from_months)
+from tierscope.functions.expr import (desc_pg, exact_sum, plan_from_rank, plan_rank,
+                                      plan_sort_key, plan_text_code, round_avg, whole_months,
+                                      years_from_months)
 from tierscope.operators.common import text_max_plan
 from tierscope.operators.latest import latest_rows, max_month, nth_latest_month
 from tierscope.sources.schema import MONEY
@@ -137,11 +138,16 @@ def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
                     "plan"))
 
 
-def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3) -> DataFrame:
+def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
+                          nulls: str = "first", plan_by: str = "text") -> DataFrame:
     """Customers first seen in one of the last 3 months present; the k
     with the largest ARR summed over their active rows (quirk K5), NULL sums
     first (K6), plan = MAX(plan) by text (K7).
 
+    Options correcting the quirks: ``nulls="last"`` ranks never-paying
+    customers (NULL sum) last (K6); ``plan_by="rank"`` reports the highest
+    tier instead of the text maximum (K7).
+
     A customer first seen in the last n months has no row before them, so
     the join back to the table reads only those months (partition filter)
     instead of every active row in history.
@@ -150,14 +156,20 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3) ->
     first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
                   .filter(F.col("first_seen") >= cutoff))
     recent_active = (df.filter((F.col("month_date") >= cutoff) & F.col("is_active"))
-                     .select("id", "month_date", "plan", plan_text_code().alias("plan_code"),
+                     .select("id", "month_date", "plan",
+                             (plan_text_code() if plan_by == "text" else plan_rank())
+                             .alias("plan_code"),
                              F.col("annual_recurring_revenue").alias("arr"))
                      .join(first_seen, "id"))
     g = (recent_active.groupBy("id", "first_seen")
          .agg(F.max("plan_code").alias("plan_code"), F.sum("arr").alias("arr_sum"),
               F.max("month_date").alias("last_month")))
-    g = text_max_plan(g, recent_active, ["id", "first_seen"], "plan_code", "plan")
-    return (g.orderBy(desc_pg("arr_sum"), F.col("id"))
+    if plan_by == "text":
+        g = text_max_plan(g, recent_active, ["id", "first_seen"], "plan_code", "plan")
+    else:
+        g = g.withColumn("plan", plan_from_rank("plan_code")).drop("plan_code")
+    by_arr = desc_pg("arr_sum") if nulls == "first" else F.col("arr_sum").desc_nulls_last()
+    return (g.orderBy(by_arr, F.col("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),
                     F.col("arr_sum").cast("double").alias("total_arr"),
