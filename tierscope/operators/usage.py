@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tierscope.functions.expr import (desc_pg, exact_sum, pct, plan_sort_key, round_avg,
                                       round_div, round_half_up_double)
+from tierscope.operators import quantile
 from tierscope.operators.latest import latest_rows
 
 
@@ -22,24 +23,34 @@ def usage_by_plan(df: DataFrame, exact_median: bool = True) -> DataFrame:
     rounded mean and median of daily and 28-day events, months with no
     events and their share.
 
-    The median is exact (``percentile``, one value->count map per plan, so
-    its memory grows with distinct event values, not rows);
-    ``exact_median=False`` switches to ``percentile_approx``.
+    The medians are exact and distributed (``operators.quantile``: a
+    (plan, value) histogram and a radix descent with bounded windows), not
+    Spark's ``percentile``, whose final merge puts each plan's distinct
+    values in one task. ``exact_median=False`` uses ``percentile_approx``.
     """
-    def median(c):
-        if exact_median:
-            return F.percentile(c, 0.5)
-        return F.percentile_approx(c, 0.5).cast("double")
-
-    g = df.filter(F.col("is_active")).groupBy("plan").agg(
+    active = df.filter(F.col("is_active"))
+    aggs = [
         F.count_distinct("id").alias("unique_customers"),
         F.count("*").alias("customer_months"),
-        exact_sum(F.col("events_daily")).alias("daily_sum"), F.count(F.col("events_daily")).alias("daily_n"),
-        median(F.col("events_daily")).alias("daily_median"),
+        exact_sum(F.col("events_daily")).alias("daily_sum"),
+        F.count(F.col("events_daily")).alias("daily_n"),
         exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n"),
-        median(F.col("events_28d")).alias("ev_median"),
         F.count(F.when(F.col("events_28d") == 0, 1)).alias("inactive_months"),
-    )
+    ]
+    if not exact_median:
+        aggs += [F.percentile_approx("events_daily", 0.5).cast("double").alias("daily_median"),
+                 F.percentile_approx("events_28d", 0.5).cast("double").alias("ev_median")]
+    g = active.groupBy("plan").agg(*aggs)
+    if exact_median:
+        # both medians in one pass: the two measures stacked, (plan, measure) as group
+        long = active.selectExpr(
+            "plan", "stack(2, 'daily_median', events_daily, 'ev_median', events_28d) "
+                    "AS (measure, v)")
+        med = (quantile.exact_median(long, ["plan", "measure"], "v", "m")
+               .groupBy(F.col("plan").alias("_p"))
+               .agg(*[F.max(F.when(F.col("measure") == m, F.col("m"))).alias(m)
+                      for m in ("daily_median", "ev_median")]))
+        g = g.join(med, g["plan"].eqNullSafe(med["_p"]), "left").drop("_p")
     return g.select(
         "plan", "unique_customers", "customer_months",
         round_avg("daily_sum", "daily_n", 0).alias("avg_events_daily"),
