@@ -1,5 +1,7 @@
 """Metric, report and data-quality operators over the base table."""
 
-from tierscope.operators import growth, latest, revenue, segments, usage
+from tierscope.operators import (growth, latest, quality, quantile, report, revenue, segments,
+                                 usage)
 
-__all__ = ["growth", "latest", "revenue", "segments", "usage"]
+__all__ = ["growth", "latest", "quality", "quantile", "report", "revenue", "segments",
+           "usage"]

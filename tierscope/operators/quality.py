@@ -67,15 +67,19 @@ def free_plan_with_arr(df: DataFrame, plan: str = "Free") -> DataFrame:
     suggested plan; only rows where that suggestion differs are kept.
 
     Each flagged row is joined to its customer's per-plan counts - at most
-    one row per known plan, so the join fans out by at most five.
+    one row per known plan, so the join fans out by at most five - and only
+    flagged customers' rows are counted.
     """
     known = F.col("plan").isin(*PLAN_ORDER)
-    counts = (df.filter(known).groupBy("id", "plan").agg(F.count("*").alias("n"))
-              .withColumnRenamed("plan", "other_plan"))
     flagged = (df.filter((F.col("plan") == plan) & (F.col("annual_recurring_revenue") > 0))
                .select("id", "month_date", "annual_recurring_revenue")
                .groupBy("id", "month_date", "annual_recurring_revenue")
                .agg(F.count("*").alias("copies")))
+    # Plan counts only for customers with a flagged row: the semi-join runs
+    # before the aggregation (map-side when AQE finds the flagged ids small).
+    counts = (df.filter(known).join(flagged.select("id").distinct(), "id", "left_semi")
+              .groupBy("id", "plan").agg(F.count("*").alias("n"))
+              .withColumnRenamed("plan", "other_plan"))
     cand = flagged.join(counts, "id").withColumn(
         "n_other", F.col("n") - F.when(F.col("other_plan") == plan, F.col("copies")).otherwise(0))
     # Score = count * 8 + tier rank: max picks the most frequent plan, ties to the higher tier.
