@@ -57,3 +57,17 @@ def test_loader_writes_under_session_checkpoint_dir(spark):
     df = load_base_table(spark, SF001)
     files = df.inputFiles()
     assert files and all(root.replace("file:", "") in f.replace("file:", "") for f in files)
+
+
+def test_report_job_writes_each_report(spark):
+    from tierscope.jobs import write_reports
+    from tierscope.plans import registry
+    base = load_base_table(spark, SF001)
+    out = os.path.join(tempfile.mkdtemp(prefix="tierscope-job-"), "reports")
+    names = ["m02_arr_by_plan", "m10_latest_snapshot", "r02_completeness"]
+    assert write_reports(base, out, names) == names
+    for n in names:
+        assert _rows(spark.read.parquet(os.path.join(out, n))) == \
+            _rows(registry.OPERATORS[n](base))
+    with pytest.raises(ValueError):
+        write_reports(base, out, ["no_such_report"])
