@@ -258,3 +258,21 @@ def test_option_conversion_requires_free_start(micro):
     r = growth.conversion_funnel(df, require_free_start=True).first()
     assert (r.total_users, r.converted_users) == (2, 0)
     assert growth.conversion_funnel(df).first().converted_users == 2
+
+
+@pytest.mark.parametrize("table_name", ["rounding", "dupes", "null_order"])
+def test_sums_exact_with_ansi_off(spark, micro, table_name):
+    """With ANSI off, integer sums fall back to DECIMAL(38,0); results must not change."""
+    df, con = micro[table_name]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        bad = []
+        for name in ("m01_monthly_metrics", "m02_arr_by_plan", "m06_usage_by_plan",
+                     "m10_latest_snapshot", "m14_new_customers_of_note", "m19_potential_referrals"):
+            out = registry.OPERATORS[name](df)
+            got = rows_of(out.columns, [tuple(r) for r in out.collect()])
+            if got != _oracle_rows(con, oracle.B[name]):
+                bad.append(name)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert not bad, bad

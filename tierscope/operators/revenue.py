@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (desc_pg, exact_sum, plan_from_rank, plan_rank,
-                                      plan_sort_key, plan_text_code, round_avg, whole_months,
-                                      years_from_months)
+from tierscope.functions.expr import (cents, cents_sum, desc_pg, exact_sum, from_cents,
+                                      money_avg, plan_from_rank, plan_rank, plan_sort_key,
+                                      plan_text_code, round_avg, whole_months, years_from_months)
 from tierscope.operators.common import text_max_plan
 from tierscope.operators.latest import latest_rows, max_month, nth_latest_month
-from tierscope.sources.schema import MONEY
 
 
 def monthly_metrics(df: DataFrame) -> DataFrame:
@@ -24,11 +23,11 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     The sums compose exactly, including the NULL of a month where every row
     is active with unknown ARR.
     """
-    zero_money = F.lit(0).cast(MONEY)
+    arr_cents = cents("annual_recurring_revenue")
     per_customer = df.groupBy("month_date", "id").agg(
         F.bool_or(F.col("is_active")).alias("any_active"),
-        F.sum(F.when(F.col("is_active"), F.col("annual_recurring_revenue")).otherwise(zero_money)).alias("arr_all"),
-        F.sum(F.when(F.col("is_active"), F.col("annual_recurring_revenue"))).alias("arr_act"),
+        exact_sum(F.when(F.col("is_active"), arr_cents).otherwise(0)).alias("arr_all"),
+        exact_sum(F.when(F.col("is_active"), arr_cents)).alias("arr_act"),
         F.count(F.when(F.col("is_active"), F.col("annual_recurring_revenue"))).alias("arr_n"),
         exact_sum(F.when(F.col("is_active"), F.col("events_28d")).otherwise(0)).alias("ev_all"),
         exact_sum(F.when(F.col("is_active"), F.col("events_28d"))).alias("ev_act"),
@@ -44,8 +43,8 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     )
     return m.select(
         "month_date", "active_customers", "total_customers",
-        F.col("total_arr").cast("double").alias("total_arr"),
-        round_avg("arr_act", "arr_n", 2).alias("avg_arr"),
+        from_cents("total_arr").alias("total_arr"),
+        money_avg("arr_act", "arr_n").alias("avg_arr"),
         F.col("total_events_28d").cast("bigint").alias("total_events_28d"),
         round_avg("ev_act", "ev_n", 0).alias("avg_events_28d"),
     ).orderBy("month_date")
@@ -55,13 +54,13 @@ def arr_by_plan(df: DataFrame) -> DataFrame:
     """Active rows per (month, plan): customers, total and average ARR."""
     g = df.filter(F.col("is_active")).groupBy("month_date", "plan").agg(
         F.count_distinct("id").alias("customers"),
-        F.sum(F.col("annual_recurring_revenue")).alias("total_arr"),
+        cents_sum("annual_recurring_revenue").alias("arr_c"),
         F.count(F.col("annual_recurring_revenue")).alias("arr_n"),
     )
     return g.select(
         "month_date", "plan", "customers",
-        F.col("total_arr").cast("double").alias("total_arr"),
-        round_avg("total_arr", "arr_n", 2).alias("avg_arr"),
+        from_cents("arr_c").alias("total_arr"),
+        money_avg("arr_c", "arr_n").alias("avg_arr"),
     ).orderBy("month_date", plan_sort_key())
 
 
@@ -80,9 +79,9 @@ def breakdown_latest(df: DataFrame, dimension: str) -> DataFrame:
     g = (latest_rows(df)
          .filter(d.isNotNull() & (d != "") & (F.col("is_active") == F.lit(True)))
          .groupBy(dimension)
-         .agg(F.count_distinct("id").alias("unique_customers"), F.sum(F.col("annual_recurring_revenue")).alias("arr_sum")))
-    return (g.select(dimension, "unique_customers",
-                     F.col("arr_sum").cast("double").alias("total_arr"))
+         .agg(F.count_distinct("id").alias("unique_customers"),
+              cents_sum("annual_recurring_revenue").alias("arr_c")))
+    return (g.select(dimension, "unique_customers", from_cents("arr_c").alias("total_arr"))
             .orderBy(desc_pg("total_arr"), F.col(dimension)))
 
 
@@ -111,16 +110,17 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     in_two = (F.col("month_date") == latest) | (F.col("month_date") == prev)
     per_month = (df.filter(in_two & F.col("is_active"))
                  .groupBy("month_date")
-                 .agg(F.count_distinct("id").alias("n"), F.sum(F.col("annual_recurring_revenue")).alias("s")))
+                 .agg(F.count_distinct("id").alias("n"),
+                      cents_sum("annual_recurring_revenue").alias("s")))
     is_latest = F.col("month_date") == latest
     is_prev = F.col("month_date") == prev
     return per_month.agg(
         F.coalesce(F.max(F.when(is_latest, F.col("n"))), F.lit(0)).cast("bigint")
         .alias("active_customers"),
-        F.max(F.when(is_latest, F.col("s"))).cast("double").alias("total_arr"),
+        from_cents(F.max(F.when(is_latest, F.col("s")))).alias("total_arr"),
         F.coalesce(F.max(F.when(is_prev, F.col("n"))), F.lit(0)).cast("bigint")
         .alias("prev_active_customers"),
-        F.max(F.when(is_prev, F.col("s"))).cast("double").alias("prev_arr"),
+        from_cents(F.max(F.when(is_prev, F.col("s")))).alias("prev_arr"),
     )
 
 
@@ -159,10 +159,10 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
                      .select("id", "month_date", "plan",
                              (plan_text_code() if plan_by == "text" else plan_rank())
                              .alias("plan_code"),
-                             F.col("annual_recurring_revenue").alias("arr"))
+                             cents("annual_recurring_revenue").alias("arr_cents"))
                      .join(first_seen, "id"))
     g = (recent_active.groupBy("id", "first_seen")
-         .agg(F.max("plan_code").alias("plan_code"), F.sum("arr").alias("arr_sum"),
+         .agg(F.max("plan_code").alias("plan_code"), exact_sum("arr_cents").alias("arr_sum"),
               F.max("month_date").alias("last_month")))
     if plan_by == "text":
         g = text_max_plan(g, recent_active, ["id", "first_seen"], "plan_code", "plan")
@@ -172,7 +172,7 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
     return (g.orderBy(by_arr, F.col("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),
-                    F.col("arr_sum").cast("double").alias("total_arr"),
+                    from_cents("arr_sum").alias("total_arr"),
                     years_from_months(whole_months("last_month", "first_seen"))
                     .alias("years_as_client"),
                     "plan",
