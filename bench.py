@@ -1,7 +1,7 @@
 """Benchmark: derive and store the base table, then time every registered query.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; best of N per query), BENCH_CACHE (default 1: keep
+BENCH_REPEAT (default 3; best of N per query), BENCH_CACHE (default 1: keep
 the stored base table cached in executor memory, as the baseline probe did;
 0 reads the month-partitioned parquet on every query). Prints ONE JSON line.
 """
@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     cache = os.environ.get("BENCH_CACHE", "1") == "1"
 
     from tierscope.session import get_or_create_session

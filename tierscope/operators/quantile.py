@@ -65,7 +65,11 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
         joined = t.join(hh, cond, "inner").select(
             *[F.col(f"t.{c}").alias(c) for c in keys], F.col("t._which").alias("_which"),
             F.col("t._k").alias("_k"), F.col(f"h.{dcol}").alias(dcol), F.col("h._c").alias("_c"))
-        per_digit = joined.groupBy(*keys, "_which", "_k", dcol).agg(F.sum("_c").alias("_dc"))
+        if level == len(_LEVELS) - 1:
+            # last digit: one histogram row per value, already unique per digit
+            per_digit = joined.withColumnRenamed("_c", "_dc")
+        else:
+            per_digit = joined.groupBy(*keys, "_which", "_k", dcol).agg(F.sum("_c").alias("_dc"))
         w = (Window.partitionBy(g, "_which").orderBy(dcol)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         cum = per_digit.withColumn("_cum", F.sum("_dc").over(w))
