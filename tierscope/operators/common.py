@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import plan_from_text_code, plan_text_code
+from tierscope.functions.expr import PLAN_TEXT_ORDER, plan_from_text_code
 
 
 def text_max_plan(grouped: DataFrame, rows: DataFrame, keys: list[str], code_col: str,
@@ -15,9 +15,12 @@ def text_max_plan(grouped: DataFrame, rows: DataFrame, keys: list[str], code_col
     ``grouped`` carries ``code_col`` = MAX(plan_text_code(plan)) per key, a
     hash aggregate over integers. Plan values outside the known tiers are
     handled exactly by a string MAX over only those rows (normally none),
-    joined back per key; AQE broadcasts that side when it is small.
+    joined back per key; AQE broadcasts that side when it is small. That
+    second read is filtered at the scan (``NOT IN`` the known tiers).
     """
-    unknown = (rows.filter(F.col("plan").isNotNull() & plan_text_code("plan").isNull())
+    # Written as NOT IN so the filter reaches the parquet scan, where row groups
+    # whose dictionary holds only known tiers are skipped.
+    unknown = (rows.filter(F.col("plan").isNotNull() & ~F.col("plan").isin(*PLAN_TEXT_ORDER))
                .groupBy(*keys).agg(F.max("plan").alias("_unknown_max")))
     known = plan_from_text_code(code_col)
     return (grouped.join(unknown, keys, "left")
