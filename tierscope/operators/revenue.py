@@ -34,7 +34,8 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
         F.count(F.when(F.col("is_active"), F.col("events_28d"))).alias("ev_n"),
     )
     m = per_customer.groupBy("month_date").agg(
-        F.count_if(F.col("any_active")).alias("active_customers"),
+        # NULL ids are not counted, as COUNT(DISTINCT ...) ignores them
+        F.count_if(F.col("any_active") & F.col("id").isNotNull()).alias("active_customers"),
         F.count("id").alias("total_customers"),
         F.sum("arr_all").alias("total_arr"),
         F.sum("arr_act").alias("arr_act"), F.sum("arr_n").alias("arr_n"),

@@ -74,8 +74,9 @@ def mau_metrics(df: DataFrame) -> DataFrame:
         F.bool_or(F.col("is_active")).alias("any_active"),
     )
     m = per_customer.groupBy("month_date").agg(
-        F.count_if(F.col("has_events")).alias("monthly_active_users"),
-        F.count_if(F.col("any_active")).alias("active_customers"),
+        # NULL ids are not counted, as COUNT(DISTINCT ...) ignores them
+        F.count_if(F.col("has_events") & F.col("id").isNotNull()).alias("monthly_active_users"),
+        F.count_if(F.col("any_active") & F.col("id").isNotNull()).alias("active_customers"),
     )
     return m.select(
         "month_date", "monthly_active_users", "active_customers",
