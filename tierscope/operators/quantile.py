@@ -13,10 +13,14 @@ every map task's partial map for a group in one task, so with few groups
    a running count over those digits (a window per group and target, at most
    2^22 rows) picks the digit holding the target rank.
 
-Every step is a join of the histogram with a frame of at most two targets
-per group, and every window holds at most 2^22 rows, whatever the table
-size. The result equals ``percentile_cont(0.5)``: the mean of the values at
-0-based ranks floor((n-1)/2) and floor(n/2).
+Every step is a map-side join of the histogram with a broadcast frame of
+at most two targets per group, and every window holds at most 2^22 rows,
+whatever the table size. The result equals ``percentile_cont(0.5)``: the
+mean of the values at 0-based ranks floor((n-1)/2) and floor(n/2).
+
+Meant for few, large groups (M06: six plans). With many small groups, each
+group's values are few and Spark's own ``percentile`` is the simpler choice;
+the broadcast target frame here grows with the number of groups.
 """
 
 from __future__ import annotations
@@ -59,7 +63,10 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
             h = h.withColumn(f"_d{i}", _digit(F.col(v), i))
         keys = [g] + prefix_cols
         # null-safe equality on the group key (a struct: NULL fields match)
-        t, hh = targets.alias("t"), h.alias("h")
+        # Broadcast: at most two target rows per group (12 for M06's plans x
+        # measures). A shuffle join here would key the histogram by group alone
+        # and put each group's histogram in one task.
+        t, hh = F.broadcast(targets).alias("t"), h.alias("h")
         cond = [F.col(f"t.{g}").eqNullSafe(F.col(f"h.{g}"))] + \
             [F.col(f"t.{c}") == F.col(f"h.{c}") for c in prefix_cols]
         joined = t.join(hh, cond, "inner").select(
