@@ -22,14 +22,15 @@ def profile(df: DataFrame) -> DataFrame:
     from scalar subqueries over the month column only.
     """
     per_id = df.groupBy("id").agg(F.count("*").alias("n"))
-    months = df.select("month_date")
+    months = df.select(F.struct(F.min("month_date").alias("lo"), F.max("month_date").alias("hi"),
+                                F.count_distinct("month_date").alias("k"))).scalar()
     return per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("records"),
         F.count("id").alias("unique_customers"),
-        months.select(F.min("month_date")).scalar().alias("first_month"),
-        months.select(F.max("month_date")).scalar().alias("last_month"),
-        months.select(F.count_distinct("month_date")).scalar().alias("distinct_months"),
-    )
+    ).select("records", "unique_customers",
+             months.getField("lo").alias("first_month"),
+             months.getField("hi").alias("last_month"),
+             months.getField("k").alias("distinct_months"))
 
 
 def completeness(df: DataFrame, columns: tuple[str, ...] = ("country", "industry")) -> DataFrame:
