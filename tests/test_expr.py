@@ -45,6 +45,9 @@ def test_whole_months_follows_age_not_months_between(spark):
     df = spark.createDataFrame([(D(a), D(b)) for a, b, _ in cases], "a date, b date")
     got = [r.m for r in df.select(whole_months("a", "b").alias("m")).collect()]
     assert got == [c[2] for c in cases]
+    nulls = spark.createDataFrame([(D("2023-01-31"), None), (None, D("2023-01-31"))],
+                                  "a date, b date")
+    assert [r.m for r in nulls.select(whole_months("a", "b").alias("m")).collect()] == [None, None]
     # months_between treats two month-ends as a whole month; AGE does not
     mb = df.select(F.floor(F.months_between("a", "b")).alias("m")).collect()[1].m
     assert mb == 1 and got[1] == 0

@@ -52,7 +52,8 @@ def _micro_tables():
                               (100, 100, 100, 101, 101))]
         + [row(7, m, plan=p, e28=e, created="2023-01-01")
            for m, p, e in zip(M_END[:2], ("Free", "Low"), (100, 101))])
-    t["ties"] = [row(i, "2023-01-31", arr="100.00", e28=50) for i in range(1, 14)]
+    t["ties"] = [row(i, "2023-01-31", arr="100.00", e28=50,
+                     created=None if i == 3 else "2020-01-15") for i in range(1, 14)]
     t["rounding"] = [row(i, "2023-01-31", plan="Low", arr=a, e28=e, daily=d)
                      for i, (a, e, d) in enumerate((("0.01", 1, 1), ("0.02", 2, 2),
                                                     ("0.02", 0, 3), ("0.00", 0, 4)), start=1)]
@@ -188,7 +189,9 @@ def test_thresholds_are_strict(micro):
 
 def test_top_k_ties_break_by_id(micro):
     df, _ = micro["ties"]
-    assert [r.customer_id for r in revenue.top_customers(df).collect()] == list(range(1, 11))
+    top = revenue.top_customers(df).collect()
+    assert [r.customer_id for r in top] == list(range(1, 11))
+    assert top[2].years_as_client is None and top[0].years_as_client == 3.0  # AGE(x, NULL)
     assert [r.customer_id for r in usage.power_users(df).collect()] == list(range(1, 11))
 
 

@@ -139,10 +139,11 @@ def whole_months(later, earlier) -> Column:
     (it treats two month-ends as a whole month), so it is not used.
     """
     a, b = col(later).cast("date"), col(earlier).cast("date")
-    hi, lo = F.greatest(a, b), F.least(a, b)
+    hi, lo = F.greatest(a, b), F.least(a, b)   # both skip NULLs, hence the guard below
     mag = ((F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
            - F.when(F.dayofmonth(hi) < F.dayofmonth(lo), 1).otherwise(0))
-    return F.when(a < b, -mag).otherwise(mag)
+    # AGE with a NULL argument is NULL
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(a < b, -mag).otherwise(mag))
 
 
 def years_from_months(months) -> Column:
