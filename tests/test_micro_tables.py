@@ -69,11 +69,24 @@ def _micro_tables():
                       for k, p in enumerate(("Free", "Zeta", "Top"))] + \
         [row(2, M_END[k], plan=p, e28=300, created="2023-01-01")
          for k, p in enumerate(("Low", "Enterprise", "Middle", ""))]
+    # NULL months (the schema says NOT NULL; nothing enforces it): PostgreSQL
+    # sorts them last ascending and first descending
+    def no_month(r):
+        return (r[0], None) + r[2:]
+    t["null_month"] = [
+        row(1, "2023-01-31", active=True), row(1, "2023-02-28", active=False),
+        no_month(row(1, "2023-01-31", active=True)), row(2, "2023-02-28", e28=700, plan="Free"),
+        row(2, "2023-03-31", active=False, plan="Trial", e28=650),
+        no_month(row(3, "2023-01-31", plan="Low")), row(3, "2023-03-31", plan="Free", e28=600),
+        row(4, "2023-03-31", arr="50.00", created="2023-03-02")]
     return t
 
 
+NULLABLE = {"null_month"}
+
+
 MICRO = _micro_tables()
-REPORT_TABLES = {"empty", "one_month", "null_order", "plans", "rounding"}
+REPORT_TABLES = {"empty", "one_month", "null_order", "plans", "rounding", "null_month"}
 
 
 @pytest.fixture(scope="module")
@@ -82,8 +95,11 @@ def micro(spark):
     out = {}
     root = tempfile.mkdtemp(prefix="tierscope-micro-")
     from conftest import table
+    from pyspark.sql import types as T
+    from tierscope.sources.schema import BASE_SCHEMA
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in BASE_SCHEMA.fields])
     for name, rows in MICRO.items():
-        df = table(spark, rows)
+        df = spark.createDataFrame(rows, nullable) if name in NULLABLE else table(spark, rows)
         path = os.path.join(root, name)
         df.coalesce(1).write.parquet(path)
         con = duckdb.connect()

@@ -41,7 +41,7 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
     )
     last_status = (F.when(F.col("n_true") > 0, F.lit(True))
                    .when(F.col("n_false") > 0, F.lit(False)))
-    w = Window.partitionBy("id").orderBy("month_date")
+    w = Window.partitionBy("id").orderBy(F.col("month_date").asc_nulls_last())  # PostgreSQL: NULLs last
     prev = F.lag(last_status).over(w)
     if calendar_strict:
         month_no = lambda c: F.year(c) * 12 + F.month(c)
@@ -69,7 +69,7 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
         F.col("prev_month_active_count").cast("bigint").alias("prev_month_active_count"),
         F.col("churned_count").cast("bigint").alias("churned_count"),
         pct("churned_count", "prev_month_active_count").alias("churn_rate_pct"),
-    ).orderBy("month_date")
+    ).orderBy(F.col("month_date").asc_nulls_last())
 
 
 def new_customers(df: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def new_customers(df: DataFrame) -> DataFrame:
     customer.
     """
     w = Window.partitionBy("id").orderBy(
-        "month_date", "account_created_date", F.col("first_paid_date").asc_nulls_first())
+        F.col("month_date").asc_nulls_last(), "account_created_date", F.col("first_paid_date").asc_nulls_first())
     first = (df.filter(F.col("account_created_date").isNotNull())
              .select("id", "month_date", "account_created_date", "first_paid_date")
              .withColumn("rn", F.row_number().over(w))

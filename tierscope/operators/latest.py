@@ -19,7 +19,10 @@ def max_month(df: DataFrame) -> Column:
 
 def nth_latest_month(df: DataFrame, n: int) -> Column:
     """The n-th largest distinct month (the smallest of the last n)."""
-    last_n = df.select("month_date").distinct().orderBy(F.col("month_date").desc()).limit(n)
+    # PostgreSQL's DESC puts a NULL month first, where it takes one of the n
+    # slots (and then matches no row); the min below skips it.
+    last_n = (df.select("month_date").distinct()
+              .orderBy(F.col("month_date").desc_nulls_first()).limit(n))
     return last_n.select(F.min("month_date")).scalar()
 
 

@@ -48,7 +48,7 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
         money_avg("arr_act", "arr_n").alias("avg_arr"),
         F.col("total_events_28d").cast("bigint").alias("total_events_28d"),
         round_avg("ev_act", "ev_n", 0).alias("avg_events_28d"),
-    ).orderBy("month_date")
+    ).orderBy(F.col("month_date").asc_nulls_last())
 
 
 def arr_by_plan(df: DataFrame) -> DataFrame:
@@ -62,14 +62,14 @@ def arr_by_plan(df: DataFrame) -> DataFrame:
         "month_date", "plan", "customers",
         from_cents("arr_c").alias("total_arr"),
         money_avg("arr_c", "arr_n").alias("avg_arr"),
-    ).orderBy("month_date", plan_sort_key())
+    ).orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key())
 
 
 def plan_distribution(df: DataFrame) -> DataFrame:
     """Distinct active customers per (month, plan)."""
     return (df.filter(F.col("is_active")).groupBy("month_date", "plan")
             .agg(F.count_distinct("id").alias("customer_count"))
-            .orderBy("month_date", plan_sort_key()))
+            .orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key()))
 
 
 def breakdown_latest(df: DataFrame, dimension: str) -> DataFrame:
@@ -149,14 +149,17 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
     customers (NULL sum) last (K6); ``plan_by="rank"`` reports the highest
     tier instead of the text maximum (K7).
 
-    A customer first seen in the last n months has no row before them, so
-    the join back to the table reads only those months (partition filter)
+    A customer first seen in the last n months has no dated row before them,
+    so the join back to the table reads only those months (and undated rows)
     instead of every active row in history.
     """
     cutoff = nth_latest_month(df, recent_months)
     first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
                   .filter(F.col("first_seen") >= cutoff))
-    recent_active = (df.filter((F.col("month_date") >= cutoff) & F.col("is_active"))
+    # rows of a NULL month belong to no month yet count for the customer;
+    # they live in their own partition, so the pruning still holds
+    in_window = (F.col("month_date") >= cutoff) | F.col("month_date").isNull()
+    recent_active = (df.filter(in_window & F.col("is_active"))
                      .select("id", "month_date", "plan",
                              (plan_text_code() if plan_by == "text" else plan_rank())
                              .alias("plan_code"),

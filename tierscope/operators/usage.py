@@ -82,7 +82,7 @@ def mau_metrics(df: DataFrame) -> DataFrame:
     return m.select(
         "month_date", "monthly_active_users", "active_customers",
         pct("monthly_active_users", "active_customers").alias("engagement_rate"),
-    ).orderBy("month_date")
+    ).orderBy(F.col("month_date").asc_nulls_last())
 
 
 def inactive_rate_current(df: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def usage_trends_by_plan(df: DataFrame) -> DataFrame:
     g = (df.filter(F.col("is_active")).groupBy("month_date", "plan")
          .agg(exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n")))
     return (g.select("month_date", "plan", round_avg("ev_sum", "ev_n", 0).alias("avg_events"))
-            .orderBy("month_date", plan_sort_key()))
+            .orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key()))
 
 
 def _customer_usage(rows: DataFrame) -> DataFrame:
