@@ -79,14 +79,27 @@ def _micro_tables():
         row(2, "2023-03-31", active=False, plan="Trial", e28=650),
         no_month(row(3, "2023-01-31", plan="Low")), row(3, "2023-03-31", plan="Free", e28=600),
         row(4, "2023-03-31", arr="50.00", created="2023-03-02")]
+    # NULL ids (also unenforced): COUNT(DISTINCT id) skips them, GROUP BY keeps
+    # them as one group, joins never match them, ascending order puts them last
+    def no_id(r):
+        return (None,) + r[1:]
+    t["null_id"] = [
+        no_id(row(1, "2023-02-28", arr="500.00", e28=50, plan="Free")),
+        no_id(row(1, "2023-01-31", arr="300.00", active=False)),
+        no_id(row(1, "2023-01-31", arr="300.00", e28=0)),
+        row(1, "2023-02-28", arr="500.00", e28=50, plan="Free"),
+        row(2, "2023-02-28", arr="400.00", e28=700, plan="Trial"),
+        row(2, "2023-01-31", arr="400.00", plan="Low"),
+        row(3, "2023-01-31", active=False)]
     return t
 
 
-NULLABLE = {"null_month"}
+NULLABLE = {"null_month", "null_id"}
 
 
 MICRO = _micro_tables()
-REPORT_TABLES = {"empty", "one_month", "null_order", "plans", "rounding", "null_month"}
+REPORT_TABLES = {"empty", "one_month", "null_order", "plans", "rounding", "null_month",
+                 "null_id"}
 
 
 @pytest.fixture(scope="module")
@@ -237,6 +250,13 @@ def test_unknown_plan_names_in_text_max(micro):
     assert refs == {1: "Zeta", 2: "Middle"}
 
 
+def test_null_id_sorts_last_and_is_not_counted(micro):
+    df, _ = micro["null_id"]
+    assert [r.customer_id for r in revenue.top_customers(df).collect()] == [1, None, 2]  # tie at 500
+    feb = [r for r in revenue.monthly_metrics(df).collect() if r.month_date == D("2023-02-28")][0]
+    assert (feb.active_customers, feb.total_customers) == (2, 2)
+
+
 def test_distinct_on_takes_earliest_row(micro):
     df, _ = micro["first_seen"]
     out = [tuple(r) for r in growth.new_customers(df).collect()]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (cents, cents_sum, desc_pg, exact_sum, from_cents,
+from tierscope.functions.expr import (asc_pg, cents, cents_sum, desc_pg, exact_sum, from_cents,
                                       money_avg, plan_from_rank, plan_rank, plan_sort_key,
                                       plan_text_code, round_avg, whole_months, years_from_months)
 from tierscope.operators.common import text_max_plan
@@ -130,7 +130,7 @@ def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
     ``years_as_client`` = whole months from account creation to the latest
     month, / 12, rounded to one place."""
     rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("annual_recurring_revenue") > 0))
-    return (rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), F.col("id"))
+    return (rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), asc_pg("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),
                     F.col("annual_recurring_revenue").cast("double").alias("total_arr"),
@@ -173,7 +173,7 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
     else:
         g = g.withColumn("plan", plan_from_rank("plan_code")).drop("plan_code")
     by_arr = desc_pg("arr_sum") if nulls == "first" else F.col("arr_sum").desc_nulls_last()
-    return (g.orderBy(by_arr, F.col("id"))
+    return (g.orderBy(by_arr, asc_pg("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),
                     from_cents("arr_sum").alias("total_arr"),

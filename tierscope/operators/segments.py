@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, desc_pg,
+from tierscope.functions.expr import (asc_pg, FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, desc_pg,
                                       exact_sum, plan_from_rank, plan_rank, plan_text_code,
                                       round_avg, whole_months)
 from tierscope.operators.common import text_max_plan
@@ -34,8 +34,8 @@ def high_opportunity_clients(df: DataFrame, k: int = 15, recent_months: int = 6,
               F.avg(F.col("events_28d")).alias("avg_events"), F.max(F.col("events_28d")).alias("peak_events_28d"),
               F.count("*").alias("months_active"))
          .filter(F.col("ev_sum") > F.col("ev_n") * min_avg_events))
-    return (g.orderBy(desc_pg("avg_events"), F.col("id"), F.col("plan"),
-                      F.col("account_created_date"))
+    return (g.orderBy(desc_pg("avg_events"), asc_pg("id"), asc_pg("plan"),
+                      asc_pg("account_created_date"))
             .limit(k)
             .select(F.col("id").alias("customer_id"), "plan",
                     round_avg("ev_sum", "ev_n", 0).alias("avg_events_28d"),
@@ -100,7 +100,7 @@ def potential_referrals(df: DataFrame, max_months: int = REFERRAL_MAX_MONTHS,
         out = out.withColumn("ending_plan_name", plan_from_rank("plan_code")).drop("plan_code")
     out = (out.withColumn("upgrade_type", upgrade_type)
            .withColumn("class_order", F.when(to_paid, 1).when(paid_up, 2)))
-    return (out.orderBy("class_order", desc_pg("avg_events"), F.col("id"))
+    return (out.orderBy("class_order", desc_pg("avg_events"), asc_pg("id"))
             .select(F.col("id").alias("customer_id"), "starting_plan_name",
                     "ending_plan_name", "avg_events", "peak_events", "months_observed",
                     "joined_date", "upgrade_type"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (desc_pg, exact_sum, pct, plan_sort_key, round_avg,
+from tierscope.functions.expr import (asc_pg, desc_pg, exact_sum, pct, plan_sort_key, round_avg,
                                       round_div, round_half_up_double)
 from tierscope.operators import quantile
 from tierscope.operators.latest import latest_rows
@@ -116,7 +116,7 @@ def _customer_usage(rows: DataFrame) -> DataFrame:
 def power_users(df: DataFrame, k: int = 10) -> DataFrame:
     """Latest month, active, with events: the k with most events."""
     rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("events_28d") > 0))
-    return _customer_usage(rows.orderBy(desc_pg(F.col("events_28d")), F.col("id")).limit(k))
+    return _customer_usage(rows.orderBy(desc_pg(F.col("events_28d")), asc_pg("id")).limit(k))
 
 
 def at_risk_accounts(df: DataFrame, k: int = 10, max_events: int = AT_RISK_MAX_EVENTS,
@@ -125,4 +125,4 @@ def at_risk_accounts(df: DataFrame, k: int = 10, max_events: int = AT_RISK_MAX_E
     ``max_events`` events (both strict): the k largest ARR."""
     rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("annual_recurring_revenue") > 0)
                                   & (F.col("events_28d") < max_events) & (F.col("annual_recurring_revenue") > min_arr))
-    return _customer_usage(rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), F.col("id")).limit(k))
+    return _customer_usage(rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), asc_pg("id")).limit(k))
