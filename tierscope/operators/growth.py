@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import exact_sum, pct, round_div
+from tierscope.functions.expr import asc_pg, exact_sum, pct, round_div
 
 
 def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
@@ -41,7 +41,7 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
     )
     last_status = (F.when(F.col("n_true") > 0, F.lit(True))
                    .when(F.col("n_false") > 0, F.lit(False)))
-    w = Window.partitionBy("id").orderBy(F.col("month_date").asc_nulls_last())  # PostgreSQL: NULLs last
+    w = Window.partitionBy("id").orderBy(asc_pg("month_date"))  # PostgreSQL: NULLs last
     prev = F.lag(last_status).over(w)
     if calendar_strict:
         month_no = lambda c: F.year(c) * 12 + F.month(c)
@@ -69,7 +69,7 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
         F.col("prev_month_active_count").cast("bigint").alias("prev_month_active_count"),
         F.col("churned_count").cast("bigint").alias("churned_count"),
         pct("churned_count", "prev_month_active_count").alias("churn_rate_pct"),
-    ).orderBy(F.col("month_date").asc_nulls_last())
+    ).orderBy(asc_pg("month_date"))
 
 
 def new_customers(df: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def new_customers(df: DataFrame) -> DataFrame:
     customer.
     """
     w = Window.partitionBy("id").orderBy(
-        F.col("month_date").asc_nulls_last(), "account_created_date", F.col("first_paid_date").asc_nulls_first())
+        asc_pg("month_date"), "account_created_date", F.col("first_paid_date").asc_nulls_first())
     first = (df.filter(F.col("account_created_date").isNotNull())
              .select("id", "month_date", "account_created_date", "first_paid_date")
              .withColumn("rn", F.row_number().over(w))
@@ -107,7 +107,8 @@ def conversion_funnel(df: DataFrame, require_free_start: bool = False) -> DataFr
     """
     journey = df.groupBy("id").agg(
         F.min("month_date").alias("first_month"),
-        F.min(F.when(F.col("annual_recurring_revenue") > 0, F.col("month_date"))).alias("first_paid_month"),
+        F.min(F.when(F.col("annual_recurring_revenue") > 0, F.col("month_date")))
+        .alias("first_paid_month"),
     )
     if require_free_start:
         journey = journey.withColumn(

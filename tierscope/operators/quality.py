@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import PLAN_ORDER, pct, plan_from_rank, plan_rank
+from tierscope.functions.expr import asc_pg, PLAN_ORDER, pct, plan_from_rank, plan_rank
 from tierscope.operators.latest import max_month
 
 
@@ -108,7 +108,7 @@ def month_gaps(df: DataFrame) -> DataFrame:
     more than one calendar month earlier. The LAG runs over distinct (customer,
     month) keys, so a customer has at most one row per month in the window."""
     keys = df.select("id", "month_date").distinct()
-    prev = F.lag("month_date").over(Window.partitionBy("id").orderBy(F.col("month_date").asc_nulls_last()))
+    prev = F.lag("month_date").over(Window.partitionBy("id").orderBy(asc_pg("month_date")))
     idx = lambda c: F.year(c) * 12 + F.month(c)
     g = keys.withColumn("prev_month", prev).filter(F.col("prev_month").isNotNull())
     missing = idx(F.col("month_date")) - idx(F.col("prev_month")) - 1

@@ -80,7 +80,8 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
         w = (Window.partitionBy(g, "_which").orderBy(dcol)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         cum = per_digit.withColumn("_cum", F.sum("_dc").over(w))
-        pick = cum.filter((F.col("_cum") - F.col("_dc") <= F.col("_k")) & (F.col("_k") < F.col("_cum")))
+        before = F.col("_cum") - F.col("_dc")
+        pick = cum.filter((before <= F.col("_k")) & (F.col("_k") < F.col("_cum")))
         targets = pick.select(*keys, "_which",
                               (F.col("_k") - (F.col("_cum") - F.col("_dc"))).alias("_k"), dcol)
         prefix_cols = prefix_cols + [dcol]

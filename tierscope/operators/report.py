@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (FREE_TO_PAID, PAID_UPGRADE, PLAN_ORDER, col, pct,
+from tierscope.functions.expr import (asc_pg, FREE_TO_PAID, PAID_UPGRADE, PLAN_ORDER, col, pct,
                                       plan_rank, round_div)
 
 # The stacking order of the ARR-by-plan area chart.
@@ -56,11 +56,11 @@ def moving_average(monthly: DataFrame, value: str = "total_arr", window: int = 3
     The mean is taken over exact cents and rounded half-up to 1/10000 so the
     value does not depend on floating-point summation order.
     """
-    w = Window.orderBy(F.col("month_date").asc_nulls_last()).rowsBetween(-(window - 1), 0)
+    w = Window.orderBy(asc_pg("month_date")).rowsBetween(-(window - 1), 0)
     return monthly.select(
         "month_date", value,
         round_div(F.sum(_money(value)).over(w), F.count(value).over(w), 4).alias(out),
-    ).orderBy(F.col("month_date").asc_nulls_last())
+    ).orderBy(asc_pg("month_date"))
 
 
 # ---- A04 / A05 / A06 --------------------------------------------------------
@@ -74,7 +74,7 @@ def pivot_by_plan(arr_by_plan: DataFrame, value: str = "total_arr",
     p = (arr_by_plan.groupBy("month_date").pivot("plan", plans)
          .agg(F.sum(_money(value))))
     return p.select("month_date", *[F.coalesce(F.col(f"`{pl}`"), F.lit(0)).cast("double")
-                                    .alias(pl) for pl in plans]).orderBy(F.col("month_date").asc_nulls_last())
+                                    .alias(pl) for pl in plans]).orderBy(asc_pg("month_date"))
 
 
 def stacked_by_plan(arr_by_plan: DataFrame, value: str = "total_arr",
@@ -90,7 +90,7 @@ def stacked_by_plan(arr_by_plan: DataFrame, value: str = "total_arr",
     return long.select(
         "month_date", "plan", F.col("v").alias(value),
         F.sum(_money("v")).over(w).cast("double").alias("stacked_arr"),
-    ).orderBy(F.col("month_date").asc_nulls_last(), "plan")
+    ).orderBy(asc_pg("month_date"), "plan")
 
 
 # ---- A07 / A08 --------------------------------------------------------------
@@ -232,7 +232,7 @@ def mau_long(mau: DataFrame) -> DataFrame:
     return (mau.select("month_date", "monthly_active_users", "active_customers")
             .unpivot("month_date", ["monthly_active_users", "active_customers"],
                      "series", "value")
-            .orderBy(F.col("month_date").asc_nulls_last(), "series"))
+            .orderBy(asc_pg("month_date"), "series"))
 
 
 __all__ = ["FREE_TO_PAID", "PAID_UPGRADE", "PLAN_ORDER", "STACK_ORDER", "breakdown_table",

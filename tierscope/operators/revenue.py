@@ -48,7 +48,7 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
         money_avg("arr_act", "arr_n").alias("avg_arr"),
         F.col("total_events_28d").cast("bigint").alias("total_events_28d"),
         round_avg("ev_act", "ev_n", 0).alias("avg_events_28d"),
-    ).orderBy(F.col("month_date").asc_nulls_last())
+    ).orderBy(asc_pg("month_date"))
 
 
 def arr_by_plan(df: DataFrame) -> DataFrame:
@@ -62,14 +62,14 @@ def arr_by_plan(df: DataFrame) -> DataFrame:
         "month_date", "plan", "customers",
         from_cents("arr_c").alias("total_arr"),
         money_avg("arr_c", "arr_n").alias("avg_arr"),
-    ).orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key())
+    ).orderBy(asc_pg("month_date"), plan_sort_key())
 
 
 def plan_distribution(df: DataFrame) -> DataFrame:
     """Distinct active customers per (month, plan)."""
     return (df.filter(F.col("is_active")).groupBy("month_date", "plan")
             .agg(F.count_distinct("id").alias("customer_count"))
-            .orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key()))
+            .orderBy(asc_pg("month_date"), plan_sort_key()))
 
 
 def breakdown_latest(df: DataFrame, dimension: str) -> DataFrame:
@@ -129,7 +129,8 @@ def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
     """Latest month, active, ARR > 0: the k largest ARR (ties by id).
     ``years_as_client`` = whole months from account creation to the latest
     month, / 12, rounded to one place."""
-    rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("annual_recurring_revenue") > 0))
+    arr = F.col("annual_recurring_revenue")
+    rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (arr > 0))
     return (rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), asc_pg("id"))
             .limit(k)
             .select(F.col("id").alias("customer_id"),

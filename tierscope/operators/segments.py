@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import (asc_pg, FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, desc_pg,
+from tierscope.functions.expr import (FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, asc_pg, desc_pg,
                                       exact_sum, plan_from_rank, plan_rank, plan_text_code,
                                       round_avg, whole_months)
 from tierscope.operators.common import text_max_plan
@@ -27,11 +27,12 @@ def high_opportunity_clients(df: DataFrame, k: int = 15, recent_months: int = 6,
     The month filter is a partition filter; the threshold test is exact
     integer arithmetic (sum > threshold * count).
     """
+    ev = F.col("events_28d")
     rows = recent_rows(df, recent_months).filter(
-        (F.col("is_active") == F.lit(True)) & F.col("plan").isin(*FREE_TIERS) & (F.col("events_28d") > 0))
+        (F.col("is_active") == F.lit(True)) & F.col("plan").isin(*FREE_TIERS) & (ev > 0))
     g = (rows.groupBy("id", "plan", "account_created_date")
-         .agg(exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n"),
-              F.avg(F.col("events_28d")).alias("avg_events"), F.max(F.col("events_28d")).alias("peak_events_28d"),
+         .agg(exact_sum(ev).alias("ev_sum"), F.count(ev).alias("ev_n"),
+              F.avg(ev).alias("avg_events"), F.max(ev).alias("peak_events_28d"),
               F.count("*").alias("months_active"))
          .filter(F.col("ev_sum") > F.col("ev_n") * min_avg_events))
     return (g.orderBy(desc_pg("avg_events"), asc_pg("id"), asc_pg("plan"),
@@ -79,8 +80,8 @@ def potential_referrals(df: DataFrame, max_months: int = REFERRAL_MAX_MONTHS,
         s_expr.alias("s_rank"), e_expr.alias("e_rank"),
         F.min(F.when(r.isin(1, 2), r)).alias("start_rank"),
         F.max("plan_code" if plan_by == "text" else "plan_rank").alias("plan_code"),
-        exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n"),
-        F.max(F.col("events_28d")).alias("peak_events"),
+        exact_sum("events_28d").alias("ev_sum"), F.count("events_28d").alias("ev_n"),
+        F.max("events_28d").alias("peak_events"),
         F.count_distinct("month_date").alias("months_observed"),
         F.min("account_created_date").alias("joined_date"))
         .filter(F.col("e_rank") > F.col("s_rank"))

@@ -82,7 +82,7 @@ def mau_metrics(df: DataFrame) -> DataFrame:
     return m.select(
         "month_date", "monthly_active_users", "active_customers",
         pct("monthly_active_users", "active_customers").alias("engagement_rate"),
-    ).orderBy(F.col("month_date").asc_nulls_last())
+    ).orderBy(asc_pg("month_date"))
 
 
 def inactive_rate_current(df: DataFrame) -> DataFrame:
@@ -99,9 +99,9 @@ def inactive_rate_current(df: DataFrame) -> DataFrame:
 def usage_trends_by_plan(df: DataFrame) -> DataFrame:
     """Rounded mean 28-day events of active rows per (month, plan)."""
     g = (df.filter(F.col("is_active")).groupBy("month_date", "plan")
-         .agg(exact_sum(F.col("events_28d")).alias("ev_sum"), F.count(F.col("events_28d")).alias("ev_n")))
+         .agg(exact_sum("events_28d").alias("ev_sum"), F.count("events_28d").alias("ev_n")))
     return (g.select("month_date", "plan", round_avg("ev_sum", "ev_n", 0).alias("avg_events"))
-            .orderBy(F.col("month_date").asc_nulls_last(), plan_sort_key()))
+            .orderBy(asc_pg("month_date"), plan_sort_key()))
 
 
 def _customer_usage(rows: DataFrame) -> DataFrame:
@@ -116,13 +116,15 @@ def _customer_usage(rows: DataFrame) -> DataFrame:
 def power_users(df: DataFrame, k: int = 10) -> DataFrame:
     """Latest month, active, with events: the k with most events."""
     rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("events_28d") > 0))
-    return _customer_usage(rows.orderBy(desc_pg(F.col("events_28d")), asc_pg("id")).limit(k))
+    return _customer_usage(rows.orderBy(desc_pg("events_28d"), asc_pg("id")).limit(k))
 
 
 def at_risk_accounts(df: DataFrame, k: int = 10, max_events: int = AT_RISK_MAX_EVENTS,
                      min_arr: float = AT_RISK_MIN_ARR) -> DataFrame:
     """Latest month, active, paying more than ``min_arr`` with fewer than
     ``max_events`` events (both strict): the k largest ARR."""
-    rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (F.col("annual_recurring_revenue") > 0)
-                                  & (F.col("events_28d") < max_events) & (F.col("annual_recurring_revenue") > min_arr))
-    return _customer_usage(rows.orderBy(desc_pg(F.col("annual_recurring_revenue")), asc_pg("id")).limit(k))
+    arr, ev = F.col("annual_recurring_revenue"), F.col("events_28d")
+    rows = latest_rows(df).filter((F.col("is_active") == F.lit(True)) & (arr > 0)
+                                  & (ev < max_events) & (arr > min_arr))
+    return _customer_usage(
+        rows.orderBy(desc_pg("annual_recurring_revenue"), asc_pg("id")).limit(k))
