@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def read_base_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a stored base table (parquet/orc/delta-less formats Spark ships).
+    """Read a stored base table in any file format Spark reads (parquet, orc, csv, json).
 
     Partition discovery keeps ``month_date`` as a DATE partition column when
     the table was written by :func:`write_base_table`.
@@ -90,6 +91,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 _LOADED: dict = {}
+_LOCK = threading.Lock()   # one derivation per folder even if queries start concurrently
 
 
 def load_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,17 +106,18 @@ def load_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tierscope.sources.fixture import derive_base_table
 
     key = (id(spark), os.path.abspath(sf_dir))
-    if key in _LOADED:
-        return _LOADED[key]
-    root = scratch_dir(spark)
-    if root is None:
-        return derive_base_table(spark, sf_dir)
-    path = f"{root.rstrip('/')}/tierscope/{TABLE_NAME}-{_fingerprint(sf_dir)}"
-    if not _exists(spark, path):
-        write_base_table(derive_base_table(spark, sf_dir), path)
-    df = read_base_table(spark, path)
-    _LOADED[key] = df
-    return df
+    with _LOCK:
+        if key in _LOADED:
+            return _LOADED[key]
+        root = scratch_dir(spark)
+        if root is None:
+            return derive_base_table(spark, sf_dir)
+        path = f"{root.rstrip('/')}/tierscope/{TABLE_NAME}-{_fingerprint(sf_dir)}"
+        if not _exists(spark, path):
+            write_base_table(derive_base_table(spark, sf_dir), path)
+        df = read_base_table(spark, path)
+        _LOADED[key] = df
+        return df
 
 
 __all__ = ["COLUMNS", "conform", "read_base_table", "read_base_table_jdbc",
