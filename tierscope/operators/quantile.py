@@ -8,10 +8,11 @@ every map task's partial map for a group in one task, so with few groups
    spread over all tasks and combined map-side (a hot value costs one row
    per map task);
 2. the rank(s) of the median inside each group are found by a radix descent
-   over the 64-bit value in three digits of 21/21/22 bits: at each level the
+   over the 64-bit value in three digits of 22/21/21 bits: at each level the
    histogram is summed per digit within the digit prefix chosen so far, and
    a running count over those digits (a window per group and target, at most
-   2^22 rows) picks the digit holding the target rank.
+   2^22 rows) picks the digit holding the target rank. The first level also
+   yields each group's size, so no separate count pass is needed.
 
 Every step is a map-side join of the histogram with a broadcast frame of
 at most two targets per group, and every window holds at most 2^22 rows,
@@ -49,20 +50,32 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
     rows = df.select(F.struct(*groups).alias(g), F.col(value).cast("bigint").alias(v)) \
         .filter(F.col(v).isNotNull())
     hist = rows.groupBy(g, v).agg(F.count("*").alias("_c"))
-    n = hist.groupBy(g).agg(F.sum("_c").alias("_n"))
-    targets = n.select(g, F.explode(F.array(
+
+    # Level 0 needs no targets yet: per group, the first-digit counts give
+    # both the running count and the group size n (one aggregation, one
+    # window partitioned by group over at most 2^22 digits).
+    d0 = hist.withColumn("_d0", _digit(F.col(v), 0)).groupBy(g, "_d0") \
+        .agg(F.sum("_c").alias("_dc"))
+    upto = (Window.partitionBy(g).orderBy("_d0")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d0 = (d0.withColumn("_cum", F.sum("_dc").over(upto))
+          .withColumn("_n", F.sum("_dc").over(Window.partitionBy(g))))
+    d0 = d0.select(g, "_d0", "_dc", "_cum", F.explode(F.array(
         F.struct(F.lit(0).alias("_which"), F.floor((F.col("_n") - 1) / 2).alias("_k")),
         F.struct(F.lit(1).alias("_which"), F.floor(F.col("_n") / 2).alias("_k")))).alias("t"))
-    targets = targets.select(g, "t._which", F.col("t._k").cast("bigint").alias("_k"))
+    d0 = d0.select(g, "_d0", "_dc", "_cum", "t._which", F.col("t._k").cast("bigint").alias("_k"))
+    before = F.col("_cum") - F.col("_dc")
+    targets = (d0.filter((before <= F.col("_k")) & (F.col("_k") < F.col("_cum")))
+               .select(g, "_which", (F.col("_k") - before).alias("_k"), "_d0"))
 
-    prefix_cols: list[str] = []
-    for level in range(len(_LEVELS)):
+    prefix_cols: list[str] = ["_d0"]
+    for level in range(1, len(_LEVELS)):
         dcol = f"_d{level}"
         h = hist
         for i in range(level + 1):
             h = h.withColumn(f"_d{i}", _digit(F.col(v), i))
         keys = [g] + prefix_cols
-        # null-safe equality on the group key (a struct: NULL fields match)
+        # null-safe equality on the group key (a struct: NULL fields match).
         # Broadcast: at most two target rows per group (12 for M06's plans x
         # measures). A shuffle join here would key the histogram by group alone
         # and put each group's histogram in one task.
@@ -82,8 +95,7 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
         cum = per_digit.withColumn("_cum", F.sum("_dc").over(w))
         before = F.col("_cum") - F.col("_dc")
         pick = cum.filter((before <= F.col("_k")) & (F.col("_k") < F.col("_cum")))
-        targets = pick.select(*keys, "_which",
-                              (F.col("_k") - (F.col("_cum") - F.col("_dc"))).alias("_k"), dcol)
+        targets = pick.select(*keys, "_which", (F.col("_k") - before).alias("_k"), dcol)
         prefix_cols = prefix_cols + [dcol]
 
     # rebuild the value from its digits
