@@ -155,7 +155,12 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
     instead of every active row in history.
     """
     cutoff = nth_latest_month(df, recent_months)
-    first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
+    # Only customers with a row in the window can be new: the semi-join
+    # restricts the all-history MIN(month) to them (map-side when AQE finds
+    # the id set small enough to broadcast, a shuffle join otherwise).
+    window_ids = df.filter(F.col("month_date") >= cutoff).select("id").distinct()
+    first_seen = (df.select("id", "month_date").join(window_ids, "id", "left_semi")
+                  .groupBy("id").agg(F.min("month_date").alias("first_seen"))
                   .filter(F.col("first_seen") >= cutoff))
     # rows of a NULL month belong to no month yet count for the customer;
     # they live in their own partition, so the pruning still holds
