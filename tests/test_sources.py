@@ -71,3 +71,11 @@ def test_report_job_writes_each_report(spark):
             _rows(registry.OPERATORS[n](base))
     with pytest.raises(ValueError):
         write_reports(base, out, ["no_such_report"])
+
+
+def test_report_job_command_line(spark, capsys):
+    from tierscope.jobs import main
+    out = os.path.join(tempfile.mkdtemp(prefix="tierscope-cli-"), "reports")
+    main(["--sf-dir", SF001, "--out", out, "--reports", "m19_potential_referrals"])
+    assert capsys.readouterr().out.split() == ["m19_potential_referrals"]
+    assert spark.read.parquet(os.path.join(out, "m19_potential_referrals")).count() == 18
