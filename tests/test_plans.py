@@ -58,3 +58,15 @@ def test_scan_reads_only_needed_columns(base):
     text = inspect.physical_plan(registry.OPERATORS["m04_churn_metrics"](base))
     schema = [line for line in text.splitlines() if "ReadSchema" in line][0]
     assert "is_active" in schema and "plan" not in schema and "events" not in schema
+
+
+@pytest.mark.parametrize("name", sorted(registry.OPERATORS))
+def test_no_cross_join(base, name):
+    text = inspect.physical_plan(registry.OPERATORS[name](base))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_fixture_derivation_has_no_cross_join(spark):
+    from tierscope.sources.fixture import derive_base_table
+    text = inspect.physical_plan(derive_base_table(spark, SF001))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
