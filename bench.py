@@ -3,7 +3,9 @@
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPEAT (default 3; best of N per query), BENCH_CACHE (default 1: keep
 the stored base table cached in executor memory, as the baseline probe did;
-0 reads the month-partitioned parquet on every query). Prints ONE JSON line.
+0 reads the month-partitioned parquet on every query), BENCH_EVENTLOG (a folder:
+write Spark's event log there for stage/task times; off by default). Prints
+ONE JSON line.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ def main() -> None:
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     cache = os.environ.get("BENCH_CACHE", "1") == "1"
 
+    extra = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tierscope-bench-")}
+    if os.environ.get("BENCH_EVENTLOG"):
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENTLOG"]})
+
     from tierscope.session import get_or_create_session
     spark = get_or_create_session(
-        f"local[{cpus}]", shuffle_partitions=cpus, app_name="tierscope-bench",
-        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tierscope-bench-")})
+        f"local[{cpus}]", shuffle_partitions=cpus, app_name="tierscope-bench", extra=extra)
 
     from tierscope.plans import registry
     from tierscope.sources.base_table import load_base_table
