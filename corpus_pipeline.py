@@ -12,10 +12,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tierscope.llm import bpe, decontaminate  # noqa: E402
+from tierscope.llm import bpe, decontaminate, langid  # noqa: E402
 from tierscope.llm.common import DOC_COLUMNS, load, shared_folder  # noqa: E402
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text, or no letter in it) go."""
+    found = langid.predict(docs.select(*DOC_COLUMNS), langid.fit(docs))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*DOC_COLUMNS)
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages; documents that are mostly benchmark text go."""
     return decontaminate.decontaminate(docs.select(*DOC_COLUMNS), load(spark, sf_dir, "benchmark"))
@@ -29,6 +35,7 @@ def token_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("language ID", language),
     ("benchmark decontamination", benchmark_passages),
     ("byte-level BPE", token_round_trip),
 ]

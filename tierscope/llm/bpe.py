@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import column, shuffle_partitions
+from tierscope.llm.common import column, pack, shuffle_partitions, unpack
 
 CHUNK_BYTES = 8 << 20
 PLAIN_LIMIT = 0x240  # code points below it start with a byte under 0xC9 in UTF-8
@@ -132,20 +132,6 @@ def _numbered(texts: list[bytes], split) -> tuple[list[str], list[list[int]]]:
     return list(number), rows
 
 
-def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
-    head = np.array([a.nbytes for a in arrays], "<u4").tobytes()
-    return zlib.compress(b"".join([head, *(a.tobytes() for a in arrays), tail]), 1)
-
-
-def _unpack(payload: bytes, n: int) -> list:
-    raw = zlib.decompress(payload)
-    sizes, at, out = np.frombuffer(raw, "<u4", n), 4 * n, []
-    for s in sizes:
-        out.append(np.frombuffer(raw, "<u4", int(s) // 4, at))
-        at += int(s)
-    return [*out, raw[at:]]
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False,
            parts: int | None = None) -> DataFrame:
     """Encode every whole text, then decode the ids again.
@@ -171,7 +157,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
             raw = [w.encode("utf-8", "surrogateescape") for w in distinct]
             for i, w in enumerate(raw):
                 dealt[zlib.crc32(w) % parts].append(i)
-            out = [(p, _pack(np.array(own, "<u4"), np.array([len(raw[i]) for i in own], "<u4"),
+            out = [(p, pack(np.array(own, "<u4"), np.array([len(raw[i]) for i in own], "<u4"),
                              tail=b"".join([raw[i] for i in own])))
                    for p, own in enumerate(dealt) if own]
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +170,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         for batch in batches:
             chunks, out = [], []
             for chunk, payload in zip(column(batch, "chunk"), column(batch, "payload")):
-                own, sizes, tail = _unpack(payload, 2)
+                own, sizes, tail = unpack(payload, "<u4", "<u4")
                 counts, ids, at = [], [], 0
                 for s in sizes.tolist():
                     w = tail[at:at + s]
@@ -194,7 +180,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
                     counts.append(len(x))
                     ids += x
                 chunks.append(chunk)
-                out.append(_pack(own, np.array(counts, "<u4"), np.array(ids, "<u4")))
+                out.append(pack(own, np.array(counts, "<u4"), np.array(ids, "<u4")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chunks, pa.string()), pa.array([0] * len(out), pa.int32()),
                  pa.array(out, pa.binary())], schema=_BACK)
@@ -208,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
             tail = pa.array(ids, docs_id).to_pandas().isna().to_numpy()
             body = np.array([0 if i is None else i for i in ids], "<i8") if whole else None
             named = body.tobytes() if whole else "\0".join(map(str, ids)).encode()
-            payload = _pack(sizes, seq, np.array([len(distinct)], "<u4"),
+            payload = pack(sizes, seq, np.array([len(distinct)], "<u4"),
                             tail=np.packbits(tail).tobytes() + named)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk]), pa.array([1], pa.int32()), pa.array([payload], pa.binary())],
@@ -232,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
                 if chunk != name:
                     name, ids, data = chunk, {}, {}
                 if k == 0:
-                    own, counts, flat, _ = _unpack(payload, 3)
+                    own, counts, flat, _ = unpack(payload, "<u4", "<u4", "<u4")
                     flat, at = flat.tolist(), 0
                     for i, c in zip(own.tolist(), counts.tolist()):
                         x = flat[at:at + c]
@@ -240,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
                         data[i] = b"".join([table[t] for t in x])
                         ids[i] = b",".join([b"%d" % t for t in x]) if digests else x
                     continue
-                sizes, seq, n, tail = _unpack(payload, 3)
+                sizes, seq, n, tail = unpack(payload, "<u4", "<u4", "<u4")
                 if len(ids) != int(n[0]):
                     raise ValueError(f"the documents changed between two readings: {chunk} has {len(ids)} of {int(n[0])} pre-tokens")
                 lengths = np.array([(ids[i].count(b",") + 1) if digests else len(ids[i])

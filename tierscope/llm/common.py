@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,6 +72,43 @@ def arrow_schema(df_schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(df_schema)
 
 
+def pack(*arrays, tail: bytes = b"") -> bytes:
+    """Several numpy arrays (and bytes) as one compressed value."""
+    import numpy as np
+    head = np.array([a.nbytes for a in arrays], "<u4").tobytes()
+    return zlib.compress(b"".join([head, *(a.tobytes() for a in arrays), tail]), 1)
+
+
+def unpack(payload: bytes, *kinds: str) -> list:
+    """What ``pack`` has packed, by the arrays' types; the last item is the tail."""
+    import numpy as np
+    raw = zlib.decompress(payload)
+    sizes, at, out = np.frombuffer(raw, "<u4", len(kinds)), 4 * len(kinds), []
+    for size, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return [*out, raw[at:]]
+
+
+def by_part(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """Payloads of each part, from rows ``(part, payload)`` sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, payload in zip(column(batch, "part"), column(batch, "payload")):
+            if part != now:
+                if held:
+                    yield now, held
+                now, held = part, []
+            held.append(payload)
+    if held:
+        yield now, held
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Rows ``(part, payload)`` with each part in one partition, in order of parts."""
+    return packed.repartition("part").sortWithinPartitions("part")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is
     the smallest node reachable.

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, written from their contracts."""
 
+from tierscope.llm import chat, licenses
+
 SQL: dict[str, str] = {}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,3 +32,80 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SQL["op3_warc_transactions"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS s,
+             max(page_id) OVER (PARTITION BY h) AS kept FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('{_BASE32}', 1 + (((('0x' || substr(s, 1 + 10 * (i // 8), 10))::UBIGINT)
+         >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM q
+"""
+
+_ESCAPED = r"length(regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g'))"
+SQL["op4_chat_formatting"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+         sum({len(chat.TURN + chat.TEXT + chat.END)} + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+SQL["op8_license_scan"] = f"""
+WITH templates AS (
+  SELECT label, list_distinct({_WORDS.format('text')}) AS w FROM (VALUES {_TEMPLATES}) v(i, label, text)),
+phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {_PHRASES}) v(p, label)),
+docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, coalesce(text, '') AS text FROM documents),
+places AS (
+  SELECT doc_id, label, i - 1 AS first
+  FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, phrases WHERE len(w) >= len(p))
+  WHERE w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_distinct({_WORDS.format('line')}) AS b
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+blocks AS (
+  SELECT doc_id, label, len(list_intersect(t.w, l.b)) / len(t.w) AS containment
+  FROM lines l, templates t
+  WHERE len(list_intersect(t.w, l.b)) >= ceil({licenses.THRESHOLD} * len(t.w) - 1e-9)),
+scored AS (SELECT doc_id, max(containment) AS score FROM blocks GROUP BY doc_id),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM blocks) GROUP BY doc_id)
+SELECT doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM docs d LEFT JOIN base USING (doc_id) LEFT JOIN scored USING (doc_id) LEFT JOIN labelled USING (doc_id)
+"""
+
+SQL["op6_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o WHERE 100 * c >= 80 * (na + nb - c)),
+r(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b),
+c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, m AS component_id FROM s JOIN c USING (doc_id)
+"""
