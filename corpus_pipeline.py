@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tierscope.llm import bpe, decontaminate, langid  # noqa: E402
+from tierscope.llm import bpe, decontaminate, langid, ngram_join, pii  # noqa: E402
 from tierscope.llm.common import DOC_COLUMNS, load, shared_folder  # noqa: E402
 
 
@@ -22,11 +22,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*DOC_COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near-duplicates stays."""
+    return ngram_join.keep_one(docs.select(*DOC_COLUMNS))
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages; documents that are mostly benchmark text go."""
     return decontaminate.decontaminate(docs.select(*DOC_COLUMNS), load(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data; n_chars follows a changed text."""
+    found = pii.replace(docs.select(*DOC_COLUMNS))
+    n = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.withColumn("n_chars", n.otherwise(F.col("n_chars"))).select(*DOC_COLUMNS)
+
+
 def token_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text that is left."""
     import public_tokenizers
@@ -36,7 +48,9 @@ def token_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_passages),
+    ("PII", personal_data),
     ("byte-level BPE", token_round_trip),
 ]
 

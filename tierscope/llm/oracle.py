@@ -109,3 +109,20 @@ r(doc_id, m) AS (
 c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
 SELECT doc_id, len(s) AS n_shingles, m AS component_id FROM s JOIN c USING (doc_id)
 """
+
+SQL["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+    AND len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN x IF c <> 0]) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+r(vec_id, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.vec_id WHERE r.m < e.b),
+c AS (SELECT vec_id, min(m) AS m FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.llm import bpe, chat, decontaminate, langid, licenses, ngram_join, warc
+from tierscope.llm import binary_codes, bpe, chat, decontaminate, langid, licenses, ngram_join, pii, suffix_dedup, warc
 from tierscope.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write(load(spark, sf_dir, "pages"), path)
@@ -42,10 +46,18 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.event_log(rows))))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), digests=True)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     start = F.transform("places", lambda p: p.first)
@@ -73,8 +85,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_benchmark_decontamination, op3_warc_transactions, op4_chat_formatting,
-        op6_ngram_jaccard_join, op8_license_scan, op9_language_id, op10_byte_bpe)}
+        op1_benchmark_decontamination, op2_pii_surrogates, op3_warc_transactions, op4_chat_formatting,
+        op5_embedding_near_dedup, op6_ngram_jaccard_join,
+        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
