@@ -33,7 +33,7 @@ from tierscope.llm.common import (
 
 WORDS = 5
 BLOCK = 512
-BITS, AGREE = 128, 96
+BITS, AGREE = 128, 94
 SLICE = 4096  # columns of the incidence matrix multiplied at a time
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
