@@ -79,3 +79,38 @@ def test_report_job_command_line(spark, capsys):
     main(["--sf-dir", SF001, "--out", out, "--reports", "m19_potential_referrals"])
     assert capsys.readouterr().out.split() == ["m19_potential_referrals"]
     assert spark.read.parquet(os.path.join(out, "m19_potential_referrals")).count() == 18
+
+
+def test_jdbc_options_split_and_fetch():
+    from tierscope.sources.base_table import jdbc_options
+    o = jdbc_options("jdbc:postgresql://h/db", properties={"user": "u"}, num_partitions=24,
+                     lower="2021-09-30", upper="2023-09-30")
+    assert o == {"user": "u", "url": "jdbc:postgresql://h/db", "dbtable": "customer_monthly_metrics",
+                 "fetchsize": "10000", "partitionColumn": "month_date", "lowerBound": "2021-09-30",
+                 "upperBound": "2023-09-30", "numPartitions": "24"}
+    with pytest.raises(ValueError, match="bounds"):
+        jdbc_options("jdbc:x")
+    with pytest.raises(ValueError, match="positive"):
+        jdbc_options("jdbc:x", lower=1, upper=2, num_partitions=0)
+
+
+def test_month_list_is_dropped_when_another_writer_adds_a_month(spark):
+    from tierscope.operators import latest
+    path = os.path.join(tempfile.mkdtemp(prefix="tierscope-src-"), "t")
+    write_base_table(table(spark, ROWS), path)
+    assert latest._MONTHS.get(read_base_table(spark, path)) is not None
+    table(spark, [row(9, "2023-03-31")]).write.mode("append").partitionBy("month_date").parquet(path)
+    df = read_base_table(spark, path)
+    assert latest._MONTHS.get(df) is None
+    assert latest.latest_rows(df).count() == 1
+
+
+def test_changed_input_is_derived_again(spark):
+    import shutil
+    root = tempfile.mkdtemp(prefix="tierscope-src-")
+    for n in ("customer", "nation", "orders", "lineitem"):
+        shutil.copy(f"{SF001}/{n}.parquet", f"{root}/{n}.parquet")
+    first = load_base_table(spark, root)
+    assert load_base_table(spark, root) is first
+    os.utime(f"{root}/orders.parquet", (1, 1))
+    assert load_base_table(spark, root) is not first

@@ -55,3 +55,37 @@ def test_refresh_replayed_in_small_batches_is_idempotent(spark):
     for name, op in MONTH_LOCAL_REPORTS.items():
         want = op(base)
         assert _rows(read_report(spark, out, name).select(*want.columns)) == _rows(want), name
+
+
+def test_month_that_loses_its_active_rows_is_cleared(spark):
+    from conftest import row, table
+    from tierscope.streaming import refresh_months
+    root = tempfile.mkdtemp(prefix="tierscope-stream-")
+    src, out = os.path.join(root, "table"), os.path.join(root, "reports")
+    write_base_table(table(spark, [row(1, "2023-01-31"), row(1, "2023-02-28")]), src)
+    months = spark.createDataFrame([("2023-01-31",), ("2023-02-28",)], "m string").select(
+        F.col("m").cast("date").alias("month_date"))
+    refresh_months(spark, src, out, months)
+    assert read_report(spark, out, "arr_by_plan").count() == 2
+    write_base_table(table(spark, [row(1, "2023-01-31"), row(1, "2023-02-28", active=False)]), src)
+    refresh_months(spark, src, out, months.where("month_date = date'2023-02-28'"))
+    base = spark.read.parquet(src)
+    for name, op in MONTH_LOCAL_REPORTS.items():
+        want = op(base)
+        got = spark.read.schema(want.schema).parquet(f"{out}/{name}").select(*want.columns)
+        assert _rows(got) == _rows(want), name
+
+
+def test_untouched_months_are_not_read(spark):
+    import datetime as dt
+
+    from conftest import row, table
+    from tierscope.plans import inspect
+    from tierscope.streaming.refresh import touched_rows
+    src = os.path.join(tempfile.mkdtemp(prefix="tierscope-stream-"), "table")
+    write_base_table(table(spark, [row(1, "2023-01-31"), row(1, "2023-02-28")]), src)
+    rows = touched_rows(spark, src, [dt.date(2023, 2, 28)])
+    filters = inspect.partition_filters(rows)
+    assert len(filters) == 1 and "2023-02-28" in filters[0] and "month_date" in filters[0]
+    assert {f.rsplit("/", 2)[-2] for f in rows.select("month_date", "id").inputFiles()} >= {"month_date=2023-02-28"}
+    assert rows.count() == 1 and touched_rows(spark, src, [None]).count() == 0

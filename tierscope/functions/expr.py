@@ -6,7 +6,9 @@ there is no Python UDF anywhere in the library.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The plan tiers and their ordinal rank, as in the reference.
@@ -76,31 +78,27 @@ def round_avg(sum_col, count_col, scale: int) -> Column:
     return round_div(sum_col, count_col, scale)
 
 
-def _ansi_on() -> bool:
-    spark = SparkSession.getActiveSession()
-    try:
-        return spark is not None and \
-            str(spark.conf.get("spark.sql.ansi.enabled", "true")).lower() == "true"
-    except Exception:
-        return False
-
-
 def exact_sum(c) -> Column:
-    """SUM of an integer column that never silently overflows.
+    """SUM of an integer column as DECIMAL(38,0), exact in every mode.
 
-    With ANSI mode on (Spark's default) a BIGINT sum raises on overflow, so
-    it is exact whenever it returns, and it stays a fixed-width hash-aggregate
-    buffer (about twice as fast as DECIMAL(38,0), which Spark adds as
-    BigDecimal objects). With ANSI off it falls back to DECIMAL(38,0).
+    The value is cut into three limbs of 20 bits (the top one signed) whose
+    BIGINT sums stay fixed-width hash-aggregate buffers and can't overflow below
+    2^40 rows; the limbs are put together once per group. A DECIMAL(38,0) sum
+    would add BigDecimal objects row by row.
     """
-    c = col(c)
-    return F.sum(c.cast("bigint")) if _ansi_on() else F.sum(c.cast("decimal(38,0)"))
+    x = col(c).cast("bigint")
+    mask = F.lit((1 << 20) - 1)
+    limbs = [F.shiftright(x, 40), F.shiftright(x, 20).bitwiseAND(mask), x.bitwiseAND(mask)]
+    out = None
+    for limb, power in zip(limbs, (40, 20, 0)):
+        part = F.sum(limb).cast("decimal(20,0)") * F.lit(Decimal(1 << power))
+        out = part if out is None else out + part
+    return out.cast("decimal(38,0)")
 
 
 def cents(c) -> Column:
-    """Money (DECIMAL with 2 places) as integer cents, per row and cheaply:
-    through the compact double form and ``rint``, exact for |x| < 9e13."""
-    return F.rint(col(c).cast("double") * 100).cast("bigint")
+    """Money (DECIMAL(18,2)) as integer cents, exact over the whole type."""
+    return (col(c).cast("decimal(18,2)") * F.lit(Decimal(100))).cast("bigint")
 
 
 def cents_sum(c) -> Column:
@@ -109,8 +107,8 @@ def cents_sum(c) -> Column:
 
 
 def from_cents(c) -> Column:
-    """Cents back to money as DOUBLE (the same double as the decimal's)."""
-    return col(c).cast("double") / F.lit(100.0)
+    """Cents back to money as DOUBLE: the double nearest to the exact decimal."""
+    return (col(c).cast("decimal(34,0)") * F.lit(Decimal("0.01"))).cast("double")
 
 
 def money_avg(cents_total, count) -> Column:

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tierscope.operators import segments
 from tierscope.plans import registry
 from tierscope.sources.base_table import load_base_table, read_base_table
 
@@ -25,9 +27,18 @@ def write_reports(base: DataFrame, out_path: str, names: list[str] | None = None
     unknown = [n for n in names if n not in registry.OPERATORS]
     if unknown:
         raise ValueError(f"unknown reports: {unknown}")
-    for name in names:
-        registry.OPERATORS[name](base).write.mode(mode).format(fmt) \
-            .save(f"{out_path.rstrip('/')}/{name}")
+    shared = [n for n in names if n in registry.REFERRAL_FRAMES]
+    referrals = None
+    if len(shared) > 1:   # M19 and the frames over it: computed once
+        referrals = segments.potential_referrals(base).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for name in names:
+            out = (registry.REFERRAL_FRAMES[name](referrals) if referrals is not None and name in shared
+                   else registry.OPERATORS[name](base))
+            out.write.mode(mode).format(fmt).save(f"{out_path.rstrip('/')}/{name}")
+    finally:
+        if referrals is not None:
+            referrals.unpersist()
     return names
 
 

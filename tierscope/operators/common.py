@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import PLAN_TEXT_ORDER, plan_from_text_code
 
 
-def text_max_plan(grouped: DataFrame, rows: DataFrame, keys: list[str], code_col: str,
-                  out: str) -> DataFrame:
-    """Finish ``MAX(plan)`` by text for ``grouped``.
+def unknown_plans() -> Column:
+    """Aggregate: the plan values outside the known tiers (normally none, so the
+    set stays empty), for ``text_max_plan``."""
+    plan = F.col("plan")
+    return F.collect_set(F.when(~plan.isin(*PLAN_TEXT_ORDER), plan))
 
-    ``grouped`` carries ``code_col`` = MAX(plan_text_code(plan)) per key, a
-    hash aggregate over integers. Plan values outside the known tiers are
-    handled exactly by a string MAX over only those rows (normally none),
-    joined back per key; AQE broadcasts that side when it is small. That
-    second read is filtered at the scan (``NOT IN`` the known tiers).
-    """
-    # Written as NOT IN so the filter reaches the parquet scan, where row groups
-    # whose dictionary holds only known tiers are skipped.
-    unknown = (rows.filter(F.col("plan").isNotNull() & ~F.col("plan").isin(*PLAN_TEXT_ORDER))
-               .groupBy(*keys).agg(F.max("plan").alias("_unknown_max")))
-    known = plan_from_text_code(code_col)
-    return (grouped.join(unknown, keys, "left")
-            .withColumn(out, F.greatest(known, F.col("_unknown_max")))
-            .drop("_unknown_max", code_col))
+
+def text_max_plan(code: str, unknown: str) -> Column:
+    """``MAX(plan)`` by text from MAX(plan_text_code(plan)), a hash aggregate over
+    integers, and ``unknown_plans()`` of the same rows."""
+    return F.greatest(plan_from_text_code(code), F.array_max(unknown))

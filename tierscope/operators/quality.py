@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import asc_pg, PLAN_ORDER, pct, plan_from_rank, plan_rank
-from tierscope.operators.latest import max_month
+from tierscope.operators.latest import max_month, months_of
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def profile(df: DataFrame) -> DataFrame:
 
     Rows are combined per customer first (map-side partial aggregate), so
     the exact distinct count needs no row expansion; the month facts come
-    from scalar subqueries over the month column only.
+    from the month list.
     """
     per_id = df.groupBy("id").agg(F.count("*").alias("n"))
-    months = df.select(F.struct(F.min("month_date").alias("lo"), F.max("month_date").alias("hi"),
+    months = months_of(df).select(F.struct(F.min("month_date").alias("lo"), F.max("month_date").alias("hi"),
                                 F.count_distinct("month_date").alias("k"))).scalar()
     return per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("records"),
@@ -38,20 +38,23 @@ def completeness(df: DataFrame, columns: tuple[str, ...] = ("country", "industry
     rows (``scope = 'all'``) and per plan (``scope = 'plan'``, ``plan`` NULL
     for rows with no plan).
 
-    One aggregation per plan; the overall row is a global aggregate of those
-    few rows (so an empty table still gets its overall row, as SQL's ROLLUP
-    gives, where Spark's rollup would give none) and reuses their shuffle.
+    One aggregation per plan; each of those few rows then counts once for its
+    plan and once for the overall row, so the table is read once. An added zero
+    row gives an empty table its overall row, as SQL's ROLLUP does.
     """
     aggs = [F.count("*").alias("rows")]
     for c in columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"),
                  F.count_if(F.col(c) == "").alias(f"{c}__blank")]
-    per_plan = df.groupBy("plan").agg(*aggs).withColumn("scope", F.lit("plan"))
-    measures = [a for a in per_plan.columns if a not in ("plan", "scope")]
-    overall = per_plan.agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m)
-                             for m in measures]) \
-        .select(F.lit(None).cast("string").alias("plan"), *measures, F.lit("all").alias("scope"))
-    g = per_plan.unionByName(overall)
+    per_plan = df.groupBy("plan").agg(*aggs)
+    measures = [a for a in per_plan.columns if a != "plan"]
+    scoped = per_plan.withColumn("scope", F.explode(F.array(F.lit("plan"), F.lit("all"))))
+    zero = df.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("plan"), *[F.lit(0).cast("bigint").alias(m) for m in measures],
+        F.lit("all").alias("scope"))
+    g = (scoped.withColumn("plan", F.when(F.col("scope") == "plan", F.col("plan")))
+         .unionByName(zero).groupBy("scope", "plan")
+         .agg(*[F.sum(m).alias(m) for m in measures]))
     stack = ", ".join(f"'{c}', `{c}__null`, `{c}__blank`" for c in columns)
     long = g.selectExpr(
         "scope", "plan", "rows",
@@ -68,18 +71,15 @@ def free_plan_with_arr(df: DataFrame, plan: str = "Free") -> DataFrame:
     suggested plan; only rows where that suggestion differs are kept.
 
     Each flagged row is joined to its customer's per-plan counts - at most
-    one row per known plan, so the join fans out by at most five - and only
-    flagged customers' rows are counted.
+    one row per known plan, so the join fans out by at most five. The counts
+    are combined map-side before anything is shuffled by customer.
     """
     known = F.col("plan").isin(*PLAN_ORDER)
     flagged = (df.filter((F.col("plan") == plan) & (F.col("annual_recurring_revenue") > 0))
                .select("id", "month_date", "annual_recurring_revenue")
                .groupBy("id", "month_date", "annual_recurring_revenue")
                .agg(F.count("*").alias("copies")))
-    # Plan counts only for customers with a flagged row: the semi-join runs
-    # before the aggregation (map-side when AQE finds the flagged ids small).
-    counts = (df.filter(known).join(flagged.select("id").distinct(), "id", "left_semi")
-              .groupBy("id", "plan").agg(F.count("*").alias("n"))
+    counts = (df.filter(known).groupBy("id", "plan").agg(F.count("*").alias("n"))
               .withColumnRenamed("plan", "other_plan"))
     cand = flagged.join(counts, "id").withColumn(
         "n_other", F.col("n") - F.when(F.col("other_plan") == plan, F.col("copies")).otherwise(0))
@@ -93,14 +93,13 @@ def free_plan_with_arr(df: DataFrame, plan: str = "Free") -> DataFrame:
     return (best.select(F.col("id").alias("customer_id"), "month_date",
                         F.col("annual_recurring_revenue").cast("double").alias("arr"),
                         F.lit(plan).alias("plan"), name.alias("suggested_plan"))
-            .filter(F.col("suggested_plan") != plan)
-            .orderBy("customer_id", "month_date"))
+            .filter(F.col("suggested_plan") != plan))
 
 
 def duplicate_keys(df: DataFrame) -> DataFrame:
     """(customer, month) keys that occur more than once."""
     return (df.groupBy("id", "month_date").agg(F.count("*").alias("copies"))
-            .filter(F.col("copies") > 1).orderBy("id", "month_date"))
+            .filter(F.col("copies") > 1))
 
 
 def month_gaps(df: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def month_gaps(df: DataFrame) -> DataFrame:
     missing = idx(F.col("month_date")) - idx(F.col("prev_month")) - 1
     return (g.select(F.col("id").alias("customer_id"), "month_date", "prev_month",
                      missing.cast("bigint").alias("missing_months"))
-            .filter(F.col("missing_months") > 0).orderBy("customer_id", "month_date"))
+            .filter(F.col("missing_months") > 0))
 
 
 def stopped_customers(df: DataFrame) -> DataFrame:
@@ -122,5 +121,4 @@ def stopped_customers(df: DataFrame) -> DataFrame:
     the churn report never counts them."""
     last = df.groupBy("id").agg(F.max("month_date").alias("last_month"))
     return (last.filter(F.col("last_month") < max_month(df))
-            .select(F.col("id").alias("customer_id"), "last_month")
-            .orderBy("customer_id"))
+            .select(F.col("id").alias("customer_id"), "last_month"))

@@ -14,14 +14,13 @@ every map task's partial map for a group in one task, so with few groups
    2^22 rows) picks the digit holding the target rank. The first level also
    yields each group's size, so no separate count pass is needed.
 
-Every step is a map-side join of the histogram with a broadcast frame of
-at most two targets per group, and every window holds at most 2^22 rows,
+Every step joins the histogram with at most two targets per group (map-side
+while Spark finds them small), and every window holds at most 2^22 rows,
 whatever the table size. The result equals ``percentile_cont(0.5)``: the
 mean of the values at 0-based ranks floor((n-1)/2) and floor(n/2).
 
 Meant for few, large groups (M06: six plans). With many small groups, each
-group's values are few and Spark's own ``percentile`` is the simpler choice;
-the broadcast target frame here grows with the number of groups.
+group's values are few and Spark's own ``percentile`` is the simpler choice.
 """
 
 from __future__ import annotations
@@ -76,12 +75,14 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
             h = h.withColumn(f"_d{i}", _digit(F.col(v), i))
         keys = [g] + prefix_cols
         # null-safe equality on the group key (a struct: NULL fields match).
-        # Broadcast: at most two target rows per group (12 for M06's plans x
-        # measures). A shuffle join here would key the histogram by group alone
-        # and put each group's histogram in one task.
-        t, hh = F.broadcast(targets).alias("t"), h.alias("h")
+        # At most two target rows per group (24 for M06's plans x measures), so
+        # AQE broadcasts them by measured size. With very many groups it joins by
+        # group and digits, which spreads a group's histogram over its digits.
+        t, hh = targets.alias("t"), h.alias("h")
         cond = [F.col(f"t.{g}").eqNullSafe(F.col(f"h.{g}"))] + \
-            [F.col(f"t.{c}") == F.col(f"h.{c}") for c in prefix_cols]
+            [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in prefix_cols]
+        # (digits are never NULL; a plain equality would add IS NOT NULL filters
+        # below the histogram, different ones at each level, and so recompute it)
         joined = t.join(hh, cond, "inner").select(
             *[F.col(f"t.{c}").alias(c) for c in keys], F.col("t._which").alias("_which"),
             F.col("t._k").alias("_k"), F.col(f"h.{dcol}").alias(dcol), F.col("h._c").alias("_c"))

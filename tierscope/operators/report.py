@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import (asc_pg, FREE_TO_PAID, PAID_UPGRADE, PLAN_ORDER, col, pct,
-                                      plan_rank, round_div)
+                                      plan_rank)
 
 # The stacking order of the ARR-by-plan area chart.
 STACK_ORDER = ["Top", "Middle", "Low", "Trial", "Free"]
@@ -53,13 +53,14 @@ def moving_average(monthly: DataFrame, value: str = "total_arr", window: int = 3
     """Trailing mean over the last ``window`` rows (at least one row;
     NULLs skipped), like pandas ``rolling(window, min_periods=1).mean()``.
 
-    The mean is taken over exact cents and rounded half-up to 1/10000 so the
-    value does not depend on floating-point summation order.
+    The sum is taken over exact cents, so the value doesn't depend on the order
+    of floating-point additions; the quotient isn't rounded.
     """
     w = Window.orderBy(asc_pg("month_date")).rowsBetween(-(window - 1), 0)
     return monthly.select(
         "month_date", value,
-        round_div(F.sum(_money(value)).over(w), F.count(value).over(w), 4).alias(out),
+        F.when(F.count(value).over(w) > 0, F.sum(_money(value)).over(w).cast("double")
+               / F.count(value).over(w)).alias(out),
     ).orderBy(asc_pg("month_date"))
 
 
@@ -142,7 +143,7 @@ def fill_null(c, value=0) -> Column:
 
 def currency_text(c, places: int = 0) -> Column:
     """``$1,234`` / ``$1,234.56``. Rounds half-to-even on the exact
-    decimal value, as Python formats the Decimals the reference receives."""
+    decimal value."""
     return F.concat(F.lit("$"), F.format_number(col(c).cast(_CENTS), places))
 
 
@@ -152,9 +153,11 @@ def month_year(c) -> Column:
 
 
 def signed_pct_text(c, suffix: str = "% MoM") -> Column:
-    """``+3.2% MoM``. Display text; Java formatting, so an exact binary
-    tie may round differently from Python's."""
-    return F.concat(F.format_string("%+.1f", col(c).cast("double")), F.lit(suffix))
+    """``+3.2% MoM``, rounded half to even on the double's exact value, as
+    Python formats it."""
+    exact = F.format_number(F.abs(col(c).cast("double")).cast("decimal(38,18)"), 1)
+    sign = F.when(col(c) < 0, F.lit("-")).otherwise(F.lit("+"))
+    return F.concat(sign, F.replace(exact, F.lit(","), F.lit("")), F.lit(suffix))
 
 
 def count_text(c) -> Column:
@@ -207,6 +210,34 @@ def breakdown_table(breakdown: DataFrame, key: str, n: int = 10) -> DataFrame:
     return top.select(key, "unique_customers", currency_text("total_arr", 0).alias("total_arr"))
 
 
+def usage_summary_table(usage: DataFrame) -> DataFrame:
+    """A13 + A17 over M06: the usage summary, plans in tier order."""
+    return order_by_plan(usage).select(
+        F.col("plan").alias("Plan"), F.col("unique_customers").alias("Customers"),
+        F.col("customer_months").alias("Customer Months"),
+        F.col("avg_events_daily").alias("Avg Daily Events"),
+        F.col("median_events_daily").alias("Median Daily Events"),
+        F.col("avg_events_28d").alias("Avg 28d Events"),
+        F.col("median_events_28d").alias("Median 28d Events"),
+        F.col("inactive_months").alias("Inactive Months"),
+        F.col("pct_inactive").alias("% Inactive"))
+
+
+def kpi_text(growth: DataFrame, funnel: DataFrame) -> DataFrame:
+    """The texts of the KPI strip, from A01/A02 (one row) and M09 (one row).
+    An average without customers is $0; an unknown total or rate counts as 0."""
+    one = lambda df, c: df.select(c).scalar()
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return growth.select(
+        count_text("active_customers").alias("active_customers"),
+        signed_pct_text("customer_growth_pct").alias("customer_growth"),
+        currency_text(zero(F.col("total_arr")), 0).alias("total_arr"),
+        signed_pct_text(zero(F.col("arr_growth_pct"))).alias("arr_growth"),
+        currency_text(F.round(zero(F.col("avg_arr_per_customer")), 2), 0).alias("avg_arr_per_customer"),
+        F.concat(F.format_number(zero(one(funnel, "conversion_rate_pct")).cast("decimal(38,2)"), 1),
+                 F.lit("%")).alias("conversion_rate"))
+
+
 # ---- A14 / A15 --------------------------------------------------------------
 
 def referral_split(referrals: DataFrame, upgrade_type: str) -> DataFrame:
@@ -240,4 +271,5 @@ __all__ = ["FREE_TO_PAID", "PAID_UPGRADE", "PLAN_ORDER", "STACK_ORDER", "breakdo
            "latest_slice", "mau_long", "month_year", "moving_average", "new_customers_table",
            "opportunity_table", "order_by_plan", "pivot_by_plan", "plan_mix_latest",
            "referral_class_counts", "referral_split", "share_of_total", "signed_pct_text",
-           "stacked_by_plan", "top_by_value", "top_customers_table", "usage_table"]
+           "kpi_text", "stacked_by_plan", "top_by_value", "top_customers_table",
+           "usage_summary_table", "usage_table"]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tierscope.functions.expr import (asc_pg, cents, cents_sum, desc_pg, exact_sum, from_cents,
                                       money_avg, plan_from_rank, plan_rank, plan_sort_key,
                                       plan_text_code, round_avg, whole_months, years_from_months)
-from tierscope.operators.common import text_max_plan
-from tierscope.operators.latest import latest_rows, max_month, nth_latest_month
+from tierscope.operators.common import text_max_plan, unknown_plans
+from tierscope.operators.latest import (latest_rows, max_month, nth_latest_month,
+                                        previous_month)
 
 
 def monthly_metrics(df: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     pass, then pivots the two month rows into one.
     """
     latest = max_month(df)
-    prev = df.filter(F.col("month_date") < latest).select(F.max("month_date")).scalar()
+    prev = previous_month(df)
     # Two equalities rather than IN (latest, prev): Spark 4.1 fails to push an
     # IN of scalar-subquery DATE values into a parquet scan of a data column.
     in_two = (F.col("month_date") == latest) | (F.col("month_date") == prev)
@@ -155,12 +156,9 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
     instead of every active row in history.
     """
     cutoff = nth_latest_month(df, recent_months)
-    # Only customers with a row in the window can be new: the semi-join
-    # restricts the all-history MIN(month) to them (map-side when AQE finds
-    # the id set small enough to broadcast, a shuffle join otherwise).
-    window_ids = df.filter(F.col("month_date") >= cutoff).select("id").distinct()
-    first_seen = (df.select("id", "month_date").join(window_ids, "id", "left_semi")
-                  .groupBy("id").agg(F.min("month_date").alias("first_seen"))
+    # The MIN is combined map-side, so history is shuffled as one row per
+    # customer and task; only newcomers are left for the join below.
+    first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
                   .filter(F.col("first_seen") >= cutoff))
     # rows of a NULL month belong to no month yet count for the customer;
     # they live in their own partition, so the pruning still holds
@@ -172,10 +170,10 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
                              cents("annual_recurring_revenue").alias("arr_cents"))
                      .join(first_seen, "id"))
     g = (recent_active.groupBy("id", "first_seen")
-         .agg(F.max("plan_code").alias("plan_code"), exact_sum("arr_cents").alias("arr_sum"),
-              F.max("month_date").alias("last_month")))
+         .agg(F.max("plan_code").alias("plan_code"), unknown_plans().alias("other_plans"),
+              exact_sum("arr_cents").alias("arr_sum"), F.max("month_date").alias("last_month")))
     if plan_by == "text":
-        g = text_max_plan(g, recent_active, ["id", "first_seen"], "plan_code", "plan")
+        g = g.withColumn("plan", text_max_plan("plan_code", "other_plans"))
     else:
         g = g.withColumn("plan", plan_from_rank("plan_code")).drop("plan_code")
     by_arr = desc_pg("arr_sum") if nulls == "first" else F.col("arr_sum").desc_nulls_last()

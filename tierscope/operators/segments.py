@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierscope.functions.expr import (FREE_TIERS, FREE_TO_PAID, PAID_UPGRADE, asc_pg, desc_pg,
                                       exact_sum, plan_from_rank, plan_rank, plan_text_code,
                                       round_avg, whole_months)
-from tierscope.operators.common import text_max_plan
+from tierscope.operators.common import text_max_plan, unknown_plans
 from tierscope.operators.latest import recent_rows
 
 
@@ -80,6 +80,7 @@ def potential_referrals(df: DataFrame, max_months: int = REFERRAL_MAX_MONTHS,
         s_expr.alias("s_rank"), e_expr.alias("e_rank"),
         F.min(F.when(r.isin(1, 2), r)).alias("start_rank"),
         F.max("plan_code" if plan_by == "text" else "plan_rank").alias("plan_code"),
+        unknown_plans().alias("other_plans"),
         exact_sum("events_28d").alias("ev_sum"), F.count("events_28d").alias("ev_n"),
         F.max("events_28d").alias("peak_events"),
         F.count_distinct("month_date").alias("months_observed"),
@@ -96,7 +97,7 @@ def potential_referrals(df: DataFrame, max_months: int = REFERRAL_MAX_MONTHS,
     if ordered:
         out = out.withColumn("ending_plan_name", plan_from_rank("e_rank")).drop("plan_code")
     elif plan_by == "text":
-        out = text_max_plan(out, h, ["id"], "plan_code", "ending_plan_name")
+        out = out.withColumn("ending_plan_name", text_max_plan("plan_code", "other_plans"))
     else:
         out = out.withColumn("ending_plan_name", plan_from_rank("plan_code")).drop("plan_code")
     out = (out.withColumn("upgrade_type", upgrade_type)

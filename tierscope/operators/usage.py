@@ -50,8 +50,8 @@ def usage_by_plan(df: DataFrame, exact_median: bool = True) -> DataFrame:
                .groupBy(F.col("plan").alias("_p"))
                .agg(*[F.max(F.when(F.col("measure") == m, F.col("m"))).alias(m)
                       for m in ("daily_median", "ev_median")]))
-        # one row per plan on each side
-        g = g.join(F.broadcast(med), g["plan"].eqNullSafe(med["_p"]), "left").drop("_p")
+        # one row per plan on each side; AQE broadcasts by measured size
+        g = g.join(med, g["plan"].eqNullSafe(med["_p"]), "left").drop("_p")
     return g.select(
         "plan", "unique_customers", "customer_months",
         round_avg("daily_sum", "daily_n", 0).alias("avg_events_daily"),

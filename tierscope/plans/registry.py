@@ -16,6 +16,14 @@ from tierscope.operators import growth, quality, report, revenue, segments, usag
 from tierscope.functions.expr import FREE_TO_PAID, PAID_UPGRADE
 from tierscope.sources.base_table import load_base_table
 
+# Frames over M19, by name: a job that writes several computes M19 once.
+REFERRAL_FRAMES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "m19_potential_referrals": lambda r: r,
+    "a14_referrals_free_to_paid": lambda r: report.referral_split(r, FREE_TO_PAID),
+    "a14_referrals_paid_upgrade": lambda r: report.referral_split(r, PAID_UPGRADE),
+    "a15_referral_class_counts": report.referral_class_counts,
+}
+
 OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m01_monthly_metrics": revenue.monthly_metrics,
     "m02_arr_by_plan": revenue.arr_by_plan,
@@ -53,6 +61,13 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
         segments.high_opportunity_clients(df)),
     "a13_industry_table": lambda df: report.breakdown_table(
         revenue.industry_breakdown(df), "industry"),
+    "a13_country_table": lambda df: report.breakdown_table(
+        revenue.revenue_by_geography(df), "country"),
+    "a13_usage_summary_table": lambda df: report.usage_summary_table(usage.usage_by_plan(df)),
+    "a09_top_industries_bar": lambda df: report.top_by_value(
+        revenue.industry_breakdown(df), "industry"),
+    "a19_kpi_text": lambda df: report.kpi_text(
+        report.kpi_growth(revenue.latest_snapshot(df)), growth.conversion_funnel(df)),
     "a14_referrals_free_to_paid": lambda df: report.referral_split(
         segments.potential_referrals(df), FREE_TO_PAID),
     "a14_referrals_paid_upgrade": lambda df: report.referral_split(

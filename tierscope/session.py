@@ -2,8 +2,8 @@
 
 On a cluster the caller owns the session; the library only reads
 ``spark.checkpoint.dir`` from it (the shared folder for materialised
-intermediates). Only local runs (tests, bench) may set that folder
-themselves, and only when it is unset.
+intermediates). A cluster session without that folder gets an error; a local
+one (tests, bench) a temporary folder, without a change to the session.
 """
 
 from __future__ import annotations
@@ -50,25 +50,28 @@ def _is_local(spark: SparkSession) -> bool:
         return False
 
 
-def scratch_dir(spark: SparkSession) -> str | None:
-    """The shared folder for materialised intermediates.
+_LOCAL_SCRATCH: dict[str, str] = {}
 
-    Reads the session's checkpoint folder (``spark.checkpoint.dir``). When it
-    is unset and the session is local, a fresh temporary folder is created and
-    registered as the checkpoint folder. On a cluster with no folder set,
-    returns None and callers fall back to a purely lazy plan.
-    """
-    d = None
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for materialised intermediates: the session's checkpoint
+    folder (``spark.checkpoint.dir``). Without one, a local session gets a
+    temporary folder of its own; anywhere else that would be a folder other
+    machines can't see, so it is an error."""
+    folder = None if _is_connect(spark) else spark.sparkContext.getCheckpointDir()
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not _is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tierscope-")
+    return _LOCAL_SCRATCH[app]
+
+
+def _is_connect(spark: SparkSession) -> bool:
     try:
-        d = spark.sparkContext.getCheckpointDir()
+        return spark.sparkContext is None
     except Exception:
-        d = None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    if _is_local(spark):
-        d = tempfile.mkdtemp(prefix="tierscope-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-        return spark.sparkContext.getCheckpointDir() or d
-    return None
+        return True

@@ -4,18 +4,19 @@ Physical layout we write and expect: parquet partitioned by ``month_date``.
 Most reports read only the latest one, three or six months; with this layout
 ``month_date = (SELECT max(month_date) ...)`` becomes a partition filter that
 Spark evaluates before listing files, so those reports read a few months of
-data instead of the whole history.
+data instead of the whole history. The months themselves come from a month list
+(one row per month, with its row count) that the writer keeps beside the table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierscope.operators.latest import with_months
 from tierscope.session import scratch_dir
 from tierscope.sources.schema import BASE_SCHEMA, COLUMNS, TABLE_NAME
 
@@ -29,65 +30,116 @@ def read_base_table(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     """Read a stored base table in any file format Spark reads (parquet, orc, csv, json).
 
     Partition discovery keeps ``month_date`` as a DATE partition column when
-    the table was written by :func:`write_base_table`.
+    the table was written by :func:`write_base_table`. Its month list is used if
+    it names the months that the table's folders have; after another writer has
+    added or dropped months it isn't, until :func:`write_month_list`.
     """
     reader = spark.read.format(fmt)
     if fmt in ("csv", "json"):
         reader = reader.schema(BASE_SCHEMA)
         if fmt == "csv":
             reader = reader.option("header", "true")
-    return conform(reader.load(path))
+    df = conform(reader.load(path))
+    if fmt == "parquet" and _exists(spark, f"{_months_path(path)}/_SUCCESS"):
+        months = spark.read.parquet(_months_path(path))
+        listed = {"__HIVE_DEFAULT_PARTITION__" if r[0] is None else str(r[0])
+                  for r in months.select("month_date").collect()}  # one row per month
+        if listed == _month_folders(spark, path):
+            return with_months(df, months)
+    return df
+
+
+def jdbc_options(url: str, table: str = TABLE_NAME, properties: dict | None = None,
+                 num_partitions: int = 64, fetch_size: int = 10_000, split: str = "month_date",
+                 lower: str | None = None, upper: str | None = None) -> dict[str, str]:
+    """Options of a parallel JDBC read. ``split``: the column whose range is dealt
+    into ``num_partitions`` connections (``month_date`` or ``id``), ``lower`` and
+    ``upper`` its bounds; both are required, because a read without them is one
+    task. ``fetch_size`` keeps the driver from buffering a whole result."""
+    if lower is None or upper is None:
+        raise ValueError(f"a parallel read needs both bounds of {split}; see jdbc_bounds")
+    if num_partitions < 1:
+        raise ValueError("num_partitions must be positive")
+    return {**{k: str(v) for k, v in (properties or {}).items()}, "url": url, "dbtable": table,
+            "fetchsize": str(fetch_size), "partitionColumn": split, "lowerBound": str(lower),
+            "upperBound": str(upper), "numPartitions": str(num_partitions)}
+
+
+def jdbc_bounds(spark: SparkSession, url: str, table: str = TABLE_NAME,
+                properties: dict | None = None, split: str = "month_date") -> tuple[str, str]:
+    """Smallest and largest ``split`` value, asked of the database (one row)."""
+    query = f"SELECT min({split}) AS lo, max({split}) AS hi FROM {table}"
+    row = (spark.read.format("jdbc").options(**{k: str(v) for k, v in (properties or {}).items()})
+           .option("url", url).option("query", query).load().first())
+    if row is None or row["lo"] is None:
+        raise ValueError(f"{table} has no rows")
+    return str(row["lo"]), str(row["hi"])
 
 
 def read_base_table_jdbc(spark: SparkSession, url: str, table: str = TABLE_NAME,
                          properties: dict | None = None, num_partitions: int = 64,
-                         lower_id: int | None = None, upper_id: int | None = None) -> DataFrame:
+                         split: str = "month_date", lower: str | None = None,
+                         upper: str | None = None) -> DataFrame:
     """Read the table from PostgreSQL (or any JDBC database) in parallel.
 
-    The reference's only source is one PostgreSQL table. With id bounds the
-    read is split into ``num_partitions`` id ranges, one connection each, so
-    no single task pulls the whole table. Credentials go in ``properties``
-    (user, password, driver); nothing is read from the environment.
+    Bounds that aren't given are asked of the database first. Rows with a NULL
+    ``split`` value come with the first range, as Spark does. Credentials go in
+    ``properties`` (user, password, driver); nothing is read from the environment.
     """
-    opts = dict(properties or {})
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in opts.items():
-        reader = reader.option(k, v)
-    if lower_id is not None and upper_id is not None:
-        reader = (reader.option("partitionColumn", "id")
-                  .option("lowerBound", str(lower_id)).option("upperBound", str(upper_id))
-                  .option("numPartitions", str(num_partitions)))
-    return conform(reader.load())
+    if lower is None or upper is None:
+        found = jdbc_bounds(spark, url, table, properties, split)
+        lower, upper = lower or found[0], upper or found[1]
+    options = jdbc_options(url, table, properties, num_partitions, split=split, lower=lower, upper=upper)
+    return conform(spark.read.format("jdbc").options(**options).load())
 
 
 def write_base_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write partitioned by month; the rebalance hint lets AQE size the files
-    (one file per month when small, months split into ~advisory-size files when
-    large) instead of every task writing a sliver of every month."""
+    """Write partitioned by month, then the month list; the rebalance hint lets AQE
+    size the files (one file per month when small, months split into
+    ~advisory-size files when large) instead of every task writing a sliver of
+    every month."""
     (conform(df).hint("rebalance", "month_date")
      .write.mode(mode).partitionBy("month_date").parquet(path))
+    write_month_list(df.sparkSession, path)
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in ("customer", "nation", "orders", "lineitem"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(name.encode())
-    return h.hexdigest()[:16]
+def write_month_list(spark: SparkSession, path: str) -> None:
+    """(Re)write the month list of a stored table. Counts need only the partition
+    column, so no data column is read."""
+    table = spark.read.schema(BASE_SCHEMA).parquet(path)
+    (table.groupBy("month_date").agg(F.count("*").alias("rows")).coalesce(1)
+     .write.mode("overwrite").parquet(_months_path(path)))
+
+
+def _months_path(path: str) -> str:
+    return f"{path.rstrip('/')}_months"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _month_folders(spark: SparkSession, path: str) -> set[str]:
+    fs, p = _file_system(spark, path)
+    names = (st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+    return {n.split("=", 1)[1] for n in names if n.startswith("month_date=")}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(p))
-    except Exception:
-        return os.path.exists(os.path.join(path, "_SUCCESS"))
+    fs, p = _file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Path, size and modification time of the input tables' files, as Hadoop's
+    file systems report them (local disks and object stores alike)."""
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    for name in ("customer", "nation", "orders", "lineitem"):
+        fs, p = _file_system(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        for st in sorted(fs.listStatus(p), key=lambda st: st.getPath().toString()):
+            h.update(f"{name}:{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
 
 
 _LOADED: dict = {}
@@ -100,25 +152,20 @@ def load_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     The derived table is written (partitioned by month) under the session's
     checkpoint folder, which cuts the derivation's lineage: later queries, and
     tasks re-run after an executor loss, read the stored files instead of
-    recomputing joins and windows. Without a checkpoint folder (a cluster
-    session that has none) the lazy derivation is returned as is.
+    recomputing joins and windows. A table stored earlier is used again while the
+    input files are the same, within the same application.
     """
     from tierscope.sources.fixture import derive_base_table
 
-    key = (id(spark), os.path.abspath(sf_dir))
     with _LOCK:
-        if key in _LOADED:
-            return _LOADED[key]
-        root = scratch_dir(spark)
-        if root is None:
-            return derive_base_table(spark, sf_dir)
-        path = f"{root.rstrip('/')}/tierscope/{TABLE_NAME}-{_fingerprint(sf_dir)}"
-        if not _exists(spark, path):
-            write_base_table(derive_base_table(spark, sf_dir), path)
-        df = read_base_table(spark, path)
-        _LOADED[key] = df
-        return df
-
-
-__all__ = ["COLUMNS", "conform", "read_base_table", "read_base_table_jdbc",
-           "write_base_table", "load_base_table"]
+        key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
+        if key not in _LOADED:
+            path = f"{scratch_dir(spark).rstrip('/')}/tierscope/{TABLE_NAME}-{key[1]}"
+            if not (_exists(spark, f"{path}/_SUCCESS") and _exists(spark, f"{_months_path(path)}/_SUCCESS")):
+                write_base_table(derive_base_table(spark, sf_dir), path)
+            _LOADED[key] = read_base_table(spark, path)
+        return _LOADED[key]
+
+
+__all__ = ["COLUMNS", "conform", "jdbc_bounds", "jdbc_options", "read_base_table",
+           "read_base_table_jdbc", "write_base_table", "write_month_list", "load_base_table"]

@@ -2,7 +2,7 @@
 
 Grain: one row per (customer ``id``, ``month_date``). The grain is not
 enforced by the source; operators never assume it (distinct counts stay
-exact) and ``tierscope.operators.quality.grain_check`` reports violations.
+exact) and ``tierscope.operators.quality.duplicate_keys`` reports violations.
 """
 
 from pyspark.sql import types as T

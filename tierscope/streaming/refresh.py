@@ -12,15 +12,17 @@ Only reports whose rows depend on a single month are maintained this way
 trends); reports that look across months (churn, cohorts, top lists of the
 latest month) are cheap to re-run as batch queries on the pruned months.
 
-Replaying a batch after a failure recomputes the same months from the same
-table and overwrites the same partitions, so the sink stays exactly-once
-without any state of its own.
+A touched month that has no result rows any more is cleared, so the reports
+always equal the batch operators over the table. Replaying a batch after a
+failure recomputes the same months from the same table and replaces the same
+partitions, without any state of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +42,49 @@ MONTH_LOCAL_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 def refresh_months(spark: SparkSession, base_path: str, out_path: str, months: DataFrame,
                    reports: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
     """Recompute ``reports`` for the months in ``months`` (one column,
-    ``month_date``) and overwrite those month partitions under ``out_path``.
+    ``month_date``) and replace those month partitions under ``out_path``.
 
-    The semi-join on the partition column lets Spark prune the base table to
-    the touched months (dynamic partition pruning); the small month list is
-    broadcast by AQE only after its size is measured.
+    The touched months are a short list of literals (one value per month, so its
+    size is bounded by the calendar), which makes them a partition filter: other
+    months aren't read. Their rows are kept for all reports, so the table is read
+    once. A touched month without result rows loses its partition.
     """
     reports = reports or MONTH_LOCAL_REPORTS
-    table = read_base_table(spark, base_path)
-    rows = table.join(months.select("month_date").distinct(), "month_date", "left_semi")
-    for name, op in reports.items():
-        (op(rows).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month_date")
-         .parquet(f"{out_path.rstrip('/')}/{name}"))
+    touched = [r[0] for r in months.select("month_date").distinct().collect()]
+    if not touched:
+        return
+    rows = touched_rows(spark, base_path, touched).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for name, op in reports.items():
+            path = f"{out_path.rstrip('/')}/{name}"
+            (op(rows).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic")
+             .partitionBy("month_date").parquet(path))
+            _clear_empty(spark, path, touched, op(rows))
+    finally:
+        rows.unpersist()
+
+
+def touched_rows(spark: SparkSession, base_path: str, touched: list) -> DataFrame:
+    """The base table's rows of the given months (None: rows without a month)."""
+    month = F.col("month_date")
+    dated = [m for m in touched if m is not None]
+    wanted = month.isin(dated) if dated else F.lit(False)
+    if len(dated) < len(touched):
+        wanted = wanted | month.isNull()
+    return read_base_table(spark, base_path).filter(wanted)
+
+
+def _clear_empty(spark: SparkSession, path: str, touched: list, result: DataFrame) -> None:
+    """Dynamic overwrite replaces only partitions that have new rows; drop the
+    touched months that have none."""
+    kept = {r[0] for r in result.select("month_date").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    for m in touched:
+        if m not in kept:
+            value = "__HIVE_DEFAULT_PARTITION__" if m is None else str(m)
+            p = jvm.org.apache.hadoop.fs.Path(f"{path}/month_date={value}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def start_refresh(spark: SparkSession, base_path: str, out_path: str, checkpoint_path: str,
