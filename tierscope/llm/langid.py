@@ -126,7 +126,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Learn from rows with a text that has a letter, a language and an id that
-    isn't held out. An empty table gives a model that knows no language."""
+    isn't held out; of more than ``max_rows // 8`` languages, the most frequent
+    ones. An empty table gives a model that knows no language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                       & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), "text",
