@@ -33,18 +33,19 @@ TITLES = {
 _TITLE = "|".join(t for own in TITLES.values() for t in sorted(own, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api_key|apikey) {0,3}[=:] {0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
-             r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)",
-    "card": r"(?<![\w.])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\w)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
+    "secret": r"(?<=[\"'])(?<=\b(?:token|secret|password|passwd|api_key|apikey) {0,3}[=:] {0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
+    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
+             r"|(?=\+)(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)",
+    "card": r"(?=\d)(?<![\w.])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\w)",
+    "name": rf"(?=[DFHMPSГг])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
 }
 _ANY = "|".join(PATTERNS.values())
-# A text without any of these holds no entity; one quick pass.
-_HINT = rf"[0-9@]|(?:token|secret|password|passwd|api_?key) {{0,3}}[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+# A text without any of these holds no entity; one quick pass. (Every pattern
+# and hint begins with a test of one character, so that most places fail at once.)
+_HINT = rf"[0-9@]|[=:] {{0,3}}[\"']|(?=[DFHMPSГг])(?:{_TITLE})\.? \p{{Lu}}"
 
 # Syllables of invented names.
 _FIRST = {"latin": ["Al", "Be", "Co", "Da", "El", "Fe", "Ga", "Ha", "Jo", "Ka", "Le", "Ma", "Ne", "Or", "Pa", "Ro"],
@@ -57,6 +58,11 @@ _LAST = {"latin": {"given-m": ["n", "rd", "s", "k"], "given-f": ["a", "na", "lla
                       "given-n": ["о", "у", "е", "и"], "family": ["енко", "ук", "ич", "ян"]}}
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _chars(m: Column) -> Column:
     return F.split(m, "")
 
@@ -98,17 +104,21 @@ def _gender(m: Column) -> Column:
 
 def entities(m: Column) -> Column:
     """``array<struct<kind,canon>>`` of one mention: the parts that get surrogates."""
-    kind = kind_of(m)
-    one = lambda k, c: F.array(F.struct(F.lit(k).alias("kind"), c.alias("canon")))
+    one = lambda k, c: F.array(F.struct(k.alias("kind"), c.alias("canon")))
     none = F.array().cast("array<struct<kind:string,canon:string>>")
-    tokens = _name_tokens(m)
-    names = F.transform(tokens, lambda t, i: F.struct(
-        F.when(i == F.size(tokens) - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), _gender(m))).alias("kind"),
-        F.lower(t).alias("canon")))
-    return (F.when(kind == "email", one("email", F.lower(m))).when(kind == "ip", one("ip", m))
-            .when(kind == "ssn", one("ssn", m)).when(kind == "phone", one("phone", _right(_digits(m), 10)))
-            .when(kind == "card", one("card", _digits(m))).when(kind == "name", names)
-            .when(kind == "secret", one("secret", m)).otherwise(none))
+
+    def names(tokens):
+        return F.transform(tokens, lambda t, i: F.struct(
+            F.when(i == F.size(tokens) - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), _gender(m))).alias("kind"),
+            F.lower(t).alias("canon")))
+
+    def of(kind):
+        canon = (F.when(kind == "email", F.lower(m)).when(kind == "phone", _right(_digits(m), 10))
+                 .when(kind == "card", _digits(m)).otherwise(m))
+        return (F.when(kind.isNull(), none).when(kind == "name", _let(_name_tokens(m), names))
+                .otherwise(one(kind, canon)))
+
+    return _let(kind_of(m), of)
 
 
 def _right(x: Column, n: int) -> Column:
@@ -141,10 +151,12 @@ def _by_class(m: Column, h: Column, letters=26) -> Column:
 
 def _filled(m: Column, digits: Column) -> Column:
     """The mention with its digits replaced by those of a digit string."""
-    def put(c, i):
-        before = F.length(_digits(F.substr(m, F.lit(1), i + 1)))
-        return F.when(c.rlike("^[0-9]$"), F.substr(digits, before, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(_chars(m), put), "")
+    def fill(new):
+        def put(c, i):
+            before = F.length(_digits(F.substr(m, F.lit(1), i + 1)))
+            return F.when(c.rlike("^[0-9]$"), F.substr(new, before, F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(_chars(m), put), "")
+    return _let(digits, fill)
 
 
 def _email(m: Column, h: Column, draw: Column) -> Column:
@@ -165,22 +177,23 @@ def _ip(m: Column, h: Column, draw: Column) -> Column:
 
 
 def _phone(m: Column, h: Column) -> Column:
-    d = _digits(m)
-    n = F.length(d)
-    def swap(c, i):
-        r = n - 1 - i  # place from the right
-        new = F.when((r == 9) | (r == 6), 2 + _byte(h, r) % 8).otherwise(_byte(h, r) % 10)
-        return F.when((r >= 10) | (c == ""), c).otherwise(new.cast("string"))
-    return _filled(m, F.array_join(F.transform(_chars(d), swap), ""))
+    def new(d):
+        def swap(c, i):
+            r = F.length(d) - 1 - i  # place from the right
+            n = F.when((r == 9) | (r == 6), 2 + _byte(h, r) % 8).otherwise(_byte(h, r) % 10)
+            return F.when((r >= 10) | (c == ""), c).otherwise(n.cast("string"))
+        return F.array_join(F.transform(_chars(d), swap), "")
+    return _filled(m, _let(_digits(m), new))
 
 
 def _card(m: Column, h: Column) -> Column:
-    d = _digits(m)
-    body = F.array_join(F.transform(
-        _chars(F.substr(d, F.lit(1), F.length(d) - 1)),
-        lambda c, i: F.when((i == 0) | (c == ""), c).otherwise((_byte(h, i) % 10).cast("string"))), "")
-    check = (10 - _luhn_sum(body, True) % 10) % 10
-    return _filled(m, F.concat(body, check.cast("string")))
+    def body(d):
+        return F.array_join(F.transform(
+            _chars(F.substr(d, F.lit(1), F.length(d) - 1)),
+            lambda c, i: F.when((i == 0) | (c == ""), c).otherwise((_byte(h, i) % 10).cast("string"))), "")
+    def checked(b):
+        return F.concat(b, ((10 - _luhn_sum(b, True) % 10) % 10).cast("string"))
+    return _filled(m, _let(_let(_digits(m), body), checked))
 
 
 def _name_part(kind: Column, token: Column, h: Column, draw: Column) -> Column:
@@ -197,37 +210,48 @@ def _name_part(kind: Column, token: Column, h: Column, draw: Column) -> Column:
     return F.when(token.rlike(r"^\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
 
-def surrogate(m: Column, key: str, draw_of) -> Column:
-    """Surrogate of a mention. ``draw_of(kind, canon)``: how often the entity was
-    drawn again."""
-    e = entities(m)
-    def of(x):
-        draw = draw_of(x.kind, x.canon)
-        return _stream(key, x.kind, x.canon, draw)
-    kind, canon = e[0].kind, e[0].canon
-    h, d = of(e[0]), draw_of(kind, canon)
-    tokens = _name_tokens(m)
-    names = F.transform(e, lambda x, i: _name_part(
-        x.kind, F.get(tokens, i), of(x), draw_of(x.kind, x.canon)))
-    title = F.regexp_extract(m, rf"^((?:{_TITLE})\.? )", 1)
+def _formed(kind: Column, m: Column, h: Column, draw: Column) -> Column:
+    """Surrogate of a mention that is one entity (not a name)."""
     hex_only = m.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
-    family_or_given = kind.isin("family", "given-m", "given-f", "given-n")
-    return (F.when(F.size(e) == 0, m).when(kind == "email", _email(m, h, d)).when(kind == "ip", _ip(m, h, d))
+    return (F.when(kind == "email", _email(m, h, draw)).when(kind == "ip", _ip(m, h, draw))
             .when(kind == "phone", _phone(m, h)).when(kind == "card", _card(m, h))
-            .when(kind == "ssn", _by_class(m, h))
-            .when(family_or_given, F.concat(title, F.array_join(names, " ")))
-            .otherwise(F.when(hex_only, _by_class(m, h, 6)).otherwise(_by_class(m, h))))
+            .when((kind == "secret") & hex_only, _by_class(m, h, 6)).otherwise(_by_class(m, h)))
+
+
+_NAME_KINDS = ["family", "given-m", "given-f", "given-n"]
+
+
+def surrogate(m: Column, key: str, draw_of) -> Column:
+    """``struct<kind,surrogate>`` of a mention; what is no entity stays as it is,
+    with the kind ``none``. ``draw_of(kind, canon)``: how often the entity was
+    drawn again. Each step's values are computed once for the next."""
+    def seeded(e):
+        drawn = F.transform(e, lambda x: F.struct(x.kind.alias("kind"), x.canon.alias("canon"),
+                                                  draw_of(x.kind, x.canon).alias("draw")))
+        return F.transform(drawn, lambda x: F.struct(
+            x.kind.alias("kind"), x.draw.alias("draw"), _stream(key, x.kind, x.canon, x.draw).alias("h")))
+
+    def names(e):
+        title = F.regexp_extract(m, rf"^((?:{_TITLE})\.? )", 1)
+        def of(tokens):
+            return F.array_join(F.transform(e, lambda x, i: _name_part(x.kind, F.get(tokens, i), x.h, x.draw)), " ")
+        return F.concat(title, _let(_name_tokens(m), of))
+
+    def made(e):
+        first = F.get(e, F.lit(0))
+        named = first.kind.isin(_NAME_KINDS)
+        return F.struct(
+            F.when(F.size(e) == 0, "none").when(named, "name").otherwise(first.kind).alias("kind"),
+            F.when(F.size(e) == 0, m).when(named, names(e))
+            .otherwise(_formed(first.kind, m, first.h, first.draw)).alias("surrogate"))
+
+    return _let(_let(entities(m), seeded), made)
 
 
 def _entity_surrogate(kind: Column, canon: Column, key: str, draw: Column) -> Column:
     """Canonical form of an entity's surrogate, for the collision check."""
-    h = _stream(key, kind, canon, draw)
-    return (F.when(kind == "email", _email(canon, h, draw)).when(kind == "ip", _ip(canon, h, draw))
-            .when(kind == "phone", _phone(canon, h)).when(kind == "card", _card(canon, h))
-            .when(kind == "ssn", _by_class(canon, h))
-            .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), _by_class(canon, h, 6))
-                  .otherwise(_by_class(canon, h)))
-            .otherwise(F.lower(_name_part(kind, canon, h, draw))))
+    return _let(_stream(key, kind, canon, draw), lambda h: F.when(
+        kind.isin(_NAME_KINDS), F.lower(_name_part(kind, canon, h, draw))).otherwise(_formed(kind, canon, h, draw)))
 
 
 def _mentions(text: Column) -> Column:
@@ -285,12 +309,11 @@ def replace(docs: DataFrame, key: str = KEY, inline: int = INLINE_DRAWS) -> Data
         df = df.join(own, "_row", "left")
         draw_of = lambda kind, canon: F.coalesce(
             F.element_at(F.col("_draws"), F.concat_ws(":", kind, canon)), F.lit(0))
-    made = F.transform("_m", lambda m: F.struct(
-        F.coalesce(kind_of(m), F.lit("none")).alias("kind"), surrogate(m, key, draw_of).alias("surrogate")))
+    made = F.transform("_m", lambda m: surrogate(m, key, draw_of))
     df = df.withColumn("_s", F.when(F.size("_m") > 0, made))
-    pieces = F.split(F.col("text"), _ANY, -1)
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(
-        "_s", lambda s, i: F.concat(s.surrogate, F.get(pieces, i + 1))), ""))
+    whole = _let(F.split(F.col("text"), _ANY, -1), lambda pieces: F.concat(
+        F.get(pieces, F.lit(0)), F.array_join(F.transform(
+            "_s", lambda s, i: F.concat(s.surrogate, F.get(pieces, i + 1))), "")))
     real = F.filter("_s", lambda s: s.kind != "none")
     df = df.withColumn("_t", F.when(F.size("_m") > 0, whole).otherwise(F.col("text")))
     found = F.when(F.col("_s").isNull(), F.array().cast("array<struct<kind:string,surrogate:string>>")).otherwise(real)
