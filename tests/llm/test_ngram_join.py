@@ -44,21 +44,23 @@ def texts(rng):
     return out + [None, "", " \n\t", "One TWO", "one two", "a b c d", "a b c d e", out[0], out[0], "É b c d e", "é b c d e"]
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block, column_rows", [(512, j.COLUMN_ROWS), (4, j.COLUMN_ROWS), (4, 3)])
+def test_equals_brute_force(spark, block, column_rows):
     rows = list(enumerate(texts(random.Random(12))))
     docs = spark.createDataFrame([("c", t, i, 1) for i, t in rows], SCHEMA).repartition(3)
-    assert {tuple(r) for r in j.join(docs, block=block).collect()} == brute(rows)
+    assert {tuple(r) for r in j.join(docs, block=block, column_rows=column_rows).collect()} == brute(rows)
 
 
-def test_hot_passage_and_copies(spark):
-    """A passage in every text, and a third of all rows equal: nothing is lost."""
+@pytest.mark.parametrize("column_rows", [j.COLUMN_ROWS, 20])
+def test_hot_passage_and_copies(spark, column_rows):
+    """A passage in every text, and a third of all rows equal: nothing is lost, in
+    whole columns and in split ones."""
     rng = random.Random(2)
     passage = " ".join(f"p{k}" for k in range(30))
     rows = [(i, passage + " x" if i % 3 == 0 else passage + " " + " ".join(f"r{rng.randint(0, 10**6)}" for _ in range(90)))
             for i in range(150)]
     docs = spark.createDataFrame([("c", t, i, 1) for i, t in rows], SCHEMA)
-    assert {tuple(r) for r in j.join(docs).collect()} == brute(rows)
+    assert {tuple(r) for r in j.join(docs, column_rows=column_rows).collect()} == brute(rows)
 
 
 def test_keep_one(spark):

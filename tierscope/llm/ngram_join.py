@@ -9,8 +9,9 @@ incidence matrix. Two documents link when ``100 * |A & B| >= 80 * |A | B|``.
    column, documents are joined when their sizes allow a link and 128 one-bit
    min-hashes agree in at least ``AGREE`` places (a link at exactly 0.8 agrees in
    115 on average and misses this bound with a probability under 1e-7); a
-   column gives a spanning forest, never all its pairs. Connected candidates
-   form a family.
+   column gives a spanning forest, never all its pairs. Columns of more than
+   ``COLUMN_ROWS`` documents are split in blocks, and every pair of blocks meets
+   in its own task. Connected candidates form a family.
 2. Block products. The whole incidence rows of a family are multiplied in blocks
    of ``BLOCK`` documents, accumulating exact overlap counts over slices of
    columns; pairs whose sizes or counts stay below the bound are dropped. Each
@@ -33,6 +34,7 @@ from tierscope.llm.common import (
 
 WORDS = 5
 BLOCK = 512
+COLUMN_ROWS = 1 << 17  # entries of columns that meet in one task; more are split
 BITS, AGREE = 128, 94
 SLICE = 4096  # columns of the incidence matrix multiplied at a time
 
@@ -136,8 +138,61 @@ def _column_edges(gram, ids, n, sketch, percent) -> np.ndarray:
     return np.unique(e, axis=0) if len(e) else e
 
 
-def candidates(rows: DataFrame, percent: int, size: int, parts: int) -> DataFrame:
-    """Candidate edges ``(a, b)`` from rows ``(doc_id, raw)``."""
+def _pairs(e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())],
+                                      names=["a", "b"])
+
+
+def split_columns(packed: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Candidate edges of columns in crowded parts: every column by itself, and a
+    column of more than ``limit`` entries in blocks of about that many, each pair
+    of blocks in its own group of rows."""
+
+    def entries(batches):
+        for batch in batches:
+            for payload in column(batch, "payload"):
+                gram, step, n, marks, _ = unpack(payload, "<u8", "<i8", "<i4", "<u8")
+                marks = np.ascontiguousarray(marks.reshape(-1, 2).T).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram.view("<i8")), pa.array(np.cumsum(step)), pa.array(n),
+                     pa.array(marks[0]), pa.array(marks[1])], names=["gram", "doc_id", "n", "s0", "s1"])
+
+    single = packed.mapInArrow(entries, "gram bigint, doc_id bigint, n int, s0 bigint, s1 bigint")
+    hot = single.groupBy("gram").agg(F.count("*").alias("entries")).where(F.col("entries") > limit).select(
+        "gram", F.ceil(F.col("entries") / limit).cast("int").alias("blocks"))
+    placed = single.join(hot, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sent = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "doc_id", "n", "s0", "s1")
+
+    def meet(batches):
+        held = np.zeros((0, 7), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            held = np.concatenate([held, new])
+            key = held[:, :3]
+            group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
+            whole = np.searchsorted(group, group[-1])  # the last group may go on in the next batch
+            if whole:
+                yield _pairs(edges(held[:whole], group[:whole]))
+                held = held[whole:]
+        if len(held):
+            yield _pairs(edges(held, np.zeros(len(held), np.int64)))
+
+    def edges(rows, group):
+        return _column_edges(group, rows[:, 3], rows[:, 4],
+                             np.ascontiguousarray(rows[:, 5:]).view(np.uint64), percent)
+
+    return (sent.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+            .mapInArrow(meet, "a bigint, b bigint"))
+
+
+def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int = COLUMN_ROWS) -> DataFrame:
+    """Candidate edges ``(a, b)`` from rows ``(doc_id, raw)``. Columns are dealt
+    into ``parts``; those of a part with more than ``limit`` entries are split."""
 
     def send(batches):
         known = _Hashes()
@@ -168,8 +223,9 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int) -> DataFram
                     out.append(pack(gram[o].astype("<u8"), np.diff(ids[w], prepend=0).astype("<i8"),
                                     n[w].astype("<i4"), marks[w].astype("<u8")))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(of[o[0]]) for o in dealt_out], pa.int32()), pa.array(out, pa.binary())],
-                    names=["part", "payload"])
+                    [pa.array([int(of[o[0]]) for o in dealt_out], pa.int32()),
+                     pa.array([len(o) for o in dealt_out], pa.int64()), pa.array(out, pa.binary())],
+                    names=["part", "entries", "payload"])
 
     def meet(batches):
         for _, payloads in by_part(batches):
@@ -178,11 +234,16 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int) -> DataFram
                               np.concatenate([np.cumsum(g[1]) for g in got]),
                               np.concatenate([g[2] for g in got]).astype(np.int64),
                               np.concatenate([g[3].reshape(-1, 2) for g in got]), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())],
-                                             names=["a", "b"])
+            yield _pairs(e)
 
-    return dealt(rows.mapInArrow(send, "part int, payload binary")).mapInArrow(
-        meet, "a bigint, b bigint").distinct()
+    packed = stored(rows.mapInArrow(send, "part int, entries bigint, payload binary"))
+    crowded = packed.groupBy("part").agg(F.sum("entries").alias("n")).where(F.col("n") > limit).select("part")
+    if crowded.isEmpty():
+        return dealt(packed.select("part", "payload")).mapInArrow(meet, "a bigint, b bigint").distinct()
+    crowded = F.broadcast(stored(crowded))  # at most ``parts`` numbers
+    usual = packed.join(crowded, "part", "left_anti").select("part", "payload")
+    return dealt(usual).mapInArrow(meet, "a bigint, b bigint").union(split_columns(
+        packed.join(crowded, "part", "left_semi").select("payload"), percent, limit)).distinct()
 
 
 def block_links(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -291,7 +352,8 @@ def _edges(pairs) -> pa.RecordBatch:
                                       names=["a", "b"])
 
 
-def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLOCK,
+         column_rows: int = COLUMN_ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row.
 
     component_id is the smallest doc_id reachable by links. A text that is null
@@ -315,7 +377,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLO
     copies = named.groupBy("same").agg(F.min("doc_id").alias("first"))
     copied = named.join(copies, "same").select("doc_id", "first")
     found = connected_components(candidates(
-        rows.where("doc_id is not null"), percent, size, 8 * shuffle_partitions(docs.sparkSession)))
+        rows.where("doc_id is not null"), percent, size, 8 * shuffle_partitions(docs.sparkSession), column_rows))
     # one document of each set of copies stands for them in the products
     stands = found.join(copies, F.col("node") == F.col("first"), "left_semi")
     families = stored(stands.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"))
