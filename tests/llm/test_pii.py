@@ -50,6 +50,18 @@ def test_kinds_formats_and_coreference(docs):
     assert pii.replace(docs.where("false")).count() == 0
 
 
+def test_secrets_of_any_case_and_length(spark):
+    token, long = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "aB3-" * 75
+    docs = spark.createDataFrame([(1, f'token = "{token}"'), (2, f'TOKEN = "{token.upper()}"'),
+                                  (3, f"Api_Key: '{long}' and Password=\"{long}x\"")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.replace(docs).collect()}
+    new = re.fullmatch(r'token = "([0-9a-f]{40})"', got[1].text)[1]
+    assert new != token and got[2].text == f'TOKEN = "{new.upper()}"'
+    a, b = re.fullmatch(r"Api_Key: '((?:[a-z][A-Z]\d-){75})' and Password=\"((?:[a-z][A-Z]\d-){75}[a-z])\"", got[3].text).groups()
+    assert long not in (a, b[:300]) and a != b[:300]
+    assert [got[i].n_entities for i in (1, 2, 3)] == [1, 1, 2]
+
+
 def test_collisions_are_drawn_again(spark):
     """Short addresses have few surrogates of their own format: they still stay
     apart, also when the entities drawn again are joined instead of inlined."""

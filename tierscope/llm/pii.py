@@ -33,7 +33,7 @@ TITLES = {
 _TITLE = "|".join(t for own in TITLES.values() for t in sorted(own, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "secret": r"(?<=[\"'])(?<=\b(?:token|secret|password|passwd|api_key|apikey) {0,3}[=:] {0,3}[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=\b(?i:token|secret|password|passwd|api_key|apikey) {0,3}[=:] {0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -92,6 +92,10 @@ def kind_of(m: Column) -> Column:
             .when(whole("name"), "name").otherwise("secret"))
 
 
+def _hex_only(m: Column) -> Column:
+    return m.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
+
+
 def _name_tokens(m: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", ""), F.lit(r"(\p{L}+)"), F.lit(1))
 
@@ -114,7 +118,7 @@ def entities(m: Column) -> Column:
 
     def of(kind):
         canon = (F.when(kind == "email", F.lower(m)).when(kind == "phone", _right(_digits(m), 10))
-                 .when(kind == "card", _digits(m)).otherwise(m))
+                 .when(kind == "card", _digits(m)).when((kind == "secret") & _hex_only(m), F.lower(m)).otherwise(m))
         return (F.when(kind.isNull(), none).when(kind == "name", _let(_name_tokens(m), names))
                 .otherwise(one(kind, canon)))
 
@@ -212,10 +216,9 @@ def _name_part(kind: Column, token: Column, h: Column, draw: Column) -> Column:
 
 def _formed(kind: Column, m: Column, h: Column, draw: Column) -> Column:
     """Surrogate of a mention that is one entity (not a name)."""
-    hex_only = m.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
     return (F.when(kind == "email", _email(m, h, draw)).when(kind == "ip", _ip(m, h, draw))
             .when(kind == "phone", _phone(m, h)).when(kind == "card", _card(m, h))
-            .when((kind == "secret") & hex_only, _by_class(m, h, 6)).otherwise(_by_class(m, h)))
+            .when((kind == "secret") & _hex_only(m), _by_class(m, h, 6)).otherwise(_by_class(m, h)))
 
 
 _NAME_KINDS = ["family", "given-m", "given-f", "given-n"]
