@@ -42,3 +42,30 @@ def test_equals_brute_force(spark):
         want.append((i // 2, t or "", len(w), tuple(places), tuple(sorted(found)), max((f[3] for f in found), default=0.0)))
     assert got == sorted(want)
     assert s.scan(docs.where("false")).count() == 0
+
+
+LGPL = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation. */"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions"""
+GPL = """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by"""
+
+
+def test_wrapped_notices(spark, tmp_path):
+    from tierscope.llm.queries import op8_license_scan
+    texts = [LGPL, BSD, GPL, "Licensed\nunder CC BY 4.0", "Licensed under CC\nBY-NC 4.0", "x " * 500 + BSD + " y" * 500,
+             "released\n" + "x " * 20 + "under\n" + "x " * 20 + "the mit\n" + "x " * 20 + "license", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_license_scan(spark, str(tmp_path)).collect()}
+    labels = [set(got[i].labels.split(",")) - {""} for i in range(len(texts))]
+    assert "lgpl" in labels[0] and labels[1] == {"bsd"} and "gpl" in labels[2] and "lgpl" not in labels[2]
+    assert not labels[3] & {"cc-by-nc", "cc-by-sa"} and "cc-by-nc" in labels[4] and "cc-by-sa" not in labels[4]
+    assert labels[5] == {"bsd"} and labels[6] == labels[7] == set()
+    assert [got[i].score for i in (0, 1, 2, 7)] == [1.0, 1.0, 1.0, 0.0]
+    docs = spark.createDataFrame([(1, "a b\n" + BSD + "\nc " * 40 + BSD)], "doc_id bigint, text string")
+    found = [(n.first, n.n, n.label, n.containment) for n in s.scan(docs).first().notices]
+    size = len(own_words(BSD))
+    assert [(f[0], f[2], f[3]) for f in found] == [(2, "bsd", 1.0), (2 + size + 40, "bsd", 1.0)]

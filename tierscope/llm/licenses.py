@@ -7,6 +7,12 @@ rarest first. A match needs ``c = ceil(THRESHOLD * size)`` common words, so it
 shares one of the template's ``size - c + 1`` rarest words (prefix filter), has
 ``c`` words itself (length filter), and what can still follow the matches so far
 must reach ``c`` (positional filter). What passes is compared exactly.
+
+Notices are found besides, across line breaks: windows of ``STRETCH`` times a
+template's length in words, starting at each of its words in the text, that hold
+as many of its distinct words, and the words ``DISTINGUISHING`` its label. The same
+filters choose the windows. Matching windows that overlap are one notice, told by
+the best of them.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import functions as F
 from tierscope.llm.common import column, replaced, arrow_schema, words
 
 THRESHOLD = 0.8
+STRETCH = 2  # the usual LGPL header needs 21 words to hold 12 of its template's 14
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -47,6 +54,9 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright CC0"),
 ]
 
+# Words that a notice can't lack, by label.
+DISTINGUISHING = {"lgpl": "lesser", "cc-by-nc": "nc", "cc-by-sa": "sa"}
+
 
 def blocks(raw: bytes) -> list[list[bytes]]:
     """The words of each line that has any."""
@@ -107,12 +117,62 @@ class Index:
         return out
 
 
+class Notices:
+    """Windows of a text that match a template, whatever the line breaks. Words are
+    given by their numbers."""
+
+    def __init__(self, index: Index, number: dict[bytes, int], templates):
+        lengths = [len(w) for _, text in templates if (w := words(text.encode()))]
+        self.own = []
+        for t, (label, _) in enumerate(index.sets):
+            order, need = [number[w] for w in index.ordered[t]], index.need[t]
+            member, prefix = np.zeros(len(number), bool), np.zeros(len(number), bool)
+            member[order] = True
+            prefix[order[:len(order) - need + 1]] = True
+            must = DISTINGUISHING.get(label, "").encode()
+            must = number[must] if must in index.sets[t][1] else None
+            self.own.append((label, len(order), need, STRETCH * lengths[t], member, prefix, must))
+
+    def find(self, at: np.ndarray, codes: np.ndarray) -> list[dict]:
+        """``at``: places of words that have a number, and those numbers."""
+        out = []
+        for label, size, need, width, member, prefix, must in self.own:
+            if not prefix[codes].any():
+                continue
+            mine = member[codes]
+            place, code = at[mine], codes[mine]
+            end = np.searchsorted(place, place + width)
+            rare = np.concatenate([[0], np.cumsum(prefix[code])])
+            begin = np.arange(len(place))
+            held, reach = None, -1
+            for i in np.flatnonzero((end - begin >= need) & (rare[end] > rare[begin])).tolist():
+                window = code[i:end[i]].tolist()
+                own = set(window)
+                if len(own) < need or (must is not None and must not in own):
+                    continue
+                seen: set = set()  # the window ends where its last new word stands
+                for k, c in enumerate(window):
+                    seen.add(c)
+                    if len(seen) == len(own):
+                        break
+                first, last = int(place[i]), int(place[i + k])
+                found = {"first": first, "n": last - first + 1, "label": label, "containment": len(own) / size}
+                if first > reach:
+                    held = found
+                    out.append(held)
+                elif (found["containment"], -found["n"]) > (held["containment"], -held["n"]):
+                    held.update(found)
+                reach = max(reach, last)
+        return out
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
          phrases: dict[str, str] = PHRASES) -> DataFrame:
     """``docs`` plus ``n_words bigint``, ``places array<struct<first,label>>`` (where
     a phrase's words stand consecutively, words from 0), ``blocks
     array<struct<first,n,label,containment>>`` (every matching pair of line and
-    template) and ``score double`` (the largest containment, 0 without a match).
+    template), ``score double`` (the largest containment, 0 without a match) and
+    ``notices``, like ``blocks``, of the notices across line breaks.
 
     One row per input row; a null text is empty; columns of ``docs`` with these
     names are replaced. Repeated words and rows change nothing for others except
@@ -125,18 +185,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
         "n_words": F.lit(0).cast("bigint"),
         "places": F.array().cast("array<struct<first:bigint,label:string>>"),
         "blocks": F.array().cast("array<struct<first:bigint,n:bigint,label:string,containment:double>>"),
-        "score": F.lit(0.0)})
+        "score": F.lit(0.0),
+        "notices": F.array().cast("array<struct<first:bigint,n:bigint,label:string,containment:double>>")})
     schema, arrow, names = df.schema, arrow_schema(df.schema), df.columns
-    number = {w: i for i, w in enumerate(sorted({w for p, _ in looked for w in p} | set(index.prefix)))}
+    number = {w: i for i, w in enumerate(sorted({w for p, _ in looked for w in p}.union(*(own for _, own in sets))))}
     coded = [([number[w] for w in p], label) for p, label in looked]
     rare = np.zeros(len(number), bool)
     rare[[number[w] for w in index.prefix]] = True
+    wrapped = Notices(index, number, templates)
 
     def one(raw: bytes):
         own = words(raw)
         codes = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
         at = np.flatnonzero(codes >= 0)
-        places, found = [], []
+        places, found, notices = [], [], []
         if len(at):
             for p, label in coded:
                 start = at[codes[at] == p[0]]
@@ -150,18 +212,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
                     found += [{"first": first, "n": len(block), "label": index.sets[t][0], "containment": c}
                               for t, c in index.matches(block)]
                     first += len(block)
-        return len(own), sorted(places, key=lambda x: (x["first"], x["label"])), found
+                notices = wrapped.find(at, codes[at])
+        return len(own), sorted(places, key=lambda x: (x["first"], x["label"])), found, notices
 
     def run(batches):
         for batch in batches:
             cols = dict(zip(names, batch.columns))
-            n, places, found = [], [], []
+            n, places, found, notices = [], [], [], []
             for text in column(batch, "text"):
-                a, b, c = one((text or "").encode("utf-8", "surrogateescape"))
+                a, b, c, d = one((text or "").encode("utf-8", "surrogateescape"))
                 n.append(a)
                 places.append(b)
                 found.append(c)
-            cols |= {"n_words": n, "places": places, "blocks": found,
+                notices.append(d)
+            cols |= {"n_words": n, "places": places, "blocks": found, "notices": notices,
                      "score": [max((x["containment"] for x in f), default=0.0) for f in found]}
             yield pa.RecordBatch.from_arrays(
                 [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type)
