@@ -57,6 +57,20 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert s.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_filler_is_few_runs(spark):
+    """Text of a short period is one run for each piece of a text, and no task
+    gathers the runs of one anchor."""
+    texts = [" " * 3000, "ab" * 1500, "abc" * 900 + "x" + "abc" * 900, " " * 41 + "y", "ab" * 30, " " * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = docs.selectExpr("doc_id as row", "cast(text as binary) as raw")
+    found = s.find_runs(rows, 40, 8).collect()
+    assert 6 <= len(found) <= 40
+    starts = s.ranges(spark.createDataFrame([(r.row, r.lo, r.end) for r in found if r.whole], "row bigint, lo bigint, hi bigint"), 40)
+    assert {(r.row, r.lo, r.hi) for r in starts.collect()} >= {(0, 0, 2960), (1, 0, 2960), (5, 0, 2960)}
+    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.remove_repeats(docs, 40, 8).orderBy("doc_id").collect()]
+    assert got == brute(texts, 40)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(1)
     for raw in [b"", b"\0\0\0", b"a" * 700, *(bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 900))) for _ in range(30))]:

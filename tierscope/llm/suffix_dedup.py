@@ -6,9 +6,10 @@ else, in the same or another document.
 1. Anchors. Of the ``GRAM``-byte hashes inside a string the smallest (leftmost)
    is its anchor, so equal strings have equal anchors at equal offsets. Every
    start belongs to one anchor; neighbouring starts with the same anchor form a
-   run, whose context is the bytes that its strings cover. Runs are dealt by
-   their anchor's hash; an anchor that occurs once holds no repeat, and runs with
-   equal contexts repeat whole. This leaves anchors with differing contexts.
+   run, whose context is the bytes that its strings cover. Equal neighbours (in
+   text of a short period) are one range of runs. Contexts are counted by a grouped
+   sum; an anchor that occurs once holds no repeat, and runs with equal contexts
+   repeat whole. This leaves anchors with differing contexts.
 2. Shards. Differing contexts (one of each) meet by anchor in shards of about
    ``SHARD_BYTES``. A shard's suffix array is built by Larsson-Sadakane
    refinement, Kasai's common prefixes cut it into classes of equal strings, and
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.llm.common import by_part, column, dealt, pack, shuffle_partitions, stored, unpack
@@ -132,55 +133,65 @@ def _pieces(ids, texts, length):
         yield held
 
 
-def find_runs(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """Runs whose anchor occurs more than once: ``(row, lo, hi, key, off, whole,
-    send, hot)``. whole: all its strings repeat; send: its context stands for
-    those equal to it in step 2; hot: its strings are dealt one by one."""
+def _merged(text, lo, hi, key, off, context) -> tuple:
+    """Neighbouring runs with equal key and context as one: the first of each range,
+    the range's last start, and how many runs it holds."""
+    new = np.ones(len(text), bool)
+    new[1:] = ((text[1:] != text[:-1]) | (lo[1:] != hi[:-1] + 1) | (key[1:] != key[:-1])
+               | (context[1:] != context[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    return text[first], lo[first], hi[first], key[first], off[first], context[first], hi[last], last - first + 1
+
+
+def find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs whose anchor occurs more than once: ``(row, lo, hi, end, key, off, whole,
+    send, hot)``; neighbours that are equal are one row, from the first run's
+    ``lo`` and ``hi`` to the last start ``end``. whole: all its strings repeat;
+    send: its context stands for those equal to it in step 2; hot: its strings are
+    dealt one by one.
+
+    Equal contexts are counted by a grouped sum, combined before it is dealt, and
+    the counts are joined back, so no task holds all runs of an anchor."""
 
     def cut(batches):
         for batch in batches:
             for held in _pieces(column(batch, "row"), column(batch, "raw"), length):
                 b = np.frombuffer(b"".join([h[2] for h in held]), np.uint8)
                 ends = np.cumsum([len(h[2]) for h in held])
-                text, lo, hi, key, off, context = runs(b, ends, length, gram)
+                text, lo, hi, key, off, context, end, n = _merged(*runs(b, ends, length, gram))
                 if not len(text):
                     continue
                 base = np.array([h[1] for h in held])[text] - (ends - [len(h[2]) for h in held])[text]
                 row = np.array([h[0] for h in held], np.int64)[text]
-                of = (key % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                out, part = [], []
-                for o in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                    part.append(int(of[o[0]]))
-                    out.append(pack(key[o].astype("<u8"), context[o].astype("<u8"),
-                                    np.diff(row[o], prepend=0).astype("<i8"), (lo + base)[o].astype("<u4"),
-                                    (hi - lo)[o].astype("<u2"), off[o].astype("<u2")))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(out, pa.binary())],
-                                                 names=["part", "payload"])
-
-    def meet(batches):
-        for _, payloads in by_part(batches):
-            got = [unpack(p, "<u8", "<u8", "<i8", "<u4", "<u2", "<u2") for p in payloads]
-            key, context = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-            row = np.concatenate([np.cumsum(g[2]) for g in got])
-            lo, n, off = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (3, 4, 5))
-            order = np.lexsort((lo, row, context, key))
-            key, context, row, lo, n, off = (a[order] for a in (key, context, row, lo, n, off))
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            new = new_key | np.concatenate([[True], context[1:] != context[:-1]])
-            of_key, of = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-            whole = np.bincount(of)[of] > 1
-            kinds = np.bincount(of_key[new], minlength=of_key[-1] + 1)[of_key]
-            send = new & (kinds > 1)
-            keep = whole | send
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[keep]), pa.array(lo[keep]), pa.array((lo + n)[keep]),
-                 pa.array(key[keep].view(np.int64)), pa.array(off[keep]), pa.array(whole[keep]),
-                 pa.array(send[keep]), pa.array((kinds > HOT_CONTEXTS)[keep])],
-                names=["row", "lo", "hi", "key", "off", "whole", "send", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack(
+                    key.astype("<u8"), context.astype("<u8"), np.diff(row, prepend=0).astype("<i8"),
+                    (lo + base).astype("<u4"), (hi - lo).astype("<u2"), off.astype("<u2"),
+                    (end - lo).astype("<u4"), n.astype("<u4"))], pa.binary())], names=["payload"])
 
-    return dealt(rows.select("row", "raw").mapInArrow(cut, "part int, payload binary")).mapInArrow(
-        meet, "row bigint, lo bigint, hi bigint, key bigint, off bigint, whole boolean, send boolean, hot boolean")
+    def lay(batches):
+        for batch in batches:
+            for payload in column(batch, "payload"):
+                key, context, row, lo, n, off, more, m, _ = unpack(
+                    payload, "<u8", "<u8", "<i8", "<u4", "<u2", "<u2", "<u4", "<u4")
+                lo = lo.astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.cumsum(row)), pa.array(lo), pa.array(lo + n), pa.array(lo + more),
+                     pa.array(key.view(np.int64)), pa.array(off.astype(np.int64)),
+                     pa.array(context.view(np.int64)), pa.array(m.astype(np.int64))],
+                    names=["row", "lo", "hi", "end", "key", "off", "context", "n"])
+
+    held = stored(rows.select("row", "raw").mapInArrow(cut, "payload binary")).mapInArrow(
+        lay, "row bigint, lo bigint, hi bigint, end bigint, key bigint, off bigint, context bigint, n bigint")
+    place = F.xxhash64("row", "lo")
+    counts = held.groupBy("key", "context").agg(F.sum("n").alias("total"), F.min(place).alias("pick"))
+    kinds = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("total").alias("of_key")).where(
+        "of_key > 1").select("key", "kinds")
+    known = counts.join(kinds, "key")
+    send = (F.col("kinds") > 1) & (place == F.col("pick"))
+    return held.join(known, ["key", "context"]).select(
+        "row", "lo", "hi", "end", "key", "off", (F.col("total") > 1).alias("whole"), send.alias("send"),
+        (F.col("kinds") > HOT_CONTEXTS).alias("hot")).where("whole or send")
 
 
 def words_at(b: np.ndarray) -> np.ndarray:
@@ -360,7 +371,7 @@ def repeated_starts(rows: DataFrame, found: DataFrame, length: int, parts: int,
                     shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(row, lo, hi)``: starts that repeat, of runs that don't repeat whole."""
     own = found.where("send").groupBy("row").agg(
-        F.collect_list(F.struct("lo", "hi", "key", "off", "whole", "hot")).alias("runs"))
+        F.collect_set(F.struct("lo", "hi", "key", "off", "whole", "hot")).alias("runs"))
     held = rows.join(own, "row").select("row", "raw", "runs")
 
     def send(batches):
@@ -440,6 +451,16 @@ def _starts(row, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, lo, hi)], names=["row", "lo", "hi"])
 
 
+def ranges(starts: DataFrame, length: int) -> DataFrame:
+    """``(row, lo, hi)`` with starts whose strings meet or overlap as one range."""
+    in_row = Window.partitionBy("row").orderBy("lo")
+    before = F.max("hi").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    one = starts.groupBy("row", "lo").agg(F.max("hi").alias("hi"))
+    apart = one.withColumn("new", F.coalesce(F.col("lo") > before + length, F.lit(True)).cast("int"))
+    numbered = apart.withColumn("of", F.sum("new").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("row", "of").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digests: bool = False,
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans`` and ``kept``
@@ -455,10 +476,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dige
     parts = 8 * shuffle_partitions(spark)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id",
                        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    found = stored(find_runs(rows, length, gram, parts))
-    starts = found.where("whole").select("row", "lo", "hi").union(
+    found = stored(find_runs(rows, length, gram))
+    starts = found.where("whole").select("row", "lo", F.col("end").alias("hi")).union(
         repeated_starts(rows.select("row", "raw"), found, length, parts, shard_bytes))
-    own = starts.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    own = ranges(starts, length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     joined = rows.join(own, "row", "left").select("doc_id", "raw", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
