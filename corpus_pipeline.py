@@ -17,8 +17,12 @@ from tierscope.llm.common import DOC_COLUMNS, load, shared_folder  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, or no letter in it) go."""
-    found = langid.predict(docs.select(*DOC_COLUMNS), langid.fit(docs))
+    """Documents whose language can't be told (no text, or no letter in it) go. With
+    no labelled row to learn from, only those without a letter go."""
+    model = langid.fit(docs)
+    if not model.families:
+        return docs.select(*DOC_COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs.select(*DOC_COLUMNS), model)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*DOC_COLUMNS)
 
 

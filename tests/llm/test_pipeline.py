@@ -36,3 +36,8 @@ def test_edge_rows(spark):
             assert out.count() <= data.count()
     kept = p.near_duplicates(spark, docs, SF).collect()
     assert sorted(repr(r.doc_id) for r in kept) == ["1", "2", "3", "4", "None"]
+
+
+def test_no_labelled_row_keeps_texts(spark):
+    rows = [(i, t, None, "s", 1, "x") for i, t in enumerate(["words stay", "слова", "12 34", "", None])]
+    assert {r.doc_id for r in p.language(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()} == {0, 1}
