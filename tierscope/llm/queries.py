@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.llm import binary_codes, bpe, chat, decontaminate, langid, licenses, ngram_join, pii, suffix_dedup, warc
+from tierscope.llm import binary_codes, bpe, bpe_stream, chat, decontaminate, langid, licenses, ngram_join, pii, suffix_dedup, warc
 from tierscope.llm.common import load
 
 
@@ -85,11 +85,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
+def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe_stream.encode(load(spark, sf_dir, "documents"),
+                             public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_pii_surrogates, op3_warc_transactions, op4_chat_formatting,
         op5_embedding_near_dedup, op6_ngram_jaccard_join,
-        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe)}
+        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe, op12_streaming_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
