@@ -12,6 +12,7 @@ character. Rows are independent: no shuffle, and nothing that grows with the cor
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
@@ -32,6 +33,7 @@ LONG = 1 << 12         # an unfinished pre-token beyond this (at least 5) is str
 BLOCK = 1 << 12        # bytes merged at a time beyond the lookahead
 WORDS = 1 << 16        # words kept with their ids, each of at most WORD_LENGTH characters
 WORD_LENGTH = 64
+NEVER = 1 << 60        # rank of a pair that doesn't merge
 UNDECIDED = 2          # characters behind a pre-token that its end may depend on
 NOT_PLAIN = re.compile("[ɀ-\U0010ffff]")
 
@@ -104,9 +106,16 @@ class Tables:
         self.find_special = re.compile("|".join(map(re.escape, names))) if names else None
         self.split, self.plain = splitters(PATTERN)
         # letters and numbers of the regex engine that the tokenizer's Unicode doesn't have
-        odd = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"
-               and RUNS[3].fullmatch(chr(c)) is None]
-        self.odd = re.compile("[" + "".join(map(chr, odd)) + "]") if odd else None
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        odd: list[list[str]] = []
+        for c in regex.findall(r"[\p{L}\p{N}]", every):
+            if unicodedata.category(c) != "Cn":
+                continue
+            if odd and ord(odd[-1][1]) == ord(c) - 1:
+                odd[-1][1] = c
+            else:
+                odd.append([c, c])
+        self.odd = re.compile("[" + "".join(f"{a}-{b}" for a, b in odd) + "]") if odd else None
 
     def setup(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         made = {bytes([b]) for b in range(256)}
@@ -114,7 +123,8 @@ class Tables:
             if x not in made or y not in made:
                 raise ValueError("a merge uses a token that no earlier merge makes")
             made.add(x + y)
-        self.rank = {(ids[x], ids[y]): (r, ids[x + y]) for r, (x, y) in reversed(list(enumerate(merges)))}
+        self.rank = {(ids[x], ids[y]): r for r, (x, y) in reversed(list(enumerate(merges)))}
+        self.made = [ids[x + y] for x, y in merges]
         self.byte = [ids.get(bytes([b])) for b in range(256)]
         self.bytes = {i: b for b, i in ids.items()}
         self.lookahead = lookahead(merges)
@@ -122,37 +132,51 @@ class Tables:
     def merge(self, data: bytes) -> list[int]:
         """BPE of finished bytes: the adjacent pair of lowest rank, leftmost first."""
         out = [self.byte[b] for b in data]
-        return self._short(out) if len(out) < 48 else self._heap(out)
+        return self._short(out) if len(out) < 64 else self._heap(out)
 
     def _short(self, out: list[int]) -> list[int]:
-        rank, none = self.rank, (1 << 60, 0)
-        while len(out) > 1:
-            (low, new), at = min((rank.get(p, none), k) for k, p in enumerate(zip(out, out[1:])))
-            if low == 1 << 60:
+        rank = self.rank.get
+        low = [rank(p, NEVER) for p in zip(out, out[1:])]
+        while low:
+            if (r := min(low)) == NEVER:
                 break
-            out[at:at + 2] = [new]
+            k = low.index(r)
+            out[k] = new = self.made[r]
+            del out[k + 1], low[k]
+            if k < len(low):
+                low[k] = rank((new, out[k + 1]), NEVER)
+            if k:
+                low[k - 1] = rank((out[k - 1], new), NEVER)
         return out
 
     def _heap(self, out: list[int]) -> list[int]:
-        n, rank = len(out), self.rank
+        n, rank = len(out), self.rank.get
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(*r, i, out[i], out[i + 1]) for i in range(n - 1) if (r := rank.get((out[i], out[i + 1])))]
+        heap = [(r, i, out[i], out[i + 1]) for i in range(n - 1)
+                if (r := rank((out[i], out[i + 1]), NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
-            _, new, i, x, y = heapq.heappop(heap)
+            r, i, x, y = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or out[i] != x or j >= n or out[j] != y:
                 continue  # one of the two has been merged since
-            out[i], alive[j], after[i] = new, False, after[j]
+            out[i] = new = self.made[r]
+            alive[j], after[i] = False, after[j]
             if (k := after[j]) < n:
                 before[k] = i
-                if r := rank.get((new, out[k])):
-                    heapq.heappush(heap, (*r, i, new, out[k]))
-            if (k := before[i]) >= 0 and (r := rank.get((out[k], new))):
-                heapq.heappush(heap, (*r, k, out[k], new))
+                if (r := rank((new, out[k]), NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, i, new, out[k]))
+            if (k := before[i]) >= 0 and (r := rank((out[k], new), NEVER)) != NEVER:
+                heapq.heappush(heap, (r, k, out[k], new))
         return [x for x, a in zip(out, alive) if a]
 
 
+@functools.lru_cache(maxsize=2)
+def tables_of(path: str) -> Tables:
+    """A worker reads a file once."""
+    return Tables(path)
+
+
 class Merger:
     """Bytes of one pre-token in, stable ids out; holds the lookahead and one block."""
 
@@ -349,7 +373,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     one = _digested if digests else _whole
 
     def run(batches):
-        tables, words = Tables(tokenizer), {}
+        tables, words = tables_of(tokenizer), {}
         for batch in batches:
             key, cols, held, at = batch.column(0), [[], [], []], 0, 0
             for raw in column(batch, "raw"):
@@ -377,7 +401,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, decoded string)`` from ``(doc_id, ids array<int>)``. Null ids give null,
     ids outside the vocabulary nothing."""
     def run(batches):
-        tables = Tables(tokenizer)
+        tables = tables_of(tokenizer)
         for batch in batches:
             out = []
             for ids in column(batch, "ids"):
