@@ -126,3 +126,49 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
+
+# CRC-32 of a string (reflected polynomial 0xEDB88320) as table and fold.
+_CRC_TABLE = """
+crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda a, b: xor(a >> 8, (SELECT t FROM crc)[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+SQL["op13_prefix_trie"] = f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS giver, {_CRC.format("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, role, text
+  FROM (SELECT i.conv_id, 0 AS part, pos, role, text FROM ids i JOIN turns t ON t.conv_id = i.giver AND t.pos <= i.h
+        UNION ALL
+        SELECT i.conv_id, 1, pos, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > i.h)),
+steps AS (
+  SELECT conv_id, 0 AS d, []::VARCHAR[] AS path, 0 AS size, (SELECT count(*) FROM rebuilt r WHERE r.conv_id = i.conv_id) AS top
+  FROM ids i
+  UNION ALL
+  SELECT conv_id, d, list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY d),
+         length(text), count(*) OVER (PARTITION BY conv_id) FROM rebuilt),
+nodes AS (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (top = d), '')) AS ends_sha256
+  FROM steps GROUP BY path),
+named AS (SELECT s.conv_id AS member, n.* FROM steps s JOIN nodes n USING (path)),
+pairs AS (
+  SELECT DISTINCT a.path AS path, b.path AS below, b.depth - a.depth AS down, b.n_convs, b.size
+  FROM named a JOIN named b ON a.member = b.member AND b.depth >= a.depth),
+childless AS (SELECT path FROM pairs GROUP BY path HAVING max(down) = 0),
+sums AS (
+  SELECT p.path, count(*) FILTER (down = 1) AS n_children, count(c.path) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+  FROM pairs p LEFT JOIN childless c ON c.path = p.below GROUP BY p.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN nodes up ON n.depth > 0 AND up.path = n.path[:n.depth - 1]
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.llm import binary_codes, bpe, bpe_stream, chat, decontaminate, langid, licenses, ngram_join, pii, suffix_dedup, warc
+from tierscope.llm import binary_codes, bpe, bpe_stream, chat, decontaminate, langid, licenses, ngram_join, pii, prefix_trie, suffix_dedup, warc
 from tierscope.llm.common import load
 
 
@@ -91,11 +91,15 @@ def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuild(load(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_pii_surrogates, op3_warc_transactions, op4_chat_formatting,
         op5_embedding_near_dedup, op6_ngram_jaccard_join,
-        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe, op12_streaming_bpe)}
+        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe, op12_streaming_bpe, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
