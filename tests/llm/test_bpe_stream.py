@@ -86,8 +86,17 @@ def test_lookahead_suffices_for_random_merge_lists():
 def test_short_and_heap_merging_agree(tables):
     rng = random.Random(2)
     for _ in range(300):
-        out = [tables.byte[b] for b in bytes(rng.choice(b"etaoin srhld\n'") for _ in range(rng.randint(1, 60)))]
-        assert tables._short(list(out)) == tables._heap(list(out))
+        data = bytes(rng.choice(b"etaoin srhld\n'") for _ in range(rng.randint(1, 60)))
+        assert tables._short(data) == tables._heap([tables.byte[b] for b in data])
+
+
+def test_words_are_bounded_and_frequent_ones_stay(tables, monkeypatch):
+    monkeypatch.setattr(bs, "WORDS", 10)
+    words = bs.Words()
+    for k in range(200):
+        assert streamed(tables, f"often w{k}", 100, words=words) == streamed(tables, f"often w{k}", 100)
+        assert len(words.new) <= 10 and len(words.old) <= 10
+        assert "often" in words.new or "often" in words.old
 
 
 def test_memory_stays_constant(tables):

@@ -31,7 +31,7 @@ from tierscope.llm.common import column
 PIECE = 1 << 16        # characters fed at a time
 LONG = 1 << 12         # an unfinished pre-token beyond this (at least 5) is streamed
 BLOCK = 1 << 12        # bytes merged at a time beyond the lookahead
-WORDS = 1 << 16        # words kept with their ids, each of at most WORD_LENGTH characters
+WORDS = 1 << 17        # words of a generation, each of at most WORD_LENGTH characters
 WORD_LENGTH = 64
 NEVER = 1 << 60        # rank of a pair that doesn't merge
 UNDECIDED = 2          # characters behind a pre-token that its end may depend on
@@ -100,6 +100,7 @@ class Tables:
                 raise ValueError("special tokens that take their surroundings can't be streamed")
             self.special[token["content"]] = token["id"]
             self.bytes[token["id"]] = as_bytes(token["content"])
+        self.decimal = [str(i) for i in range(1 + max(self.bytes))]
         names = sorted(self.special)
         if any(b.startswith(a) for a, b in zip(names, names[1:])):
             raise ValueError("a special token begins with another one")
@@ -123,20 +124,22 @@ class Tables:
             if x not in made or y not in made:
                 raise ValueError("a merge uses a token that no earlier merge makes")
             made.add(x + y)
-        self.rank = {(ids[x], ids[y]): r for r, (x, y) in reversed(list(enumerate(merges)))}
+        self.base = base = 1 + max(ids.values())
+        self.rank = {ids[x] * base + ids[y]: r for r, (x, y) in reversed(list(enumerate(merges)))}
         self.made = [ids[x + y] for x, y in merges]
         self.byte = [ids.get(bytes([b])) for b in range(256)]
+        self.first = [self.rank.get(a * base + b, NEVER) for a in self.byte for b in self.byte]
         self.bytes = {i: b for b, i in ids.items()}
         self.lookahead = lookahead(merges)
 
     def merge(self, data: bytes) -> list[int]:
         """BPE of finished bytes: the adjacent pair of lowest rank, leftmost first."""
-        out = [self.byte[b] for b in data]
-        return self._short(out) if len(out) < 64 else self._heap(out)
+        return self._short(data) if len(data) < 64 else self._heap([self.byte[b] for b in data])
 
-    def _short(self, out: list[int]) -> list[int]:
-        rank = self.rank.get
-        low = [rank(p, NEVER) for p in zip(out, out[1:])]
+    def _short(self, data: bytes) -> list[int]:
+        rank, first, base = self.rank.get, self.first, self.base
+        out = [self.byte[b] for b in data]
+        low = [first[a << 8 | b] for a, b in zip(data, data[1:])]
         while low:
             if (r := min(low)) == NEVER:
                 break
@@ -144,16 +147,16 @@ class Tables:
             out[k] = new = self.made[r]
             del out[k + 1], low[k]
             if k < len(low):
-                low[k] = rank((new, out[k + 1]), NEVER)
+                low[k] = rank(new * base + out[k + 1], NEVER)
             if k:
-                low[k - 1] = rank((out[k - 1], new), NEVER)
+                low[k - 1] = rank(out[k - 1] * base + new, NEVER)
         return out
 
     def _heap(self, out: list[int]) -> list[int]:
-        n, rank = len(out), self.rank.get
+        n, rank, base = len(out), self.rank.get, self.base
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, out[i], out[i + 1]) for i in range(n - 1)
-                if (r := rank((out[i], out[i + 1]), NEVER)) != NEVER]
+                if (r := rank(out[i] * base + out[i + 1], NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
             r, i, x, y = heapq.heappop(heap)
@@ -164,9 +167,9 @@ class Tables:
             alive[j], after[i] = False, after[j]
             if (k := after[j]) < n:
                 before[k] = i
-                if (r := rank((new, out[k]), NEVER)) != NEVER:
+                if (r := rank(new * base + out[k], NEVER)) != NEVER:
                     heapq.heappush(heap, (r, i, new, out[k]))
-            if (k := before[i]) >= 0 and (r := rank((out[k], new), NEVER)) != NEVER:
+            if (k := before[i]) >= 0 and (r := rank(out[k] * base + new, NEVER)) != NEVER:
                 heapq.heappush(heap, (r, k, out[k], new))
         return [x for x, a in zip(out, alive) if a]
 
@@ -177,6 +180,21 @@ def tables_of(path: str) -> Tables:
     return Tables(path)
 
 
+class Words:
+    """Ids of recent words in two generations of bounded size: frequent words stay."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def keep(self, word: str, ids):
+        if len(self.new) >= WORDS:
+            self.old.clear()
+            self.old.update(self.new)
+            self.new.clear()
+        self.new[word] = tuple(ids)  # not tracked by the garbage collector
+
+
 class Merger:
     """Bytes of one pre-token in, stable ids out; holds the lookahead and one block."""
 
@@ -206,10 +224,10 @@ class Merger:
 class Encoder:
     """Pieces of one text in, stable ids out. ``words`` may be shared by texts."""
 
-    def __init__(self, tables: Tables, words: dict[str, list[int]] | None = None, long: int = LONG,
+    def __init__(self, tables: Tables, words: Words | None = None, long: int = LONG,
                  block: int = BLOCK):
         self.tables, self.long = tables, long
-        self.words = {} if words is None else words
+        self.words = words or Words()
         self.text, self.run, self.merger = "", None, Merger(tables, block)
 
     def feed(self, piece: str) -> list[int]:
@@ -261,7 +279,7 @@ class Encoder:
                 last = words.pop()
                 open_length += len(last)
             self.text = self.text[len(self.text) - open_length:] if open_length else ""
-            known = self.words
+            known = self.words.new
             for w in words:
                 if (ids := known.get(w)) is None:
                     ids = self._word(w)
@@ -277,14 +295,15 @@ class Encoder:
         return odd.sub(STAND_IN, self.text)
 
     def _word(self, word: str) -> list[int]:
+        if (ids := self.words.old.get(word)) is not None:
+            self.words.keep(word, ids)
+            return ids
         raw = word.encode("utf-8")
         if len(raw) > self.tables.lookahead + self.merger.block:
             return [*self.merger.feed(raw), *self.merger.finish()]
         ids = self.tables.merge(raw)
         if len(word) <= WORD_LENGTH:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = ids
+            self.words.keep(word, ids)
         return ids
 
     def _open(self, first: str):
@@ -330,15 +349,15 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     return (text[at:at + size] for at in range(0, len(text), size))
 
 
-def _digested(text: str, tables: Tables, words: dict) -> tuple[int, str, str]:
+def _digested(text: str, tables: Tables, words: Words) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of what they decode to, in one go."""
-    encoder, decoder = Encoder(tables, words), Decoder(tables)
+    encoder, decoder, decimal = Encoder(tables, words), Decoder(tables), tables.decimal
     ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
 
     def take(ids: list[int]):
         nonlocal n
         if ids:
-            ids_sha.update((("," if n else "") + ",".join(map(str, ids))).encode())
+            ids_sha.update((("," if n else "") + ",".join([decimal[i] for i in ids])).encode())
             text_sha.update(decoder.feed(ids).encode())
             n += len(ids)
 
@@ -349,7 +368,7 @@ def _digested(text: str, tables: Tables, words: dict) -> tuple[int, str, str]:
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-def _whole(text: str, tables: Tables, words: dict) -> tuple[int, list[int], str]:
+def _whole(text: str, tables: Tables, words: Words) -> tuple[int, list[int], str]:
     encoder, decoder = Encoder(tables, words), Decoder(tables)
     ids: list[int] = []
     for piece in pieces(text):
@@ -373,7 +392,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     one = _digested if digests else _whole
 
     def run(batches):
-        tables, words = tables_of(tokenizer), {}
+        tables, words = tables_of(tokenizer), Words()
         for batch in batches:
             key, cols, held, at = batch.column(0), [[], [], []], 0, 0
             for raw in column(batch, "raw"):
