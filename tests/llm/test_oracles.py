@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 14))
     assert set(SQL) <= set(q.queries())

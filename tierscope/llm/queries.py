@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.llm import binary_codes, bpe, bpe_stream, chat, decontaminate, langid, licenses, ngram_join, pii, prefix_trie, suffix_dedup, warc
+from tierscope.llm import (
+    binary_codes, bpe, bpe_stream, chat, chat_repair, decontaminate, langid, licenses, ngram_join, pii, prefix_trie,
+    suffix_dedup, warc)
 from tierscope.llm.common import load
 
 
@@ -85,6 +87,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.audited(load(spark, sf_dir, "conversations"))
+
+
 def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe_stream.encode(load(spark, sf_dir, "documents"),
@@ -99,7 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_pii_surrogates, op3_warc_transactions, op4_chat_formatting,
         op5_embedding_near_dedup, op6_ngram_jaccard_join,
-        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe, op12_streaming_bpe, op13_prefix_trie)}
+        op7_suffix_array_dedup, op8_license_scan, op9_language_id, op10_byte_bpe,
+        op11_conversation_repair, op12_streaming_bpe, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
