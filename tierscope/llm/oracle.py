@@ -127,7 +127,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-# CRC-32 of a string (reflected polynomial 0xEDB88320) as table and fold.
+# CRC-32 of an ASCII string (reflected polynomial 0xEDB88320) as table and fold; needs crc in FROM.
 _CRC_TABLE = """
 crc AS (
   SELECT list(c ORDER BY i) AS t FROM (
@@ -135,7 +135,7 @@ crc AS (
       lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
     FROM (SELECT unnest(range(256)) AS i)))"""
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT)),
-    lambda a, b: xor(a >> 8, (SELECT t FROM crc)[(xor(a, b) & 255) + 1])), 4294967295)"""
+    lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295)"""
 
 SQL["op13_prefix_trie"] = f"""
 WITH {_CRC_TABLE},
@@ -145,7 +145,7 @@ turns AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (
   SELECT conv_id, conv_id - conv_id % 100 AS giver, {_CRC.format("conv_id::VARCHAR")} % 6 AS h
-  FROM (SELECT DISTINCT conv_id FROM turns)),
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
 rebuilt AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, role, text
   FROM (SELECT i.conv_id, 0 AS part, pos, role, text FROM ids i JOIN turns t ON t.conv_id = i.giver AND t.pos <= i.h
@@ -172,3 +172,75 @@ sums AS (
 SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums USING (path) LEFT JOIN nodes up ON n.depth > 0 AND up.path = n.path[:n.depth - 1]
 """
+
+_TO = {"s": (1, None, None, None), "u": (2, 2, None, 2), "a": (None, None, 3, None)}
+
+
+def _way(state, edit, cost, line):
+    """Struct of cost, edits and repaired text: one edit before the best way on from a state (0 to 3)."""
+    v = f"v[{state + 1}]"
+    text = v + ".t" if line is None else f"({line} || CASE WHEN {v}.t = '' THEN '' ELSE chr(10) || {v}.t END)"
+    return f"{{'c': {v}.c + {cost}, 'a': '{edit}' || {v}.a, 't': {text}}}"
+
+
+def _row_ways(s):
+    """All ways from state s through one row, from ways v behind it."""
+    asked, then = [("'user'", 2), ("'user'", 2), ("'assistant'", 3), ("'user'", 2)][s]
+    keep = "CASE" + "".join(f" WHEN initial = '{i}' AND fault NOT IN ('B', 'D') THEN {_way(to[s], 'K', extra, line)}"
+                            for i, to in _TO.items() if to[s] is not None
+                            for extra, line in [("(fault = 'T')::BIGINT", "role || ':' || text")]) + " END"
+    change = (f"CASE WHEN fault NOT IN ('B', 'D') THEN "
+              + _way(then, "R", "2 + (fault = 'T')::BIGINT", f"{asked} || ':' || text") + " END")
+    return f"list_min(list_filter([{_way(s, 'D', 3, None)}, {keep}, {change}], lambda x: x IS NOT NULL))"
+
+
+def _insert_ways(s):
+    asked, then = [("'user:'", 2), ("'user:'", 2), ("'assistant:'", 3), ("'user:'", 2)][s]
+    return f"list_min([v[{s + 1}], {_way(then, 'I', 2, asked)}])"
+
+
+_FOUR = lambda way: "[" + ", ".join(way(s) for s in range(4)) + "]"
+
+SQL["op11_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM keyed)),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS k FROM damaged),
+marked AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS pos,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'B' WHEN k > 1 THEN 'D'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'T' ELSE '-' END AS fault,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS initial
+  FROM seen),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+ways AS (
+  SELECT i.conv_id, (SELECT count(*) FROM marked m WHERE m.conv_id IS NOT DISTINCT FROM i.conv_id) AS pos,
+         [{{'c': 0::BIGINT, 'a': '', 't': ''}}, {{'c': 4::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}},
+          {{'c': 2::BIGINT, 'a': 'I', 't': 'assistant:'}}, {{'c': 0::BIGINT, 'a': '', 't': ''}}] AS v
+  FROM ids i
+  UNION ALL
+  SELECT conv_id, pos, {_FOUR(_insert_ways)} AS v FROM (
+    SELECT conv_id, pos, {_FOUR(_insert_ways)} AS v FROM (
+      SELECT conv_id, pos, {_FOUR(_insert_ways)} AS v FROM (
+        SELECT w.conv_id, w.pos - 1 AS pos, {_FOUR(_row_ways)} AS v
+        FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos)))),
+neighbours AS (
+  SELECT conv_id, turn, fault, coalesce(lag(initial) OVER o || initial NOT IN ('su', 'ua', 'au'), false) AS wrong
+  FROM marked WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'B') AS blank, count(*) FILTER (fault = 'D') AS duplicate,
+         count(*) FILTER (fault = 'T') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM neighbours GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, v[1].c AS cost, v[1].a AS audit,
+       sha256(v[1].t) AS repaired_sha256
+FROM ways w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.pos = 0
+"""
