@@ -49,21 +49,34 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
         prev = F.when(adjacent, prev)
     steps = per_month.select(
         "month_date", "n_null", "n_false", "n_true", prev.alias("prev_last"))
+    return churn_rates(churn_totals(churn_steps(steps)))
+
+
+def churn_steps(steps: DataFrame) -> DataFrame:
+    """What each (customer, month) adds to M04, from its numbers of NULL, FALSE and TRUE
+    rows and the status ``prev_last`` that the customer's month before ended with."""
     nonnull = F.col("n_false") + F.col("n_true")
     prev_known = F.col("prev_last").isNotNull().cast("int")
     prev_true = F.coalesce(F.col("prev_last"), F.lit(False)).cast("int")
     first_is_false = ((F.col("n_null") == 0) & (F.col("n_false") > 0)).cast("int")
-    contrib = steps.select(
+    return steps.select(
         "month_date",
         (prev_known + F.greatest(nonnull - 1, F.lit(0))).alias("with_prev"),
         (prev_true + F.greatest(F.col("n_true") - 1, F.lit(0))).alias("prev_active"),
         (prev_true * first_is_false).alias("churned"),
     )
-    m = (contrib.groupBy("month_date")
-         .agg(F.sum("with_prev").alias("with_prev"),
-              F.sum("prev_active").alias("prev_month_active_count"),
-              F.sum("churned").alias("churned_count"))
-         .filter(F.col("with_prev") > 0))
+
+
+def churn_totals(contrib: DataFrame) -> DataFrame:
+    """Sums of ``churn_steps`` (or of such sums) per month."""
+    return contrib.groupBy("month_date").agg(
+        *[F.sum(c).alias(c) for c in ("with_prev", "prev_active", "churned")])
+
+
+def churn_rates(totals: DataFrame) -> DataFrame:
+    """M04 from its totals per month."""
+    m = totals.filter(F.col("with_prev") > 0).select(
+        "month_date", F.col("prev_active").alias("prev_month_active_count"), F.col("churned").alias("churned_count"))
     return m.select(
         "month_date",
         F.col("prev_month_active_count").cast("bigint").alias("prev_month_active_count"),
@@ -88,6 +101,11 @@ def new_customers(df: DataFrame) -> DataFrame:
              .select("id", "month_date", "account_created_date", "first_paid_date")
              .withColumn("rn", F.row_number().over(w))
              .filter(F.col("rn") == 1))
+    return signups(first)
+
+
+def signups(first: DataFrame) -> DataFrame:
+    """M05 from the one row that counts of each customer."""
     g = first.groupBy(F.trunc("account_created_date", "month").alias("signup_month")).agg(
         F.count("id").alias("new_customers"),
         F.count(F.when(F.col("first_paid_date").isNotNull(), F.col("id"))).alias(
@@ -110,6 +128,11 @@ def conversion_funnel(df: DataFrame, require_free_start: bool = False) -> DataFr
         F.min(F.when(F.col("annual_recurring_revenue") > 0, F.col("month_date")))
         .alias("first_paid_month"),
     )
+    return funnel(journey, require_free_start)
+
+
+def funnel(journey: DataFrame, require_free_start: bool = False) -> DataFrame:
+    """M09 from the first and the first paid month of each customer."""
     if require_free_start:
         journey = journey.withColumn(
             "first_paid_month",

@@ -3,7 +3,9 @@ industry, the KPI snapshot, top customers and new customers of note."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import (asc_pg, cents, cents_sum, desc_pg, exact_sum, from_cents,
@@ -142,7 +144,8 @@ def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
-                          nulls: str = "first", plan_by: str = "text") -> DataFrame:
+                          nulls: str = "first", plan_by: str = "text",
+                          with_first_seen: Callable[[DataFrame, Column], DataFrame] | None = None) -> DataFrame:
     """Customers first seen in one of the last 3 months present; the k
     with the largest ARR summed over their active rows (quirk K5), NULL sums
     first (K6), plan = MAX(plan) by text (K7).
@@ -153,13 +156,17 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
 
     A customer first seen in the last n months has no dated row before them,
     so the join back to the table reads only those months (and undated rows)
-    instead of every active row in history.
+    instead of every active row in history. ``with_first_seen(rows, cutoff)`` may
+    add ``first_seen`` to the rows of customers first seen since then (and drop the
+    others) from kept state; otherwise it is taken from the table.
     """
     cutoff = nth_latest_month(df, recent_months)
     # The MIN is combined map-side, so history is shuffled as one row per
     # customer and task; only newcomers are left for the join below.
-    first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
-                  .filter(F.col("first_seen") >= cutoff))
+    if with_first_seen is None:
+        first_seen = (df.groupBy("id").agg(F.min("month_date").alias("first_seen"))
+                      .filter(F.col("first_seen") >= cutoff))
+        with_first_seen = lambda rows, _: rows.join(first_seen, "id")
     # rows of a NULL month belong to no month yet count for the customer;
     # they live in their own partition, so the pruning still holds
     in_window = (F.col("month_date") >= cutoff) | F.col("month_date").isNull()
@@ -167,8 +174,8 @@ def new_customers_of_note(df: DataFrame, k: int = 10, recent_months: int = 3,
                      .select("id", "month_date", "plan",
                              (plan_text_code() if plan_by == "text" else plan_rank())
                              .alias("plan_code"),
-                             cents("annual_recurring_revenue").alias("arr_cents"))
-                     .join(first_seen, "id"))
+                             cents("annual_recurring_revenue").alias("arr_cents")))
+    recent_active = with_first_seen(recent_active, cutoff)
     g = (recent_active.groupBy("id", "first_seen")
          .agg(F.max("plan_code").alias("plan_code"), unknown_plans().alias("other_plans"),
               exact_sum("arr_cents").alias("arr_sum"), F.max("month_date").alias("last_month")))
