@@ -36,10 +36,10 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce("id", F.lit(0).cast("bigint")).alias("customer"), F.col("id").isNull().alias("no_id"), "*")
 
 
-def last_status() -> Column:
-    """Aggregate: status that a month's rows of one customer end with, as a number
-    in the order NULL, FALSE, TRUE (the order in which M04 takes them)."""
-    return F.max(F.when(F.col("is_active"), 2).when(~F.col("is_active"), 1).otherwise(0))
+def status() -> Column:
+    """Status that a month's rows of one customer end with, as a number in the order
+    NULL, FALSE, TRUE (the order in which M04 takes them)."""
+    return F.when(F.col("n_true") > 0, 2).when(F.col("n_false") > 0, 1).otherwise(0)
 
 
 def _sign_up() -> Column:
@@ -49,19 +49,29 @@ def _sign_up() -> Column:
         F.col("month_date").isNull().alias("no_month"), "month_date", "account_created_date", "first_paid_date"))
 
 
+def per_month(rows: DataFrame) -> DataFrame:
+    """What the state needs of each (customer, month), combined map-side, with the
+    numbers of NULL, FALSE and TRUE rows that M04 counts."""
+    return keyed(rows).groupBy(*KEYS, "month_date").agg(
+        F.count_if(F.col("is_active").isNull()).alias("n_null"), F.count_if(~F.col("is_active")).alias("n_false"),
+        F.count_if("is_active").alias("n_true"), F.min(_sign_up()).alias("sign_up"),
+        F.bool_or(F.col("annual_recurring_revenue") > 0).alias("paid"))
+
+
 def state_of(rows: DataFrame) -> DataFrame:
-    """The state of the customers of ``rows``, from these rows alone; combined
-    map-side per (customer, month) and then per customer."""
-    per_month = keyed(rows).groupBy(*KEYS, "month_date").agg(
-        last_status().alias("status"), F.min(_sign_up()).alias("sign_up"),
-        F.bool_or(F.col("annual_recurring_revenue") > 0).alias("paid"), F.count("*").alias("n_rows"))
-    return per_month.groupBy(*KEYS).agg(
+    """The state of the customers of ``rows``, from these rows alone."""
+    return state_of_months(per_month(rows))
+
+
+def state_of_months(months: DataFrame) -> DataFrame:
+    """The state from ``per_month`` rows (several of one customer and month are merged)."""
+    return months.groupBy(*KEYS).agg(
         F.min("month_date").alias("first_month"),
         F.min(F.when(F.col("paid"), F.col("month_date"))).alias("first_paid_month"),
         F.min("sign_up").alias("sign_up"), F.max("month_date").alias("last_month"),
         # PostgreSQL orders a NULL month last
-        F.max(F.struct(F.col("month_date").isNull().alias("no_month"), "month_date", "status")).alias("last"),
-        F.sum("n_rows").alias("n_rows"))
+        F.max(F.struct(F.col("month_date").isNull().alias("no_month"), "month_date", status().alias("status"))).alias("last"),
+        F.sum(F.col("n_null") + F.col("n_false") + F.col("n_true")).alias("n_rows"))
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
