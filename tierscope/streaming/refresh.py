@@ -26,7 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.operators import revenue, usage
+from tierscope.operators import cube, revenue, usage
+from tierscope.sources import published
 from tierscope.sources.base_table import conform, read_base_table
 from tierscope.sources.schema import BASE_SCHEMA
 
@@ -39,6 +40,19 @@ MONTH_LOCAL_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+PUBLISHED_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "monthly_metrics": cube.monthly_metrics,
+    "arr_by_plan": cube.arr_by_plan,
+    "plan_distribution": cube.plan_distribution,
+    "revenue_by_geography": lambda c: cube.breakdown_latest(c, "country"),
+    "industry_breakdown": lambda c: cube.breakdown_latest(c, "industry"),
+    "latest_snapshot": cube.latest_snapshot,
+    "mau_metrics": cube.mau_metrics,
+    "inactive_rate_current": cube.inactive_rate_current,
+    "usage_trends_by_plan": cube.usage_trends_by_plan,
+}
+
+
 def refresh_months(spark: SparkSession, base_path: str, out_path: str, months: DataFrame,
                    reports: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
     """Recompute ``reports`` for the months in ``months`` (one column,
@@ -65,6 +79,36 @@ def refresh_months(spark: SparkSession, base_path: str, out_path: str, months: D
         rows.unpersist()
 
 
+def refresh_published(spark: SparkSession, base_path: str, root: str, months: DataFrame) -> str | None:
+    """Recompute the cube of the touched months (one scan of those months), put it with the
+    other months' of the version before, and publish it with every report over it, each
+    computed once. Readers (``read_published``) see all reports of one version; a refresh
+    that dies publishes nothing, and doing it again gives the same result."""
+    touched = [r[0] for r in months.select("month_date").distinct().collect()]
+    if not touched:
+        return published.current(spark, root)
+    before = published.current(spark, root)
+    found = cube.month_cube(touched_rows(spark, base_path, touched), all_months=True)
+    if before is not None:
+        list_ = spark.createDataFrame([(m,) for m in touched], "t date")  # one row per month
+        old = spark.read.parquet(f"{before}/cube")
+        found = old.join(list_, old["month_date"].eqNullSafe(list_["t"]), "left_anti").unionByName(found)
+
+    def write(folder: str) -> None:
+        # one row per month and value
+        found.coalesce(1).write.parquet(f"{folder}/cube")
+        kept = spark.read.parquet(f"{folder}/cube")
+        for name, op in PUBLISHED_REPORTS.items():
+            op(kept).coalesce(1).write.parquet(f"{folder}/{name}")
+
+    return published.publish(spark, root, write)
+
+
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A report of the version that is current now."""
+    return spark.read.parquet(f"{published.current(spark, root)}/{name}")
+
+
 def touched_rows(spark: SparkSession, base_path: str, touched: list) -> DataFrame:
     """The base table's rows of the given months (None: rows without a month)."""
     month = F.col("month_date")
@@ -90,8 +134,9 @@ def _clear_empty(spark: SparkSession, path: str, touched: list, result: DataFram
 def start_refresh(spark: SparkSession, base_path: str, out_path: str, checkpoint_path: str,
                   reports: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
                   available_now: bool = False, interval: str = "10 minutes",
-                  max_files_per_trigger: int | None = None):
-    """Start the streaming refresh; returns the ``StreamingQuery``.
+                  max_files_per_trigger: int | None = None, publish: bool = False):
+    """Start the streaming refresh; returns the ``StreamingQuery``. With ``publish``
+    every batch publishes the reports of ``PUBLISHED_REPORTS`` as one version.
 
     ``checkpoint_path`` must be on shared storage (the stream's offsets and
     committed batches live there). ``available_now=True`` processes what is
@@ -105,6 +150,9 @@ def start_refresh(spark: SparkSession, base_path: str, out_path: str, checkpoint
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
         months = batch.select("month_date").distinct()
+        if publish:
+            refresh_published(batch.sparkSession, base_path, out_path, months)
+            return
         refresh_months(batch.sparkSession, base_path, out_path, months, reports)
 
     writer = (new_rows.select("month_date").writeStream
