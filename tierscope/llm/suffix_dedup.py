@@ -212,22 +212,23 @@ def suffix_array(b: np.ndarray, words: np.ndarray | None = None) -> tuple[np.nda
     words = words_at(b) if words is None else words
     # zeros beyond the end must sort before zero bytes: length breaks the tie
     short = np.minimum(np.arange(n, 0, -1), 8)
-    order = np.lexsort((short, words))
+    order = np.argsort(words) if b.all() else np.lexsort((short, words))
     differs = np.ones(n, bool)
     differs[1:] = (words[order[1:]] != words[order[:-1]]) | (short[order[1:]] != short[order[:-1]])
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32 if n < 1 << 31 else np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(differs, np.arange(n), 0))
     open_ = np.flatnonzero(~(differs & np.concatenate([differs[1:], [True]])))
     h = 8
     while len(open_):
         own = order[open_]
-        group, second = rank[own], rank[np.minimum(own + h, n)]
-        by = np.lexsort((second, group))
-        own, group, second = own[by], group[by], second[by]
+        # below 2**63: shards are small
+        pair = rank[own].astype(np.int64) * (n + 1) + rank[np.minimum(own + h, n)] + 1
+        by = np.argsort(pair)
+        own, pair = own[by], pair[by]
         order[open_] = own
         new = np.ones(len(own), bool)
-        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        new[1:] = pair[1:] != pair[:-1]
         rank[own] = np.maximum.accumulate(np.where(new, open_, 0))
         open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
@@ -334,7 +335,7 @@ class Shard:
         """(context, first, last) of neighbouring starts that repeat."""
         r = self.repeats.astype(np.int8)
         step = np.diff(np.concatenate([[0], r, [0]]))
-        owner = np.searchsorted(self.begin, np.arange(len(r)), "right") - 1
+        owner = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(r))))
         new = (r > 0) & ((step[:-1] > 0) | (np.concatenate([[-1], owner[:-1]]) != owner))
         last = (r > 0) & ((step[1:] < 0) | (np.concatenate([owner[1:], [-1]]) != owner))
         a, b = np.flatnonzero(new), np.flatnonzero(last)
