@@ -62,6 +62,37 @@ def test_secrets_of_any_case_and_length(spark):
     assert [got[i].n_entities for i in (1, 2, 3)] == [1, 1, 2]
 
 
+def test_secrets_of_any_alphabet(spark):
+    """Masks, other scripts and emoji get another surrogate of the same length and kind."""
+    secrets = ["********", "секретныйКлюч", "パスワード密码密码", "😀😁😂🤣😃😄😅😆", "--------", "Пароль-12-Äß", "ΜυστικόΚλειδί", "________x"]
+    docs = spark.createDataFrame([(i, f'password = "{x}" and PASSWORD: "{x}"') for i, x in enumerate(secrets)],
+                                 "doc_id bigint, text string")
+    got = {r.doc_id: re.fullmatch(r'password = "([^"]+)" and PASSWORD: "([^"]+)"', r.text).groups()
+           for r in pii.replace(docs).collect()}
+    new = [got[i][0] for i in range(len(secrets))]
+    assert all(a == b for a, b in got.values()) and len(set(new) | set(secrets)) == 2 * len(secrets)
+    assert all(len(a) == len(b) for a, b in zip(new, secrets))
+    assert re.fullmatch(r"[а-я]{9}[А-Я][а-я]{3}", new[1]) and re.fullmatch(r"[\u30a2-\u30f2]{3}.[\u30a2-\u30f2]?.*", new[2])
+    assert re.fullmatch(r"[А-Я][а-я]{5}-\d\d-[A-Z][a-z]", new[5]) and re.fullmatch(r"[Α-Ω][α-ω]{6}[Α-Ω][α-ω]{5}", new[6])
+    assert set(new[0] + new[4] + new[3]) <= set(pii._SYMBOLS) and re.fullmatch(r"_{8}[a-z]", new[7])
+
+
+def test_very_long_text_and_greek_names(spark):
+    body = "word " * 300_000
+    docs = spark.createDataFrame([(1, body + 'Dr Παπαδόπουλος, token = "' + "q1" * 40_000 + '" ' + body)], "doc_id bigint, text string")
+    r = pii.replace(docs).first()
+    assert r.n_entities == 2 and r.text.startswith(body) and r.text.endswith(body)
+    assert re.search(r"Dr [Α-Ω][α-ως]+, token = \"([a-z]\d){40000}\"", r.text) and "Παπαδόπουλος" not in r.text
+
+
+def test_drawing_ends_with_an_error_when_nothing_is_free(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_DRAWS", 3)
+    monkeypatch.setattr(pii, "_secret", lambda m, h, draw: m)
+    docs = spark.createDataFrame([(1, 'token = "abcdefgh1"')], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="no surrogate"):
+        pii.replace(docs)
+
+
 def test_collisions_are_drawn_again(spark):
     """Short addresses have few surrogates of their own format: they still stay
     apart, also when the entities drawn again are joined instead of inlined."""

@@ -22,6 +22,7 @@ from tierscope.llm.common import replaced, stored
 
 KEY = "change this key"
 PATIENCE = 4         # draws after which a surrogate may leave its mention's length
+MOST_DRAWS = 64      # more than that is an error: a kind has no surrogates left
 INLINE_DRAWS = 500  # up to so many entities drawn again are an inline map; more are joined
 
 # Titles that tell a gender, and the patterns of the kinds.
@@ -47,15 +48,26 @@ _ANY = "|".join(PATTERNS.values())
 # and hint begins with a test of one character, so that most places fail at once.)
 _HINT = rf"[0-9@]|[=:] {{0,3}}[\"']|(?=[DFHMPSГг])(?:{_TITLE})\.? \p{{Lu}}"
 
+# Characters that may stand for a letter of a script other than ASCII's, and for a
+# symbol of a secret without letters and digits (a mask, say).
+_SCRIPTS = {"Cyrillic": (0x430, 32), "Greek": (0x3B1, 17), "Han": (0x4E00, 4096), "Hangul": (0xAC00, 4096),
+            "Hiragana": (0x3042, 80), "Katakana": (0x30A2, 80), "Arabic": (0x628, 19), "Hebrew": (0x5D0, 27),
+            "Devanagari": (0x915, 37), "Thai": (0xE01, 46)}
+_SYMBOLS = "!#$%&*+-=?@^_~"
+
 # Syllables of invented names.
 _FIRST = {"latin": ["Al", "Be", "Co", "Da", "El", "Fe", "Ga", "Ha", "Jo", "Ka", "Le", "Ma", "Ne", "Or", "Pa", "Ro"],
-          "cyrillic": ["Ал", "Бе", "Ва", "Га", "Да", "Жи", "За", "Ка", "Ле", "Ма", "Не", "Ол", "Па", "Ро", "Се", "Та"]}
+          "cyrillic": ["Ал", "Бе", "Ва", "Га", "Да", "Жи", "За", "Ка", "Ле", "Ма", "Не", "Ол", "Па", "Ро", "Се", "Та"],
+          "greek": ["Αλ", "Βα", "Γε", "Δη", "Ευ", "Ζη", "Θε", "Κα", "Λε", "Μα", "Νι", "Ορ", "Πα", "Ρο", "Στ", "Φι"]}
 _MIDDLE = {"latin": ["ba", "ci", "do", "fe", "gu", "ha", "ki", "lo", "mi", "ne", "po", "ri", "sa", "ti", "va", "zo"],
-           "cyrillic": ["ба", "ви", "го", "де", "жу", "за", "ки", "ло", "ми", "не", "по", "ри", "са", "ти", "фа", "хо"]}
+           "cyrillic": ["ба", "ви", "го", "де", "жу", "за", "ки", "ло", "ми", "не", "по", "ри", "са", "ти", "фа", "хо"],
+           "greek": ["βα", "γι", "δο", "ζε", "θυ", "κα", "λι", "μο", "νε", "ξα", "πι", "ρο", "σα", "τι", "φα", "χο"]}
 _LAST = {"latin": {"given-m": ["n", "rd", "s", "k"], "given-f": ["a", "na", "lla", "ine"],
                    "given-n": ["e", "y", "o", "u"], "family": ["son", "mann", "ford", "berg"]},
          "cyrillic": {"given-m": ["н", "р", "й", "к"], "given-f": ["а", "на", "ла", "ия"],
-                      "given-n": ["о", "у", "е", "и"], "family": ["енко", "ук", "ич", "ян"]}}
+                      "given-n": ["о", "у", "е", "и"], "family": ["енко", "ук", "ич", "ян"]},
+         "greek": {"given-m": ["ος", "ης", "ας", "ων"], "given-f": ["α", "η", "ια", "ω"],
+                   "given-n": ["ι", "υ", "ο", "ε"], "family": ["πουλος", "ιδης", "ακης", "ου"]}}
 
 
 def _let(value: Column, use) -> Column:
@@ -153,6 +165,39 @@ def _by_class(m: Column, h: Column, letters=26) -> Column:
     return F.array_join(F.transform(_chars(m), swap), "")
 
 
+def _by_script(m: Column, h: Column, letters: int) -> Column:
+    """Every letter and digit by one of its script and case; without any, symbols by
+    ASCII symbols, so that no secret stays what it is."""
+    mask = ~m.rlike(r"[\p{L}\p{N}]")
+
+    def swap(c, i):
+        b = _byte(h, i)
+        of = lambda own: F.substr(F.lit(own), (b * 256 + _byte(h, i + 1)) % len(own) + 1, F.lit(1))
+        out = (F.when(c.rlike("^[0-9]$"), (b % 10).cast("string"))
+               .when(c.rlike("^[a-z]$"), _letter(b, letters))
+               .when(c.rlike("^[A-Z]$"), F.upper(_letter(b, letters))).when(mask & (c != ""), of(_SYMBOLS)))
+        for name, (first, n) in _SCRIPTS.items():
+            own = of("".join(map(chr, range(first, first + n))))
+            out = out.when(c.rlike(rf"^\p{{Is{name}}}$") & c.rlike(r"^\p{L}$"),
+                           F.when(c.rlike(r"^\p{Lu}$"), F.upper(own)).otherwise(own))
+        return (out.when(c.rlike(r"^\p{Lu}$"), F.upper(_letter(b, letters))).when(c.rlike(r"^\p{L}$"), _letter(b, letters))
+                .when(c.rlike(r"^\p{N}$"), (b % 10).cast("string")).otherwise(c))
+
+    # ASCII secrets, nearly all of them, need none of the scripts
+    plain = ~mask & m.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, _by_class(m, h, letters)).otherwise(F.array_join(F.transform(_chars(m), swap), ""))
+
+
+def _secret(m: Column, h: Column, draw: Column) -> Column:
+    """Letters and digits by script and case (hexadecimal ones stay so); after
+    ``PATIENCE`` draws it grows."""
+    hexadecimal = _hex_only(m)
+    new = F.when(hexadecimal, _by_script(m, h, 6)).otherwise(_by_script(m, h, 26))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(draw / PATIENCE).cast("int")), lambda i: F.when(
+        i == 0, "").otherwise(_letter(_byte(h, 127 - i), F.when(hexadecimal, 6).otherwise(26)))), "")
+    return F.concat(new, F.when(m.rlike("[A-Z]") & ~m.rlike("[a-z]"), F.upper(tail)).otherwise(tail))
+
+
 def _filled(m: Column, digits: Column) -> Column:
     """The mention with its digits replaced by those of a digit string."""
     def fill(new):
@@ -211,14 +256,15 @@ def _name_part(kind: Column, token: Column, h: Column, draw: Column) -> Column:
             last = F.when(kind == k, pick(own, _byte(h, 0))).otherwise(last)
         return F.concat(pick(_FIRST[script], _byte(h, 100)), middle, last)
 
-    return F.when(token.rlike(r"^\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+    return (F.when(token.rlike(r"^\p{IsCyrillic}"), made("cyrillic"))
+            .when(token.rlike(r"^\p{IsGreek}"), made("greek")).otherwise(made("latin")))
 
 
 def _formed(kind: Column, m: Column, h: Column, draw: Column) -> Column:
     """Surrogate of a mention that is one entity (not a name)."""
     return (F.when(kind == "email", _email(m, h, draw)).when(kind == "ip", _ip(m, h, draw))
             .when(kind == "phone", _phone(m, h)).when(kind == "card", _card(m, h))
-            .when((kind == "secret") & _hex_only(m), _by_class(m, h, 6)).otherwise(_by_class(m, h)))
+            .when(kind == "secret", _secret(m, h, draw)).otherwise(_by_class(m, h)))
 
 
 _NAME_KINDS = ["family", "given-m", "given-f", "given-n"]
@@ -279,8 +325,12 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
             "kind", "canon", "draw",
             (F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("stays") != F.col("canon"), F.lit(False))).alias("again"))
         marked = stored(marked)
-        if not marked.where("again").limit(1).count():
+        left = marked.where("again").agg(F.count("*").alias("n"), F.max("draw").alias("draw"),
+                                         F.max("kind").alias("kind")).first()
+        if not left["n"]:
             return marked.where("draw > 0").select("kind", "canon", "draw")
+        if left["draw"] >= MOST_DRAWS:
+            raise ValueError(f"{left['n']} entities (such as of kind {left['kind']}) have no surrogate that is free")
         state = marked.select("kind", "canon", (F.col("draw") + F.col("again").cast("int")).alias("draw"))
 
 
