@@ -48,6 +48,22 @@ def test_scan_equals_brute_force(spark, shard_words):
     assert got == sorted(want)
 
 
+def test_shards_are_bounded_whatever_repeats(spark, monkeypatch):
+    """40 equal items are one, a huge item is a shard of its own, and no shard has more
+    than the bound and one item."""
+    made = []
+    real = d.Automaton.__init__
+    monkeypatch.setattr(d.Automaton, "__init__", lambda self, items, window: made.append(
+        sum(len(w) for _, w in items)) or real(self, items, window))
+    huge = " ".join(f"h{k}" for k in range(500))
+    bench = [(1, "a b c d e f g")] * 40 + [(2, huge)] + [(i, f"x{i} y{i} z{i}") for i in range(3, 60)]
+    docs = spark.createDataFrame([("s", "a b c d e f g " + huge, 1, 1), ("s", "x9 y9 z9", 2, 1)], DOCS)
+    out = {r.doc_id: (r.n_hit, r["items"]) for r in d.scan(
+        docs, spark.createDataFrame(bench, "item_id bigint, text string"), window=5, shard_words=60).collect()}
+    assert out == {1: (507, [1, 2]), 2: (3, [9])}
+    assert sum(made) == 7 + 500 + 57 * 3 and len(made) <= 13 and sorted(made)[-2] <= 63
+
+
 def test_cut_and_coverage(spark):
     passage = "One two three four five six seven eight nine ten."
     bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")

@@ -41,3 +41,20 @@ def test_never_learns_from_held_out_rows(spark):
     swapped = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a, b = langid.fit(docs), langid.fit(swapped)
     assert a.languages == b.languages and (a.family_w == b.family_w).all()
+
+
+def test_every_language_is_learned_and_repeats_count_once(spark):
+    words = ["".join(chr(97 + (7 * k + 3 * i * i + i) % 26) for i in range(9)) for k in range(40)]
+    rows = [(1000 * k + i, f"{w} {w[::-1]} {w}", f"l{k}") for k, w in enumerate(words) for i in range(6)]
+    rows += [(7, f"{words[0]} {words[0]}", "l0")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, per_language=4, max_rows=100)
+    assert sum(len(v) for v in model.languages.values()) == 40
+    same = spark.createDataFrame([(4, "le la les des", "fr")] * 3000, "doc_id bigint, text string, lang string")
+    assert langid.fit(same, 10, 10).languages
+
+
+def test_few_rows_of_each_language_are_enough_to_learn_it(spark):
+    docs = spark.createDataFrame([(i, "der die und das", "de") for i in range(9)] + [(i, "the of and that", "en") for i in range(100, 104)],
+                                 "doc_id bigint, text string, lang string")
+    assert sum(len(v) for v in langid.fit(docs).languages.values()) == 2

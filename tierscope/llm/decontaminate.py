@@ -5,9 +5,9 @@ numbers. Training texts stream through it: after every word the state gives the
 longest match that ends there. A match of ``window`` words or more is hit whole;
 an item with fewer words is hit where it occurs whole.
 
-The automaton holds at most ``shard_words`` benchmark words (its size bound);
-a larger benchmark is dealt into several automata and the documents stream
-through one after the other, without a shuffle.
+An automaton holds at most ``shard_words`` benchmark words and one item (its size
+bound; equal items count once); a larger benchmark is cut into several automata and
+the documents stream through one after the other, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierscope.llm.common import WORD_TABLE, arrow_schema, column, replaced, words
+from tierscope.llm.common import WORD_TABLE, arrow_schema, column, replaced, stored, words
 
 WINDOW = 10
 SHARD_WORDS = 200_000
 MAX_COVERAGE = 0.5
 
+_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before lower-casing
 _WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # the words' places in the raw text
 
 
@@ -183,18 +184,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"),
                              F.col("text").cast("binary").alias("raw")).where("raw is not null")
-    size = F.size(F.split(F.trim(F.regexp_replace(
-        F.col("raw").cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " "))
-    total = bench.agg(F.sum(size)).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+    # equal rows mark the same words; the operator's own words, so a shard is as large as it says
+    size = F.regexp_count(F.col("raw").cast("string"), F.lit(_WORD_PATTERN))
+    items = bench.distinct().select("item_id", "raw", size.cast("bigint").alias("n")).where("n > 0")
+    order = Window.orderBy(F.xxhash64("item_id", "raw"), "item_id", "raw")
+    dealt = stored(items.withColumn("shard", F.floor((F.sum("n").over(order) - F.col("n")) / shard_words)))
+    shards = [r[0] for r in dealt.select("shard").distinct().orderBy("shard").collect()]
     df = replaced(docs, {
         "n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"),
         "spans": F.array().cast("array<struct<first:int,stop:int>>"),
         "items": F.array().cast("array<bigint>"), "longest": F.lit(0),
         "kept_text": F.col("text")})
-    for k in range(shards):
-        of = F.pmod(F.xxhash64("item_id", "raw"), F.lit(shards)) == k
-        own = [(r["item_id"], words(bytes(r["raw"]))) for r in bench.where(of).collect()]  # under shard_words on average
+    for k in shards or [None]:
+        # at most shard_words and one item
+        own = [(r["item_id"], words(bytes(r["raw"]))) for r in dealt.where(F.col("shard") == k).collect()]
         held = spark.sparkContext.broadcast(Automaton(own, window))
         df = _pass(df, held)
     return df

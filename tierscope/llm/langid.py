@@ -21,6 +21,7 @@ from tierscope.llm.common import arrow_schema, column, replaced
 
 DIMS = 4096
 PER_LANGUAGE = 500   # rows to learn from for each language, about
+LEAST = 8           # rows of a language, however many languages there are
 MAX_ROWS = 4000      # and for all languages together
 UNKNOWN = "und"
 _STEP = 1 << 20      # a long text is counted in steps of this many bytes
@@ -126,21 +127,22 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Learn from rows with a text that has a letter, a language and an id that
-    isn't held out; of more than ``max_rows // 8`` languages, the most frequent
-    ones. An empty table gives a model that knows no language."""
+    isn't held out: of every language about ``per_language`` different rows, or its
+    share of ``max_rows`` if that is less, but ``LEAST`` at least. Rows that repeat one
+    id and text count once. An empty table gives a model that knows no language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                       & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), "text",
         F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(max_rows // 8).collect()}  # the most frequent
+    # one row per language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return Model()
-    want = min(per_language, max_rows // len(counts))
-    least = [(F.col("lang") == lang) & (F.col("draw") < int(min(1.0, want / n) * (1 << 30)) + 1)
-             for lang, n in sorted(counts.items())]
-    chosen = rows.where(F.when(least[0], True).otherwise(False) if len(least) == 1
-                        else _any(least))
+    want = max(LEAST, min(per_language, max_rows // len(counts)))
+    limits = docs.sparkSession.createDataFrame(
+        [(lang, int(min(1.0, want / n) * (1 << 30)) + 1) for lang, n in counts.items()], "lang string, below bigint")
+    chosen = rows.join(F.broadcast(limits), "lang").where("draw < below").select("lang", "text", "draw").dropDuplicates(
+        ["lang", "draw"])
 
     def run(batches):
         for batch in batches:
@@ -161,13 +163,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
     return _train([g[0] for g in got], np.stack([np.frombuffer(g[2], np.float32) for g in got]))
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def _train(lang: list[str], x: np.ndarray) -> Model:
     names = np.array(lang)
     family = np.array([family_of(n) for n in lang])

@@ -391,8 +391,19 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLO
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
-    """``docs`` with one row of each group of linked documents (the smallest
-    doc_id; of rows that repeat it, any one). Rows without an id stay."""
-    first = join(docs, percent, size).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+    """``docs`` with one row of each group of linked documents: that of the smallest
+    doc_id, of rows that share it the one whose text hashes lowest. A document is an id
+    with its text, so rows that share an id but not a text are compared like any others;
+    of rows equal in both, the one whose whole row hashes lowest stays. Rows without an
+    id stay."""
+    node = F.xxhash64("doc_id", "text")
+    named = docs.where("doc_id is not null")
+    ids = named.select("doc_id", node.alias("node")).distinct()
+    found = join(named.select(node.alias("doc_id"), "text"), percent, size).select(
+        F.col("doc_id").alias("node"), "component_id").distinct()
+    first = ids.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(
+        "first.node")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = named.select(node.alias("node"), whole.alias("row")).join(first, "node", "left_semi").groupBy("node").agg(
+        F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
