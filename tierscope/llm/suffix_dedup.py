@@ -219,18 +219,20 @@ def suffix_array(b: np.ndarray, words: np.ndarray | None = None) -> tuple[np.nda
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(differs, np.arange(n), 0))
     open_ = np.flatnonzero(~(differs & np.concatenate([differs[1:], [True]])))
+    own = order[open_]
+    group = rank[own].astype(np.int64)
     h = 8
     while len(open_):
-        own = order[open_]
-        # below 2**63: shards are small
-        pair = rank[own].astype(np.int64) * (n + 1) + rank[np.minimum(own + h, n)] + 1
+        pair = group * (n + 1) + rank[np.minimum(own + h, n)] + 1  # below 2**63: shards are small
         by = np.argsort(pair)
         own, pair = own[by], pair[by]
         order[open_] = own
         new = np.ones(len(own), bool)
         new[1:] = pair[1:] != pair[:-1]
-        rank[own] = np.maximum.accumulate(np.where(new, open_, 0))
-        open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
+        group = np.maximum.accumulate(np.where(new, open_, 0))
+        rank[own] = group
+        left = ~(new & np.concatenate([new[1:], [True]]))
+        open_, own, group = open_[left], own[left], group[left]
         h *= 2
     return order, rank[:n]
 
