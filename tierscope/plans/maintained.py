@@ -19,6 +19,7 @@ from tierscope.functions.expr import from_cents
 from tierscope.operators import cube
 from tierscope.operators.latest import months_of
 from tierscope.session import scratch_dir
+from tierscope.sources import changes
 from tierscope.sources.base_table import _fingerprint, load_base_table
 from tierscope.state import customer_state, month_bitmaps
 from tierscope.streaming import churn
@@ -72,6 +73,22 @@ def _bitmaps(spark, sf_dir) -> DataFrame:
     return month_bitmaps.as_cube(spark, f"{feed(spark, sf_dir)}/bitmaps")
 
 
+def corrected(base: DataFrame) -> DataFrame:
+    """A snapshot with late corrections: rows without a plan are taken back, revenue of
+    Top rows is a dollar higher, an unknown status becomes inactive, and rows of Low
+    customers in an industry come once more."""
+    fixed = base.where("plan IS NOT NULL").withColumns({
+        "annual_recurring_revenue": F.when(F.col("plan") == "Top", F.col("annual_recurring_revenue") + 1).otherwise(
+            F.col("annual_recurring_revenue")),
+        "is_active": F.coalesce("is_active", F.lit(False))})
+    return fixed.unionByName(fixed.where("plan = 'Low' AND industry <> ''"))
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    base = load_base_table(spark, sf_dir)
+    return changes.by_month(changes.differences(base, corrected(base)))
+
+
 # Name: (query, name of the report over all history with the same result, or None)
 MAINTAINED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "s01_customer_state": (lambda s, d: customer_rows(_state(s, d)), None),
@@ -85,6 +102,7 @@ MAINTAINED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "m01_from_bitmaps": (lambda s, d: cube.monthly_metrics(_bitmaps(s, d)), "m01_monthly_metrics"),
     "m03_from_bitmaps": (lambda s, d: cube.plan_distribution(_bitmaps(s, d)), "m03_plan_distribution"),
     "m11_from_bitmaps": (lambda s, d: cube.mau_metrics(_bitmaps(s, d)), "m11_mau_metrics"),
+    "x01_corrections_by_month": (_changes, None),
     "c01_month_cube": (lambda s, d: cube_rows(_cube(s, d)), None),
     "m02_from_cube": (lambda s, d: cube.arr_by_plan(_cube(s, d)), "m02_arr_by_plan"),
     "m07_from_cube": (lambda s, d: cube.breakdown_latest(_cube(s, d), "country"), "m07_revenue_by_geography"),
@@ -106,6 +124,24 @@ SELECT id AS customer_id, min(month_date) AS first_month,
          FILTER (account_created_date IS NOT NULL) AS signup_first_paid,
        count(*) AS n_rows
 FROM cmm GROUP BY id""",
+    "x01_corrections_by_month": """
+, fixed AS (
+  SELECT * REPLACE (CAST(CASE WHEN plan = 'Top' THEN annual_recurring_revenue + 1 ELSE annual_recurring_revenue END
+                         AS DECIMAL(18,2)) AS annual_recurring_revenue, coalesce(is_active, false) AS is_active)
+  FROM cmm WHERE plan IS NOT NULL),
+now AS (SELECT * FROM fixed UNION ALL SELECT * FROM fixed WHERE plan = 'Low' AND industry <> ''),
+gone AS (SELECT id, month_date, count(*) AS n FROM (SELECT * FROM cmm EXCEPT ALL SELECT * FROM now) GROUP BY ALL),
+come AS (SELECT id, month_date, count(*) AS n FROM (SELECT * FROM now EXCEPT ALL SELECT * FROM cmm) GROUP BY ALL),
+kinds AS (
+  SELECT coalesce(g.month_date, c.month_date) AS month_date, coalesce(g.n, 0) AS removed, coalesce(c.n, 0) AS added,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM cmm o WHERE o.id = coalesce(g.id, c.id)
+                               AND o.month_date = coalesce(g.month_date, c.month_date)) THEN 'inserted'
+              WHEN NOT EXISTS (SELECT 1 FROM now o WHERE o.id = coalesce(g.id, c.id)
+                               AND o.month_date = coalesce(g.month_date, c.month_date)) THEN 'deleted'
+              ELSE 'changed' END AS kind
+  FROM gone g FULL JOIN come c ON c.id = g.id AND c.month_date = g.month_date)
+SELECT month_date, kind, count(*) AS keys, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(added) AS BIGINT) AS added
+FROM kinds GROUP BY month_date, kind""",
     "c01_month_cube": " UNION ALL ".join(f"""
 SELECT month_date, '{scope}' AS scope, {value} AS value,
        count(DISTINCT id) FILTER (is_active) AS active_customers, count(DISTINCT id) AS total_customers,

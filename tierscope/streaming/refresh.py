@@ -20,6 +20,7 @@ partitions, without any state of its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.operators import cube, revenue, usage
-from tierscope.sources import published
+from tierscope.session import scratch_dir
+from tierscope.sources import changes, published
 from tierscope.sources.base_table import conform, read_base_table
 from tierscope.sources.schema import BASE_SCHEMA
+from tierscope.state import customer_state
 
 MONTH_LOCAL_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "monthly_metrics": revenue.monthly_metrics,
@@ -104,6 +107,20 @@ def refresh_published(spark: SparkSession, base_path: str, root: str, months: Da
     return published.publish(spark, root, write)
 
 
+def refresh_corrected(spark: SparkSession, old: DataFrame, new: DataFrame, new_path: str, reports_root: str,
+                      state_root: str | None = None) -> DataFrame:
+    """Bring published reports (and the customer state) from snapshot ``old`` to the
+    corrected snapshot ``new``, which is stored at ``new_path``: only the months and the
+    customers that differ are computed again. Returns the differences."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/tierscope/changes-{uuid.uuid4().hex}"
+    changes.differences(old, new).write.parquet(folder)
+    found = spark.read.parquet(folder)
+    refresh_published(spark, new_path, reports_root, changes.touched_months(found))
+    if state_root is not None and not found.isEmpty():
+        customer_state.replace_customers(spark, state_root, new, changes.touched_customers(found))
+    return found
+
+
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A report of the version that is current now."""
     return spark.read.parquet(f"{published.current(spark, root)}/{name}")
