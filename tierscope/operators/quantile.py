@@ -48,7 +48,20 @@ def exact_median(df: DataFrame, group, value: str, out: str = "median") -> DataF
     g, v = "_g", "_v"
     rows = df.select(F.struct(*groups).alias(g), F.col(value).cast("bigint").alias(v)) \
         .filter(F.col(v).isNotNull())
-    hist = rows.groupBy(g, v).agg(F.count("*").alias("_c"))
+    return _median(rows.groupBy(g, v).agg(F.count("*").alias("_c")), groups, out)
+
+
+def median_of_histogram(hist: DataFrame, group, value: str, count: str, out: str = "median") -> DataFrame:
+    """``exact_median`` from stored histograms: rows ``(group, value, count)``, several
+    of one group and value are added up."""
+    groups = [group] if isinstance(group, str) else list(group)
+    rows = hist.select(F.struct(*groups).alias("_g"), F.col(value).cast("bigint").alias("_v"), F.col(count).alias("_c"))
+    return _median(rows.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.sum("_c").alias("_c")), groups, out)
+
+
+def _median(hist: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """Radix descent over a histogram ``(_g, _v, _c)``."""
+    g, v = "_g", "_v"
 
     # Level 0 needs no targets yet: per group, the first-digit counts give
     # both the running count and the group size n (one aggregation, one

@@ -52,6 +52,11 @@ def usage_by_plan(df: DataFrame, exact_median: bool = True) -> DataFrame:
                       for m in ("daily_median", "ev_median")]))
         # one row per plan on each side; AQE broadcasts by measured size
         g = g.join(med, g["plan"].eqNullSafe(med["_p"]), "left").drop("_p")
+    return usage_summary(g)
+
+
+def usage_summary(g: DataFrame) -> DataFrame:
+    """M06's columns from counts, exact sums and medians per plan."""
     return g.select(
         "plan", "unique_customers", "customer_months",
         round_avg("daily_sum", "daily_n", 0).alias("avg_events_daily"),

@@ -21,7 +21,7 @@ from tierscope.operators.latest import months_of
 from tierscope.session import scratch_dir
 from tierscope.sources import changes
 from tierscope.sources.base_table import _fingerprint, load_base_table
-from tierscope.state import customer_state, month_bitmaps
+from tierscope.state import customer_state, month_bitmaps, usage_histograms
 from tierscope.streaming import churn
 
 _FED: dict = {}
@@ -45,7 +45,7 @@ def feed(spark: SparkSession, sf_dir: str) -> str:
             root = f"{scratch_dir(spark).rstrip('/')}/tierscope/kept-{key[1]}-{uuid.uuid4().hex[:8]}"
             for k, part in enumerate(appends(load_base_table(spark, sf_dir))):
                 churn.apply_batch(spark, part, k, f"{root}/churn", "feed", buckets=8)
-                month_bitmaps.append(spark, f"{root}/bitmaps", part, f"part{k}")
+                usage_histograms.append(spark, f"{root}/bitmaps", part, f"part{k}")
             _FED[key] = root
         return _FED[key]
 
@@ -101,6 +101,7 @@ MAINTAINED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None
     "m04_from_batches": (lambda s, d: churn.read_churn(s, f"{feed(s, d)}/churn"), "m04_churn_metrics"),
     "m01_from_bitmaps": (lambda s, d: cube.monthly_metrics(_bitmaps(s, d)), "m01_monthly_metrics"),
     "m03_from_bitmaps": (lambda s, d: cube.plan_distribution(_bitmaps(s, d)), "m03_plan_distribution"),
+    "m06_from_histograms": (lambda s, d: usage_histograms.usage_by_plan(s, f"{feed(s, d)}/bitmaps"), "m06_usage_by_plan"),
     "m11_from_bitmaps": (lambda s, d: cube.mau_metrics(_bitmaps(s, d)), "m11_mau_metrics"),
     "x01_corrections_by_month": (_changes, None),
     "c01_month_cube": (lambda s, d: cube_rows(_cube(s, d)), None),

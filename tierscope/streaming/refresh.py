@@ -74,10 +74,12 @@ def refresh_months(spark: SparkSession, base_path: str, out_path: str, months: D
     try:
         for name, op in reports.items():
             path = f"{out_path.rstrip('/')}/{name}"
-            (op(rows).write.mode("overwrite")
+            result = op(rows).persist()  # a few rows per month, used twice
+            (result.write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic")
              .partitionBy("month_date").parquet(path))
-            _clear_empty(spark, path, touched, op(rows))
+            _clear_empty(spark, path, touched, result)
+            result.unpersist()
     finally:
         rows.unpersist()
 
