@@ -396,14 +396,21 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame
     with its text, so rows that share an id but not a text are compared like any others;
     of rows equal in both, the one whose whole row hashes lowest stays. Rows without an
     id stay."""
-    node = F.xxhash64("doc_id", "text")
-    named = docs.where("doc_id is not null")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # own columns can't clash with the ones below
+    named = docs.where("doc_id is not null").select("doc_id", "text", whole.alias("row"))
+    text = F.xxhash64("text")
+    clashing = stored(named.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select(
+        F.col("doc_id").alias("clashing")))
+    # ids of one text stay as they are: they pack better than hashes
+    node = F.col("doc_id").cast("bigint")
+    if not clashing.isEmpty():
+        named = named.join(clashing, named["doc_id"] == clashing["clashing"], "left")
+        node = F.when(F.col("clashing").isNull(), node).otherwise(F.xxhash64("doc_id", "text"))
     ids = named.select("doc_id", node.alias("node")).distinct()
     found = join(named.select(node.alias("doc_id"), "text"), percent, size).select(
         F.col("doc_id").alias("node"), "component_id").distinct()
     first = ids.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(
         "first.node")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = named.select(node.alias("node"), whole.alias("row")).join(first, "node", "left_semi").groupBy("node").agg(
+    kept = named.select(node.alias("node"), "row").join(first, "node", "left_semi").groupBy("node").agg(
         F.min_by("row", F.xxhash64("row")).alias("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
