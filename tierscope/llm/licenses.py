@@ -1,34 +1,41 @@
-"""License scan: an exact containment join of text blocks with license templates.
-
-A block is a line of a document; a template is the word set of a license notice.
-A block matches when it holds at least ``THRESHOLD`` of a template's distinct
-words. Words are ordered by how many blocks of the whole corpus hold them,
-rarest first. A match needs ``c = ceil(THRESHOLD * size)`` common words, so it
-shares one of the template's ``size - c + 1`` rarest words (prefix filter), has
-``c`` words itself (length filter), and what can still follow the matches so far
-must reach ``c`` (positional filter). What passes is compared exactly.
-
-Notices are found besides, across line breaks: windows of ``STRETCH`` times a
-template's length in words, starting at each of its words in the text, that hold
-as many of its distinct words, and the words ``DISTINGUISHING`` its label. The same
-filters choose the windows. Matching windows that overlap are one notice, told by
-the best of them.
+"""License scan: an exact containment join of text blocks with license notices.
+
+A template is the word set of a license notice, or of one paragraph of it. A block
+is a stretch of words of a text, whatever its line breaks, of at most
+``ceil(length / THRESHOLD)`` words for a template of ``length`` words. A block
+matches when it holds at least ``THRESHOLD`` of the template's distinct words, all
+words that the template ``needs`` and none that it ``lacks``.
+
+Words are ordered by how many lines of the whole corpus hold them, rarest first. A
+match needs ``c = ceil(THRESHOLD * size)`` common words, so it shares one of the
+template's ``size - c + 1`` rarest words (prefix filter), has ``c`` words itself
+(length filter), and what can still follow the matches so far must reach ``c``
+(positional filter). What passes is compared exactly. Matching blocks of one
+template that overlap are one notice, told by the best of them.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import column, replaced, arrow_schema, words
+from tierscope.llm.common import arrow_schema, column, replaced, words
 
 THRESHOLD = 0.8
-STRETCH = 2  # the usual LGPL header needs 21 words to hold 12 of its template's 14
+
+
+class Template(NamedTuple):
+    label: str
+    text: str
+    needs: tuple[str, ...] = ()  # words without which it is another license's notice
+    lacks: tuple[str, ...] = ()  # words which make it another license's notice
+
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -38,46 +45,117 @@ PHRASES = {
     "mit license": "mit",
 }
 
+
+def _gnu(label: str, program: str, name: str, needs: tuple, lacks: tuple) -> list[Template]:
+    """The paragraphs of a GNU license's notice, which differ by its name."""
+    return [Template(label, text, needs, lacks) for text in (
+        f"This work is licensed under the {name}",
+        f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {name}",
+        f"This {program} is free software; you can redistribute it and/or modify it under the terms of the {name} as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        f"This {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.")]
+
+
+def _creative_commons(code: str) -> list[Template]:
+    """The notices of a Creative Commons license, by its code (as ``by-nc-sa``)."""
+    names = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+    own = code.split("-")
+    other = [c for c in names if c not in own]
+    name = "-".join(names[c] for c in own)
+    long = dict(needs=tuple(names[c].lower() for c in own), lacks=tuple(names[c].lower() for c in other))
+    return [
+        Template(f"cc-{code}", f"Licensed under CC {code.upper()} 4.0", ("cc", *own), tuple(other)),
+        Template(f"cc-{code}", f"This work is licensed under a Creative Commons {name} 4.0 International License", **long),
+        Template(f"cc-{code}", f"This work is licensed under the Creative Commons {name} 4.0 International License. To view "
+                 f"a copy of this license, visit http://creativecommons.org/licenses/{code}/4.0/ or send a letter to "
+                 "Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.", **long)]
+
+
 # License notices and their labels.
 TEMPLATES = [
-    ("gpl", "This work is licensed under the GNU General Public License"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "This library is free software under the terms of the GNU Lesser General Public License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright CC0"),
+    *_gnu("gpl", "program", "GNU General Public License", ("general",), ("lesser", "library", "affero")),
+    *_gnu("lgpl", "library", "GNU Lesser General Public License", ("lesser",), ("affero",)),
+    *_gnu("lgpl", "library", "GNU Library General Public License", ("library", "general"), ("lesser", "affero")),
+    *_gnu("agpl", "program", "GNU Affero General Public License", ("affero",), ("lesser",)),
+    Template("apache", "Licensed under the Apache License, Version 2.0", ("apache",)),
+    Template("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
+             "in compliance with the License. You may obtain a copy of the License at "
+             "http://www.apache.org/licenses/LICENSE-2.0", ("apache",)),
+    Template("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License "
+             "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+             "See the License for the specific language governing permissions and limitations under the License."),
+    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+             ("granted", "charge"), ("boost", "organization")),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+             "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+             "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+             "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+             "following conditions: The above copyright notice and this permission notice shall be included in all copies "
+             "or substantial portions of the Software."),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+             "provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+             "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form "
+             "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+             "documentation and/or other materials provided with the distribution."),
+    Template("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+             "promote products derived from this software without specific prior written permission."),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+             "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla",)),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+             "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla",)),
+    *[t for code in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for t in _creative_commons(code)],
+    Template("cc0", "To the extent possible under law, the author has waived all copyright CC0", ("waived",)),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+             "rights to this work.", ("waived",)),
+    Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+             "modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+             "compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    Template("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+             "software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+             "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+             ("organization",)),
+    Template("boost", "Distributed under the Boost Software License, Version 1.0", ("boost",)),
+    Template("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial "
+             "applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    Template("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+             "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ("eclipse",)),
 ]
 
-# Words that a notice can't lack, by label.
-DISTINGUISHING = {"lgpl": "lesser", "cc-by-nc": "nc", "cc-by-sa": "sa"}
-
 
-def blocks(raw: bytes) -> list[list[bytes]]:
+def lines(raw: bytes) -> list[list[bytes]]:
     """The words of each line that has any."""
     return [w for line in raw.split(b"\n") if (w := words(line))]
 
 
-def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset]]:
-    return [(label, frozenset(words(text.encode()))) for label, text in templates]
+def template_sets(templates=TEMPLATES) -> list[frozenset]:
+    return [frozenset(words(t.text.encode())) for t in templates]
+
+
+def least(size: int, threshold: float) -> int:
+    """How many of ``size`` distinct words a match holds at least."""
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def width(template: Template, threshold: float = THRESHOLD) -> int:
+    """How many words a block has at most."""
+    return math.ceil(len(words(template.text.encode())) / threshold - 1e-9)
 
 
 def block_frequency(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
-    """In how many blocks of the whole corpus each template word stands. One row
+    """In how many lines of the whole corpus each template word stands. One row
     per template word reaches the driver, however large the corpus is."""
-    vocabulary = frozenset().union(*(s for _, s in template_sets(templates)))
+    vocabulary = frozenset().union(*template_sets(templates))
 
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
             for raw in column(batch, "raw"):
                 if raw and not vocabulary.isdisjoint(words(raw)):
-                    for own in blocks(raw):
+                    for own in lines(raw):
                         total.update(vocabulary.intersection(own))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
@@ -89,80 +167,74 @@ def block_frequency(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
 
 
 class Index:
-    """Templates in the global word order, by the words of their prefixes."""
-
-    def __init__(self, sets: list[tuple[str, frozenset]], frequency: dict[bytes, int], threshold: float):
-        self.sets = [(label, own) for label, own in sets if own]
-        self.need = [max(1, math.ceil(threshold * len(own) - 1e-9)) for _, own in self.sets]
-        self.ordered = [sorted(own, key=lambda w: (frequency.get(w, 0), w)) for _, own in self.sets]
-        self.prefix: dict[bytes, list[int]] = {}
-        for t, own in enumerate(self.ordered):
-            for w in own[:len(own) - self.need[t] + 1]:
-                self.prefix.setdefault(w, []).append(t)
-
-    def matches(self, block: list[bytes]) -> list[tuple[int, float]]:
-        own = set(block)
-        out = []
-        for t in sorted({t for w in own if w in self.prefix for t in self.prefix[w]}):
-            need, order = self.need[t], self.ordered[t]
-            if len(own) < need:
-                continue
-            common = 0
-            for i, w in enumerate(order):
-                common += w in own
-                if common + len(order) - i - 1 < need:
-                    break
-            else:
-                out.append((t, common / len(order)))
-        return out
-
-
-class Notices:
-    """Windows of a text that match a template, whatever the line breaks. Words are
-    given by their numbers."""
-
-    def __init__(self, index: Index, number: dict[bytes, int], templates):
-        lengths = [len(w) for _, text in templates if (w := words(text.encode()))]
-        self.own = []
-        for t, (label, _) in enumerate(index.sets):
-            order, need = [number[w] for w in index.ordered[t]], index.need[t]
-            member, prefix = np.zeros(len(number), bool), np.zeros(len(number), bool)
-            member[order] = True
-            prefix[order[:len(order) - need + 1]] = True
-            must = DISTINGUISHING.get(label, "").encode()
-            must = number[must] if must in index.sets[t][1] else None
-            self.own.append((label, len(order), need, STRETCH * lengths[t], member, prefix, must))
+    """Templates in the global word order. Words are given by their numbers."""
+
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+        self.templates = [t for t in templates if words(t.text.encode())]
+        sets = template_sets(self.templates)
+        named = [[w.encode() for w in (*t.needs, *t.lacks)] for t in self.templates]
+        every = sorted(frozenset().union(*sets, *named))
+        self.number = {w: i for i, w in enumerate(every)}
+        self.need = np.array([least(len(own), threshold) for own in sets], np.int64)
+        self.width = [width(t, threshold) for t in self.templates]
+        self.order = [[self.number[w] for w in sorted(own, key=lambda w: (frequency.get(w, 0), w))] for own in sets]
+        shape = len(sets), len(every)
+        self.member, self.prefix, self.lacks = (np.zeros(shape, bool) for _ in range(3))
+        self.needs = [{self.number[w.encode()] for w in t.needs} for t in self.templates]
+        for t, order in enumerate(self.order):
+            self.member[t, order] = True
+            self.prefix[t, order[:len(order) - self.need[t] + 1]] = True
+            self.lacks[t, [self.number[w.encode()] for w in self.templates[t].lacks]] = True
+        self.counted = self.member.astype(np.float32)
+
+    def _common(self, t: int, own: set) -> int:
+        """Words of template ``t`` in ``own``, 0 as soon as they can't be enough."""
+        common, order, need = 0, self.order[t], self.need[t]
+        for i, w in enumerate(order):
+            common += w in own
+            if common + len(order) - i - 1 < need:
+                return 0
+        return common
 
     def find(self, at: np.ndarray, codes: np.ndarray) -> list[dict]:
-        """``at``: places of words that have a number, and those numbers."""
-        out = []
-        for label, size, need, width, member, prefix, must in self.own:
-            if not prefix[codes].any():
+        """Notices in a text. ``at``: places of words that have a number, and those numbers."""
+        here = np.zeros(len(self.number), bool)
+        here[codes] = True
+        # the text as a whole passes the prefix and length filters
+        likely = (self.counted @ here.astype(np.float32) >= self.need) & (self.prefix & here).any(1)
+        return [x for t in np.flatnonzero(likely).tolist() if self.needs[t] <= set(np.flatnonzero(here).tolist())
+                for x in self._notices(t, at, codes)]
+
+    def _notices(self, t: int, at: np.ndarray, codes: np.ndarray) -> list[dict]:
+        mine = self.member[t][codes]
+        place, code = at[mine], codes[mine]
+        begin = np.arange(len(place))
+        # a block ends after its greatest length, or before a word that it lacks
+        lacked = at[self.lacks[t][codes]]
+        part = np.searchsorted(lacked, place)
+        end = np.minimum(np.searchsorted(place, place + self.width[t]), np.searchsorted(part, part, "right"))
+        rare = np.concatenate([[0], np.cumsum(self.prefix[t][code])])
+        out: list[dict] = []
+        reach = -1
+        for i in np.flatnonzero((end - begin >= self.need[t]) & (rare[end] > rare[begin])).tolist():
+            block = code[i:end[i]].tolist()
+            own = set(block)
+            common = self._common(t, own)
+            if not common or not self.needs[t] <= own:
                 continue
-            mine = member[codes]
-            place, code = at[mine], codes[mine]
-            end = np.searchsorted(place, place + width)
-            rare = np.concatenate([[0], np.cumsum(prefix[code])])
-            begin = np.arange(len(place))
-            held, reach = None, -1
-            for i in np.flatnonzero((end - begin >= need) & (rare[end] > rare[begin])).tolist():
-                window = code[i:end[i]].tolist()
-                own = set(window)
-                if len(own) < need or (must is not None and must not in own):
-                    continue
-                seen: set = set()  # the window ends where its last new word stands
-                for k, c in enumerate(window):
-                    seen.add(c)
-                    if len(seen) == len(own):
-                        break
-                first, last = int(place[i]), int(place[i + k])
-                found = {"first": first, "n": last - first + 1, "label": label, "containment": len(own) / size}
-                if first > reach:
-                    held = found
-                    out.append(held)
-                elif (found["containment"], -found["n"]) > (held["containment"], -held["n"]):
-                    held.update(found)
-                reach = max(reach, last)
+            seen: set = set()  # the block ends where its last new word stands
+            for k, c in enumerate(block):
+                seen.add(c)
+                if len(seen) == common:
+                    break
+            first, last = int(place[i]), int(place[i + k])
+            found = {"first": first, "n": last - first + 1, "label": self.templates[t].label,
+                     "containment": common / len(self.order[t])}
+            if first > reach:
+                out.append(found)
+            elif (found["containment"], -found["n"]) > (out[-1]["containment"], -out[-1]["n"]):
+                out[-1] = found
+            reach = max(reach, last)
         return out
 
 
@@ -170,62 +242,54 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
          phrases: dict[str, str] = PHRASES) -> DataFrame:
     """``docs`` plus ``n_words bigint``, ``places array<struct<first,label>>`` (where
     a phrase's words stand consecutively, words from 0), ``blocks
-    array<struct<first,n,label,containment>>`` (every matching pair of line and
-    template), ``score double`` (the largest containment, 0 without a match) and
-    ``notices``, like ``blocks``, of the notices across line breaks.
+    array<struct<first,n,label,containment>>`` (the notices, for each template that
+    finds one) and ``score double`` (the largest containment, 0 without a notice).
 
     One row per input row; a null text is empty; columns of ``docs`` with these
     names are replaced. Repeated words and rows change nothing for others except
-    the word order, which never changes what is found.
+    the word order, which never changes what is found. A word that a template needs
+    has to be one of its own.
     """
-    sets = template_sets(templates)
-    index = Index(sets, block_frequency(docs, templates), threshold)
+    index = Index(templates, block_frequency(docs, templates), threshold)
     looked = [(words(p.encode()), label) for p, label in phrases.items()]
     df = replaced(docs, {
         "n_words": F.lit(0).cast("bigint"),
         "places": F.array().cast("array<struct<first:bigint,label:string>>"),
         "blocks": F.array().cast("array<struct<first:bigint,n:bigint,label:string,containment:double>>"),
-        "score": F.lit(0.0),
-        "notices": F.array().cast("array<struct<first:bigint,n:bigint,label:string,containment:double>>")})
+        "score": F.lit(0.0)})
     schema, arrow, names = df.schema, arrow_schema(df.schema), df.columns
-    number = {w: i for i, w in enumerate(sorted({w for p, _ in looked for w in p}.union(*(own for _, own in sets))))}
+    number = dict(index.number)
+    known = len(number)  # later numbers are of words in phrases alone
+    for p, _ in looked:
+        for w in p:
+            number.setdefault(w, len(number))
     coded = [([number[w] for w in p], label) for p, label in looked]
-    rare = np.zeros(len(number), bool)
-    rare[[number[w] for w in index.prefix]] = True
-    wrapped = Notices(index, number, templates)
 
     def one(raw: bytes):
         own = words(raw)
         codes = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
-        at = np.flatnonzero(codes >= 0)
-        places, found, notices = [], [], []
-        if len(at):
-            for p, label in coded:
-                start = at[codes[at] == p[0]]
-                start = start[start + len(p) <= len(own)]
-                for k, c in enumerate(p[1:], 1):
-                    start = start[codes[start + k] == c]
-                places += [{"first": int(i), "label": label} for i in start]
-            if rare[codes[at]].any():
-                first = 0
-                for block in blocks(raw):
-                    found += [{"first": first, "n": len(block), "label": index.sets[t][0], "containment": c}
-                              for t, c in index.matches(block)]
-                    first += len(block)
-                notices = wrapped.find(at, codes[at])
-        return len(own), sorted(places, key=lambda x: (x["first"], x["label"])), found, notices
+        places = []
+        if codes.max(initial=-1) < 0:
+            return len(own), [], []
+        for p, label in coded:
+            start = np.flatnonzero(codes == p[0])
+            start = start[start + len(p) <= len(own)]
+            for k, c in enumerate(p[1:], 1):
+                start = start[codes[start + k] == c]
+            places += [{"first": int(i), "label": label} for i in start]
+        at = np.flatnonzero((codes >= 0) & (codes < known))
+        return len(own), sorted(places, key=lambda x: (x["first"], x["label"])), index.find(at, codes[at])
 
     def run(batches):
         for batch in batches:
             cols = dict(zip(names, batch.columns))
-            n, places, found, notices = [], [], [], []
+            n, places, found = [], [], []
             for text in column(batch, "text"):
-                a, b, c, d = one((text or "").encode("utf-8", "surrogateescape"))
+                a, b, c = one((text or "").encode("utf-8", "surrogateescape"))
                 n.append(a)
                 places.append(b)
                 found.append(c)
-                notices.append(d)
-            cols |= {"n_words": n, "places": places, "blocks": found, "notices": notices,
+            cols |= {"n_words": n, "places": places, "blocks": found,
                      "score": [max((x["containment"] for x in f), default=0.0) for f in found]}
             yield pa.RecordBatch.from_arrays(
                 [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type)

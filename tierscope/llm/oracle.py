@@ -61,13 +61,29 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
        sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_quoted, values)) + "]::VARCHAR[]"
+
+
+_TEMPLATES = ", ".join(f"({i}, {_quoted(t.label)}, {_quoted(t.text)}, {_list(t.needs)}, {_list(t.lacks)})"
+                       for i, t in enumerate(licenses.TEMPLATES))
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 SQL["op8_license_scan"] = f"""
-WITH templates AS (
-  SELECT label, list_distinct({_WORDS.format('text')}) AS w FROM (VALUES {_TEMPLATES}) v(i, label, text)),
+WITH written AS (
+  SELECT t, label, {_WORDS.format('text')} AS all_words, needs, lacks
+  FROM (VALUES {_TEMPLATES}) v(t, label, text, needs, lacks)),
+templates AS (
+  SELECT t, label, list_distinct(all_words) AS w, needs, lacks, len(list_distinct(all_words)) AS size,
+         ceil({licenses.THRESHOLD} * len(list_distinct(all_words)) - 1e-9)::BIGINT AS need,
+         ceil(len(all_words) / {licenses.THRESHOLD} - 1e-9)::BIGINT AS width
+  FROM written),
 phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {_PHRASES}) v(p, label)),
-docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, coalesce(text, '') AS text FROM documents),
+docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 places AS (
   SELECT doc_id, label, i - 1 AS first
   FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, phrases WHERE len(w) >= len(p))
@@ -76,13 +92,24 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id),
-lines AS (
-  SELECT doc_id, list_distinct({_WORDS.format('line')}) AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+asked AS (
+  SELECT t, unnest(w) AS word, 1 AS own FROM templates UNION ALL SELECT t, unnest(lacks), 0 FROM templates),
+said AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM docs),
+held AS (SELECT doc_id, t, place, word, own FROM said JOIN asked USING (word)),
+likely AS (
+  SELECT doc_id, t FROM held JOIN templates USING (t)
+  GROUP BY doc_id, t, need HAVING count(DISTINCT CASE WHEN own = 1 THEN word END) >= need),
+parted AS (
+  SELECT doc_id, t, place, word, own, sum(1 - own) OVER (PARTITION BY doc_id, t ORDER BY place) AS part
+  FROM held SEMI JOIN likely USING (doc_id, t)),
 blocks AS (
-  SELECT doc_id, label, len(list_intersect(t.w, l.b)) / len(t.w) AS containment
-  FROM lines l, templates t
-  WHERE len(list_intersect(t.w, l.b)) >= ceil({licenses.THRESHOLD} * len(t.w) - 1e-9)),
+  SELECT a.doc_id, any_value(label) AS label, count(DISTINCT b.word) / any_value(size) AS containment
+  FROM parted a JOIN templates USING (t)
+  JOIN parted b ON a.doc_id = b.doc_id AND a.t = b.t AND a.part = b.part AND b.own = 1
+       AND b.place BETWEEN a.place AND a.place + width - 1
+  WHERE a.own = 1 GROUP BY a.doc_id, a.t, a.place
+  HAVING count(DISTINCT b.word) >= any_value(need)
+     AND count(DISTINCT CASE WHEN list_contains(needs, b.word) THEN b.word END) = any_value(len(needs))),
 scored AS (SELECT doc_id, max(containment) AS score FROM blocks GROUP BY doc_id),
 labelled AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -64,14 +64,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     start = F.transform("places", lambda p: p.first)
     base = F.array_distinct(F.transform("places", lambda p: p.label))
-    added = F.transform(F.concat("blocks", "notices"), lambda b: b.label)
-    best = F.array_max(F.transform("notices", lambda b: b.containment))
+    added = F.transform("blocks", lambda b: b.label)
     return found.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
         F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, added)), ",").alias("labels"),
-        F.greatest("score", best).alias("score"))
+        "score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
