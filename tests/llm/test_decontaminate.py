@@ -52,9 +52,8 @@ def test_shards_are_bounded_whatever_repeats(spark, monkeypatch):
     """40 equal items are one, a huge item is a shard of its own, and no shard has more
     than the bound and one item."""
     made = []
-    real = d.Automaton.__init__
-    monkeypatch.setattr(d.Automaton, "__init__", lambda self, items, window: made.append(
-        sum(len(w) for _, w in items)) or real(self, items, window))
+    real = d._packed
+    monkeypatch.setattr(d, "_packed", lambda items: made.append(sum(len(w) for _, w in items)) or real(items))
     huge = " ".join(f"h{k}" for k in range(500))
     bench = [(1, "a b c d e f g")] * 40 + [(2, huge)] + [(i, f"x{i} y{i} z{i}") for i in range(3, 60)]
     docs = spark.createDataFrame([("s", "a b c d e f g " + huge, 1, 1), ("s", "x9 y9 z9", 2, 1)], DOCS)
@@ -64,6 +63,24 @@ def test_shards_are_bounded_whatever_repeats(spark, monkeypatch):
     assert sum(made) == 7 + 500 + 57 * 3 and len(made) <= 13 and sorted(made)[-2] <= 63
 
 
+def test_many_shards_are_one_pass(spark, monkeypatch):
+    """Any number of shards is one Python step over the documents, cut into chunks or not."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    bench = [(i, text(rng.randint(3, 12))) for i in range(60)]
+    docs = [("s", text(rng.randint(0, 60)), i, 1) for i in range(30)] + [("s", text(400), 30, 1), ("s", None, 31, 1)]
+    df, items = spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(bench, "item_id bigint, text string")
+    found = []
+    for shard_words, chunk in ((10_000, 1 << 20), (10, 1 << 20), (10, 100)):
+        monkeypatch.setattr(d, "CHUNK_BYTES", chunk)
+        out = d.scan(df, items, window=5, shard_words=shard_words)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        found.append(sorted((r.doc_id, r.n_hit, tuple(r["items"]), r.longest, r.kept_text or "") for r in out.collect()))
+    assert found[0] == found[1] == found[2]
+    assert [(i, n, ids) for i, n, ids, _, _ in found[0]] == [
+        (i, len(hit), tuple(own)) for _, t, i, _ in docs for _, hit, own in [brute(t, bench, 5)]]
+
+
 def test_cut_and_coverage(spark):
     passage = "One two three four five six seven eight nine ten."
     bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")

@@ -6,25 +6,30 @@ longest match that ends there. A match of ``window`` words or more is hit whole;
 an item with fewer words is hit where it occurs whole.
 
 An automaton holds at most ``shard_words`` benchmark words and one item (its size
-bound; equal items count once); a larger benchmark is cut into several automata and
-the documents stream through one after the other, without a shuffle.
+bound; equal items count once); a larger benchmark is cut into several shards. The
+documents are read once, without a shuffle: a worker cuts about ``CHUNK_BYTES`` of
+text into numbered words and streams them through the shards' automata in turn,
+holding one automaton at a time and the compressed items of the others.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tierscope.llm.common import WORD_TABLE, arrow_schema, column, replaced, stored, words
+from tierscope.llm.common import arrow_schema, replaced, stored, words
 
 WINDOW = 10
 SHARD_WORDS = 200_000
+CHUNK_BYTES = 8 << 20
+BUCKETS = 4096  # in which items are counted before they are cut into shards
 MAX_COVERAGE = 0.5
 
 _WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before lower-casing
@@ -126,11 +131,14 @@ class Automaton:
         for k in np.flatnonzero(stops - starts >= self.least):
             yield int(starts[k]), min(int(stops[k]), n)
 
-    def stream(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Hit spans (word positions, end excluded, merged), items with a window
-        that occurs, and the longest match."""
+    def codes(self, own: list[bytes]) -> np.ndarray:
+        """The words' numbers, -1 for those that no item has."""
         get = self.number.get
-        codes = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+        return np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+
+    def stream(self, codes: np.ndarray) -> tuple[list[tuple[int, int]], set, int]:
+        """Hit spans (word positions, end excluded, merged), items with a window
+        that occurs, and the longest match that is a hit, of a text given by its words' numbers."""
         spans: list[tuple[int, int]] = []
         items: set = set()
         longest = 0
@@ -142,7 +150,6 @@ class Automaton:
                     size = self.size[state]
                 if w in self.next[state]:
                     state, size = self.next[state][w], size + 1
-                longest = max(longest, size)
                 first = j
                 if size >= self.window:
                     first = j - size
@@ -153,6 +160,7 @@ class Automaton:
                     first = min(first, j - self.size[s])
                     s = self.near[self.link[s]]
                 if first < j:
+                    longest = max(longest, j - first)
                     while spans and spans[-1][1] >= first:
                         first = min(first, spans.pop()[0])
                     spans.append((first, j))
@@ -173,8 +181,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
          shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` plus ``n_words bigint``, ``n_hit bigint``, ``spans
     array<struct<first,stop>>`` (word positions), ``items array<bigint>`` (sorted
-    distinct ids of items with a window that occurs), ``longest int`` and
-    ``kept_text string`` (hit words cut out).
+    distinct ids of items with a window that occurs), ``longest int`` (words of the
+    longest hit match, 0 without one) and ``kept_text string`` (hit words cut out).
 
     One row per input row; columns of ``docs`` with these names are replaced. A
     null text has no words and stays null; an item with a null id marks words
@@ -187,51 +195,87 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     # equal rows mark the same words; the operator's own words, so a shard is as large as it says
     size = F.regexp_count(F.col("raw").cast("string"), F.lit(_WORD_PATTERN))
     items = bench.distinct().select("item_id", "raw", size.cast("bigint").alias("n")).where("n > 0")
-    order = Window.orderBy(F.xxhash64("item_id", "raw"), "item_id", "raw")
-    dealt = stored(items.withColumn("shard", F.floor((F.sum("n").over(order) - F.col("n")) / shard_words)))
-    shards = [r[0] for r in dealt.select("shard").distinct().orderBy("shard").collect()]
+    held = [spark.sparkContext.broadcast(_packed(own)) for own in shards(items, shard_words)]
     df = replaced(docs, {
         "n_words": F.lit(0).cast("bigint"), "n_hit": F.lit(0).cast("bigint"),
         "spans": F.array().cast("array<struct<first:int,stop:int>>"),
         "items": F.array().cast("array<bigint>"), "longest": F.lit(0),
         "kept_text": F.col("text")})
-    for k in shards or [None]:
-        # at most shard_words and one item
-        own = [(r["item_id"], words(bytes(r["raw"]))) for r in dealt.where(F.col("shard") == k).collect()]
-        held = spark.sparkContext.broadcast(Automaton(own, window))
-        df = _pass(df, held)
-    return df
+    return _pass(df, held, window)
+
+
+def shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items ``(item_id, raw, n)`` cut by the running sum of their words ``n``; one
+    shard at a time reaches the driver, at most ``shard_words`` words and one item."""
+    items = stored(items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "raw"), F.lit(BUCKETS))))
+    inside = Window.partitionBy("bucket").orderBy("item_id", "raw")
+    # at most BUCKETS rows
+    before = items.groupBy("bucket").agg(F.sum("n").alias("all")).select(
+        "bucket", (F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).alias("before"))
+    place = F.col("before") + F.sum("n").over(inside) - F.col("n")
+    dealt = stored(items.join(F.broadcast(before), "bucket").select(
+        "item_id", "raw", F.floor(place / shard_words).alias("shard")))
+    for row in dealt.select("shard").distinct().orderBy("shard").collect():
+        own = dealt.where(F.col("shard") == row["shard"]).select("item_id", "raw")
+        yield [(r["item_id"], words(bytes(r["raw"]))) for r in own.collect()]
+
 
+def _packed(own: list[tuple[int, list[bytes]]]) -> bytes:
+    return zlib.compress(pickle.dumps([(item, b" ".join(w)) for item, w in own]), 1)
 
-def _pass(df: DataFrame, held) -> DataFrame:
+
+_last: list = [None, None, None]  # a worker's last shard, window and automaton, kept for its next task
+
+
+def _automaton(packed: bytes, window: int) -> Automaton:
+    if _last[:2] != [packed, window]:
+        _last[:] = [None] * 3
+        own = [(item, w.split()) for item, w in pickle.loads(zlib.decompress(packed))]
+        _last[:] = [packed, window, Automaton(own, window)]
+    return _last[2]
+
+
+def _pass(df: DataFrame, held: list, window: int) -> DataFrame:
     schema, arrow = df.schema, arrow_schema(df.schema)
     names = df.columns
 
+    def chunk(batch: pa.RecordBatch, texts: list, raws: list[bytes]) -> pa.RecordBatch:
+        known: dict[bytes, int] = {}  # the chunk's words are numbered once for all shards
+        coded = [np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))
+                 for own in map(words, raws)]
+        spans, items, longest = [[] for _ in raws], [set() for _ in raws], [0] * len(raws)
+        for shard in held:
+            automaton = _automaton(shard.value, window)
+            number = automaton.codes(list(known))
+            for i, local in enumerate(coded):
+                hit, ids, length = automaton.stream(number[local])
+                if hit:
+                    spans[i] = _merged(spans[i] + hit) if spans[i] else hit
+                    items[i] |= ids
+                longest[i] = max(longest[i], length)
+        cols = dict(zip(names, batch.columns))
+        cols |= {
+            "n_words": [len(c) for c in coded], "n_hit": [sum(b - a for a, b in hit) for hit in spans],
+            "spans": [[{"first": a, "stop": b} for a, b in hit] for hit in spans],
+            "items": [sorted(i for i in ids if i is not None) for ids in items], "longest": longest,
+            "kept_text": [_cut(raw, hit).decode("utf-8", "surrogateescape") if hit else text
+                          for text, raw, hit in zip(texts, raws, spans)]}
+        return pa.RecordBatch.from_arrays(
+            [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type)
+             for f in arrow], schema=arrow)
+
     def run(batches):
-        automaton = held.value
-        text = automaton_fields = None
         for batch in batches:
-            cols = dict(zip(names, batch.columns))
-            n_words, n_hit, spans, items, longest, kept = [], [], [], [], [], []
-            old = zip(column(batch, "spans"), column(batch, "items"), column(batch, "longest"))
-            for value, (was, found, most) in zip(cols["text"], old):
-                text = value.as_py()
-                raw = b"" if text is None else text.encode("utf-8", "surrogateescape")
-                own = words(raw)
-                hit, ids, length = automaton.stream(own)
-                if was:
-                    hit = _merged([(s["first"], s["stop"]) for s in was] + hit)
-                n_words.append(len(own))
-                n_hit.append(sum(b - a for a, b in hit))
-                spans.append([{"first": a, "stop": b} for a, b in hit])
-                items.append(sorted({*found, *(i for i in ids if i is not None)}))
-                longest.append(max(most, length))
-                kept.append(_cut(raw, hit).decode("utf-8", "surrogateescape") if hit else text)
-            cols |= {"n_words": n_words, "n_hit": n_hit, "spans": spans, "items": items,
-                     "longest": longest, "kept_text": kept}
-            yield pa.RecordBatch.from_arrays(
-                [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type)
-                 for f in arrow], schema=arrow)
+            column = batch.column(names.index("text"))
+            first, texts, raws, size = 0, [], [], 0
+            for i in range(batch.num_rows):
+                text = column[i].as_py()
+                texts.append(text)
+                raws.append(b"" if text is None else text.encode("utf-8", "surrogateescape"))
+                size += len(raws[-1])
+                if size >= CHUNK_BYTES or i == batch.num_rows - 1:
+                    yield chunk(batch.slice(first, i + 1 - first), texts, raws)
+                    first, texts, raws, size = i + 1, [], [], 0
 
     return df.mapInArrow(run, schema)
 
