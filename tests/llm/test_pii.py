@@ -106,6 +106,58 @@ def test_collisions_are_drawn_again(spark):
     assert out[500] == out[-1]
 
 
+def test_names_without_a_title(spark):
+    """The whole name of a titled mention gets its surrogate everywhere in its text, and
+    nowhere else; the longest name first."""
+    texts = ["Mr John Smith came. John Smith left; XJohn Smith and John Smithson stayed. (John Smith)",
+             "John Smith is not known here.",
+             "Anna Maria Berg met Frau Anna Maria Berg and Mrs Anna Berg. Anna Berg, Anna Maria Berg.",
+             "г-жа Анна Петрова. Анна Петрова!", "Mr Green likes green and Green.", "Dr Jean-Luc Mas; Jean-Luc Mas"]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    new = re.fullmatch(r"Mr (\w+ \w+) came\. (\w+ \w+) left; XJohn Smith and John Smithson stayed\. \((\w+ \w+)\)", got[0].text)
+    assert new[1] == new[2] == new[3] != "John Smith" and got[0].n_entities == 3
+    assert [tuple(e) for e in got[0]["entities"]] == [("name", "Mr " + new[1]), ("name", new[1]), ("name", new[1])]
+    assert got[1].text == texts[1] and got[1].n_entities == 0
+    a = re.fullmatch(r"(\w+ \w+ \w+) met Frau (\w+ \w+ \w+) and Mrs (\w+ \w+)\. (\w+ \w+), (\w+ \w+ \w+)\.", got[2].text)
+    assert a[1] == a[2] == a[5] and a[3] == a[4] and "Anna" not in got[2].text and got[2].n_entities == 5
+    b = re.fullmatch(r"г-жа ([А-я]+ [А-я]+)\. ([А-я]+ [А-я]+)!", got[3].text)
+    assert b[1] == b[2] != "Анна Петрова"
+    assert got[4].text.endswith(" likes green and Green.") and "Jean" not in got[5].text and got[5].n_entities == 2
+
+
+def mod97(iban):
+    c = iban.replace(" ", "")
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
+def test_iban_and_ipv6(spark):
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    kept = ["DE88370400440532013000", "std::face::b00c", "10:20:30", "DE89"]
+    ips = ["2001:db8::ff00:42:8329", "2001:DB8::FF00:42:8329", "fe80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fd12:3456:789a:1::1"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(ibans + kept + ips)], "doc_id bigint, text string").selectExpr(
+        "doc_id", "concat('at ', text, ', so') as text")
+    got = {r.doc_id: r for r in pii.replace(docs).collect()}
+    new = [got[i].text[3:-4] for i in range(len(got))]
+    assert [len(x) for x in new] == [len(x) for x in ibans + kept + ips]
+    for a, b in zip(ibans, new):
+        assert a != b and mod97(b) == 1 and a[:2] == b[:2] and re.sub("[A-Z]", "A", re.sub(r"\d", "0", a)) == re.sub(
+            "[A-Z]", "A", re.sub(r"\d", "0", b))
+    assert new[1] == new[2].replace(" ", "")
+    assert new[4:8] == kept and [got[i].n_entities for i in range(4, 8)] == [0] * 4
+    import ipaddress
+    for a, b in zip(ips, new[8:]):
+        assert a != b and a[:2].lower() == b[:2].lower() and ipaddress.ip_address(b)
+        assert [len(g) for g in a.split(":")] == [len(g) for g in b.split(":")]
+    assert new[8].upper() == new[9] and new[8] != new[9]
+
+
+def test_short_addresses_collide_and_grow(spark):
+    ips = [f"fe8{a}::{b}" for a in "abcdef" for b in "0123456789abcdef"]
+    docs = spark.createDataFrame([(i, f"at {x} 1") for i, x in enumerate(ips)], "doc_id bigint, text string")
+    new = [r.text.split()[1] for r in pii.replace(docs).collect()]
+    assert len(set(new)) == len(ips) and not set(new) & set(ips)
+
+
 def test_no_python_on_the_executors(docs):
     plan = pii.replace(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

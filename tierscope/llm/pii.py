@@ -4,8 +4,11 @@ Detected entities are replaced by surrogates that follow from a key, the kind an
 the entity's canonical form, so every mention of an entity gets the same
 surrogate (whatever its case or punctuation) in every document. A surrogate keeps
 the kind and the format of its mention: digits stay digits in the same places,
-letters keep their case and script, a card number stays valid, an IPv4 octet keeps
-its length, a given name keeps the gender that its title tells.
+letters keep their case and script, card numbers and IBANs stay valid, parts of IP
+addresses keep their length, a given name keeps the gender that its title tells.
+
+A name is known by a title in front of it. Where its text says the whole name again
+without a title, that mention gets the same surrogate.
 
 Before texts are changed, the surrogates of all distinct entities of the corpus
 are checked: two entities must not share one, and none may equal an entity that
@@ -33,14 +36,23 @@ TITLES = {
 }
 _TITLE = "|".join(t for own in TITLES.values() for t in sorted(own, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]"
+# Countries that have IBANs.
+_IBAN = ("AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|"
+         "JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SD|SE|SI|SK|SM|ST|SV|TL|TN|TR|"
+         "UA|VA|VG|XK")
 PATTERNS = {
     "secret": r"(?<=[\"'])(?<=\b(?i:token|secret|password|passwd|api_key|apikey) {0,3}[=:] {0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    # global, unique local and link-local addresses
+    "ipv6": rf"(?=[23Ff])(?<![\w:.])(?=[A-Fa-f:]*\d)(?:[23]{_HEX}{{3}}|[Ff][CDEcde]{_HEX}{{2}})(?:(?::{_HEX}{{1,4}}){{7}}"
+            rf"|(?::{_HEX}{{1,4}}){{0,5}}:(?::{_HEX}{{1,4}}){{1,6}})(?![\w:])",
     "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
              r"|(?=\+)(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)",
     "card": r"(?=\d)(?<![\w.])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\w)",
+    "iban": rf"(?=[A-Z])(?<![A-Za-z0-9])(?:{_IBAN})\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "name": rf"(?=[DFHMPSГг])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
 }
 _ANY = "|".join(PATTERNS.values())
@@ -94,13 +106,29 @@ def _luhn_sum(digits: Column, first_weight_two: bool) -> Column:
     return F.aggregate(F.transform(d, weigh), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(compact: Column) -> Column:
+    """Remainder by 97 of digits and capital letters, letters counting from 10."""
+    return F.aggregate(_chars(compact), F.lit(0), lambda a, c: F.when(c == "", a).when(
+        c.rlike("^[0-9]$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def _compact(m: Column) -> Column:
+    return F.regexp_replace(m, " ", "")
+
+
+def _valid_iban(m: Column) -> Column:
+    c = _compact(m)
+    return _mod97(F.concat(F.substr(c, F.lit(5)), F.substr(c, F.lit(1), F.lit(4)))) == 1
+
+
 def kind_of(m: Column) -> Column:
     """Kind of a mention that the patterns found; null for a number that looks
-    like a card but fails its check digit."""
+    like a card or an IBAN but fails its check digits."""
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     return (F.when(whole("email"), "email").when(whole("ip"), "ip").when(whole("ssn"), "ssn")
             .when(whole("phone"), "phone")
             .when(whole("card"), F.when(_luhn_sum(_digits(m), False) % 10 == 0, "card"))
+            .when(whole("ipv6"), "ipv6").when(whole("iban"), F.when(_valid_iban(m), "iban"))
             .when(whole("name"), "name").otherwise("secret"))
 
 
@@ -129,7 +157,7 @@ def entities(m: Column) -> Column:
             F.lower(t).alias("canon")))
 
     def of(kind):
-        canon = (F.when(kind == "email", F.lower(m)).when(kind == "phone", _right(_digits(m), 10))
+        canon = (F.when(kind.isin("email", "ipv6"), F.lower(m)).when(kind == "iban", _compact(m)).when(kind == "phone", _right(_digits(m), 10))
                  .when(kind == "card", _digits(m)).when((kind == "secret") & _hex_only(m), F.lower(m)).otherwise(m))
         return (F.when(kind.isNull(), none).when(kind == "name", _let(_name_tokens(m), names))
                 .otherwise(one(kind, canon)))
@@ -225,6 +253,33 @@ def _ip(m: Column, h: Column, draw: Column) -> Column:
     return F.array_join(F.transform(F.split(m, r"\."), octet), ".")
 
 
+def _ipv6(m: Column, h: Column, draw: Column) -> Column:
+    """Groups of the same length, the first one's kind kept; after ``PATIENCE``
+    draws the others have four digits."""
+    def group(g, i):
+        n = F.when((draw >= PATIENCE) & (i > 0), 4).otherwise(F.length(g))
+        own = F.substr(h, 4 * i + 1, n)
+        return F.when(g == "", g).when(i == 0, F.concat(F.substr(F.lower(g), F.lit(1), F.lit(2)), F.substr(own, F.lit(3)))).otherwise(own)
+    return _let(F.array_join(F.transform(F.split(m, ":"), group), ":"), lambda new: F.when(
+        m.rlike("[A-F]"), F.upper(new)).otherwise(new))
+
+
+def _iban(m: Column, h: Column) -> Column:
+    """Another account of the country, with its check digits; blanks stay."""
+    def checked(compact, body):
+        country = F.substr(compact, F.lit(1), F.lit(2))
+        rest = 98 - _mod97(F.concat(body, country, F.lit("00")))
+        return F.concat(country, F.lpad(rest.cast("string"), 2, "0"), body)
+
+    def spaced(new):
+        def put(c, i):
+            return F.when(c == " ", c).when(c == "", c).otherwise(
+                F.substr(new, F.length(_compact(F.substr(m, F.lit(1), i + 1))), F.lit(1)))
+        return F.array_join(F.transform(_chars(m), put), "")
+
+    return _let(_let(_compact(m), lambda c: _let(_by_class(F.substr(c, F.lit(5)), h), lambda b: checked(c, b))), spaced)
+
+
 def _phone(m: Column, h: Column) -> Column:
     def new(d):
         def swap(c, i):
@@ -263,6 +318,7 @@ def _name_part(kind: Column, token: Column, h: Column, draw: Column) -> Column:
 def _formed(kind: Column, m: Column, h: Column, draw: Column) -> Column:
     """Surrogate of a mention that is one entity (not a name)."""
     return (F.when(kind == "email", _email(m, h, draw)).when(kind == "ip", _ip(m, h, draw))
+            .when(kind == "ipv6", _ipv6(m, h, draw)).when(kind == "iban", _iban(m, h))
             .when(kind == "phone", _phone(m, h)).when(kind == "card", _card(m, h))
             .when(kind == "secret", _secret(m, h, draw)).otherwise(_by_class(m, h)))
 
@@ -308,6 +364,27 @@ def _mentions(text: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def _untitled(text: Column, mentions: Column, made: Column) -> Column:
+    """``struct<text,found>``: the text with the whole names of titled mentions
+    replaced where they stand without a title, longest names first (for one name the
+    first mention's surrogate), and those replaced. ``text`` has the titled mentions'
+    surrogates already."""
+    bare = lambda x: F.regexp_replace(x, rf"^(?:{_TITLE})\.? ", "")
+    named = F.transform(mentions, lambda m, i: F.struct(
+        (-F.length(bare(m))).alias("order"), i.alias("i"), bare(m).alias("person"), F.get(made, i).kind.alias("kind"),
+        bare(F.get(made, i).surrogate).alias("new")))
+    own = F.array_sort(F.filter(named, lambda x: (x.kind == "name") & x.person.rlike(r"\p{L}[ \-]\p{L}")))
+    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
+
+    def put(a, x):
+        place = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x.person, F.lit(r"(?![\p{L}\p{N}])"))
+        again = F.array_repeat(F.struct(F.lit("name").alias("kind"), x.new.alias("surrogate")), F.regexp_count(a.text, place))
+        return F.struct(F.regexp_replace(a.text, place, x.new).alias("text"), F.concat(a.found, again.cast(
+            "array<struct<kind:string,surrogate:string>>")).alias("found"))
+
+    return F.aggregate(own, F.struct(text.alias("text"), none.alias("found")), put)
+
+
 def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, canon, draw)`` of the entities whose first surrogate collides: it is
     another entity's surrogate, or an entity of the corpus. One row per distinct
@@ -336,7 +413,8 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = KEY, inline: int = INLINE_DRAWS) -> DataFrame:
     """``docs`` with surrogates in ``text``, plus ``n_entities bigint`` and
-    ``entities array<struct<kind,surrogate>>`` in order of the text.
+    ``entities array<struct<kind,surrogate>>`` in order of the text, names found again
+    without a title after the others.
 
     One row per input row. A null text stays null, without entities; texts without
     entities are unchanged. Columns of ``docs`` with the new names are replaced.
@@ -367,9 +445,9 @@ def replace(docs: DataFrame, key: str = KEY, inline: int = INLINE_DRAWS) -> Data
     whole = _let(F.split(F.col("text"), _ANY, -1), lambda pieces: F.concat(
         F.get(pieces, F.lit(0)), F.array_join(F.transform(
             "_s", lambda s, i: F.concat(s.surrogate, F.get(pieces, i + 1))), "")))
-    real = F.filter("_s", lambda s: s.kind != "none")
-    df = df.withColumn("_t", F.when(F.size("_m") > 0, whole).otherwise(F.col("text")))
+    real = F.concat(F.filter("_s", lambda s: s.kind != "none"), F.col("_t.found"))
+    df = df.withColumn("_t", F.when(F.size("_m") > 0, _untitled(whole, F.col("_m"), F.col("_s"))))
     found = F.when(F.col("_s").isNull(), F.array().cast("array<struct<kind:string,surrogate:string>>")).otherwise(real)
-    out = [F.col("_t").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns
+    out = [F.when(F.col("_t").isNull(), F.col("text")).otherwise(F.col("_t.text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns
            if c.lower() not in ("n_entities", "entities")]
     return df.select(*out, F.size(found).cast("bigint").alias("n_entities"), found.alias("entities"))
