@@ -89,3 +89,15 @@ def test_sketch_bound_has_room():
     from math import comb
     miss = sum(comb(j.BITS, k) * 0.9 ** k * 0.1 ** (j.BITS - k) for k in range(j.AGREE))
     assert miss < 1e-7, miss
+
+
+def test_empty_tables_and_edge_rows(spark):
+    """No rows give no rows; null ids have no component; texts without words link with
+    nothing; a very long text and its copy link."""
+    empty = spark.createDataFrame([], SCHEMA)
+    assert j.join(empty).count() == 0 and j.keep_one(empty).count() == 0
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [("x", None, 1, 0), ("x", "", 2, 0), ("x", " \t\n", 3, 0), ("x", "a b", None, 0), ("x", "A b", 4, 0),
+            ("x", "a B", 9, 0), ("x", long, 7, 0), ("x", long + " end", 6, 0)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in j.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 1, None), (4, 1, 4), (9, 1, 4), (7, 199_996, 6), (6, 199_997, 6)}
