@@ -35,11 +35,22 @@ TRAILING_ROWS = 12          # rule 5: 11 preceding rows to the current one
 E28_DAY_WINDOW = 28         # rule 4: shipped within 28 days of month end
 GAP_MODULUS = 17            # rule 11
 
+# Sizes of a task of the two large shuffles, whatever the session's number of shuffle
+# partitions (which AQE may join, but never splits for the windows).
+LINES_PER_TASK = 500_000
+CUSTOMERS_PER_TASK = 10_000
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tasks(df: DataFrame, rows_per_task: int) -> int:
+    """Number of tasks that grows with the rows of a stored table (counted from the
+    footers of its files), at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+
+
 def derive_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lazy DataFrame with the schema of ``BASE_SCHEMA``."""
     orders = _read(spark, sf_dir, "orders").select(
@@ -57,10 +68,12 @@ def derive_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Orders and shipped quantity per (customer, month), pre-aggregated
     # map-side before anything is keyed by customer.
+    n_lines = _tasks(lineitem, LINES_PER_TASK)
+    n_customers = _tasks(customer, CUSTOMERS_PER_TASK)
     oagg = (orders.groupBy(F.col("o_custkey").alias("id"), "month_date")
             .agg(F.count("*").alias("n_orders"), F.sum("price").alias("rev")))
-    shipped = (lineitem.join(orders.select("o_orderkey", "o_custkey"),
-                             lineitem.l_orderkey == orders.o_orderkey)
+    buyers = orders.select("o_orderkey", "o_custkey").repartition(n_lines, "o_orderkey")
+    shipped = (lineitem.repartition(n_lines, "l_orderkey").join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
                .select(F.col("o_custkey").alias("id"), "qty", "ship_date",
                        F.last_day("ship_date").alias("month_date")))
     sagg = (shipped.groupBy("id", "month_date").agg(
@@ -122,7 +135,7 @@ def derive_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(0).alias("in_panel"), F.lit(0).cast("bigint").alias("n_orders"),
                           zero_money.alias("rev"), "e28", "e1")
     panel = (skeleton.unionByName(facts_o).unionByName(facts_s)
-             .repartition("id")
+             .repartition(n_customers, "id")
              .groupBy("id", "month_date")
              .agg(F.max("in_panel").alias("in_panel"), F.max("idx").alias("idx"),
                   F.max("entry_idx").alias("entry_idx"), F.sum("n_orders").alias("n_orders"),
