@@ -150,6 +150,39 @@ def years_from_months(months) -> Column:
     return round_div(col(months), F.lit(12), 1)
 
 
+def day_number(c) -> Column:
+    """A date as a BIGINT from 0 to 2^32 - 1 in the order of dates (any 32-bit day)."""
+    return F.unix_date(col(c)).cast("bigint") + (1 << 31)
+
+
+def date_of_day_number(n) -> Column:
+    return F.date_from_unix_date((col(n) - (1 << 31)).cast("int"))
+
+
+def sign_up_code() -> Column:
+    """M05's order of a customer's rows as one number: month (NULL last), creation date,
+    first paid date (NULL first); NULL without a creation date. Unlike the minimum of a
+    struct, which makes Spark sort all rows, the minimum of numbers is a hash aggregate."""
+    part = lambda c, bits: c.cast("decimal(10,0)") * F.lit(Decimal(1 << bits))
+    month = F.when(F.col("month_date").isNull(), F.lit(1 << 32)).otherwise(day_number("month_date"))
+    paid = F.when(F.col("first_paid_date").isNull(), F.lit(0).cast("bigint")).otherwise(day_number("first_paid_date") + 1)
+    return F.when(F.col("account_created_date").isNotNull(), (
+        part(month, 65) + part(day_number("account_created_date"), 33) + paid.cast("decimal(10,0)")).cast("decimal(38,0)"))
+
+
+def sign_up_of(code) -> Column:
+    """``sign_up_code`` back as a struct in the same order."""
+    c = col(code)
+    month = int_div(c, F.lit(Decimal(1 << 65)))
+    created = int_div(c % F.lit(Decimal(1 << 65)), F.lit(Decimal(1 << 33)))
+    paid = (c % F.lit(Decimal(1 << 33))).cast("bigint")
+    unknown = month == F.lit(1 << 32)
+    return F.when(c.isNotNull(), F.struct(
+        unknown.alias("no_month"), F.when(~unknown, date_of_day_number(month)).alias("month_date"),
+        date_of_day_number(created).alias("account_created_date"),
+        F.when(paid > 0, date_of_day_number(paid - 1)).alias("first_paid_date")))
+
+
 def nullif_blank(c) -> Column:
     """NULL for NULL or '' (the reference treats both as missing)."""
     c = col(c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import asc_pg, exact_sum, pct, round_div
@@ -55,16 +55,19 @@ def churn_metrics(df: DataFrame, calendar_strict: bool = False) -> DataFrame:
 def churn_steps(steps: DataFrame) -> DataFrame:
     """What each (customer, month) adds to M04, from its numbers of NULL, FALSE and TRUE
     rows and the status ``prev_last`` that the customer's month before ended with."""
-    nonnull = F.col("n_false") + F.col("n_true")
-    prev_known = F.col("prev_last").isNotNull().cast("int")
-    prev_true = F.coalesce(F.col("prev_last"), F.lit(False)).cast("int")
-    first_is_false = ((F.col("n_null") == 0) & (F.col("n_false") > 0)).cast("int")
-    return steps.select(
-        "month_date",
-        (prev_known + F.greatest(nonnull - 1, F.lit(0))).alias("with_prev"),
-        (prev_true + F.greatest(F.col("n_true") - 1, F.lit(0))).alias("prev_active"),
-        (prev_true * first_is_false).alias("churned"),
-    )
+    return steps.select("month_date", *[c.alias(name) for name, c in step_columns(
+        "n_null", "n_false", "n_true", "prev_last").items()])
+
+
+def step_columns(n_null: str, n_false: str, n_true: str, prev_last: str) -> dict[str, Column]:
+    """The columns of ``churn_steps`` from the columns of these names."""
+    nonnull = F.col(n_false) + F.col(n_true)
+    prev_known = F.col(prev_last).isNotNull().cast("int")
+    prev_true = F.coalesce(F.col(prev_last), F.lit(False)).cast("int")
+    first_is_false = ((F.col(n_null) == 0) & (F.col(n_false) > 0)).cast("int")
+    return {"with_prev": prev_known + F.greatest(nonnull - 1, F.lit(0)),
+            "prev_active": prev_true + F.greatest(F.col(n_true) - 1, F.lit(0)),
+            "churned": prev_true * first_is_false}
 
 
 def churn_totals(contrib: DataFrame) -> DataFrame:

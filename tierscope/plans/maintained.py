@@ -24,6 +24,8 @@ from tierscope.sources.base_table import _fingerprint, load_base_table
 from tierscope.state import customer_state, month_bitmaps, usage_histograms
 from tierscope.streaming import churn
 
+ROWS_PER_BUCKET = 1_000_000  # of the whole table, so that a bucket's task doesn't grow with it
+
 _FED: dict = {}
 _LOCK = threading.Lock()
 
@@ -43,8 +45,11 @@ def feed(spark: SparkSession, sf_dir: str) -> str:
         key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
         if key not in _FED:
             root = f"{scratch_dir(spark).rstrip('/')}/tierscope/kept-{key[1]}-{uuid.uuid4().hex[:8]}"
-            for k, part in enumerate(appends(load_base_table(spark, sf_dir))):
-                churn.apply_batch(spark, part, k, f"{root}/churn", "feed", buckets=8)
+            base = load_base_table(spark, sf_dir)
+            n_rows = months_of(base).agg(F.sum("rows")).first()[0] or 0
+            buckets = max(8, -(-n_rows // ROWS_PER_BUCKET))
+            for k, part in enumerate(appends(base)):
+                churn.apply_batch(spark, part, k, f"{root}/churn", "feed", buckets)
                 usage_histograms.append(spark, f"{root}/bitmaps", part, f"part{k}")
             _FED[key] = root
         return _FED[key]

@@ -23,6 +23,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierscope.functions.expr import date_of_day_number, day_number, sign_up_code, sign_up_of
 from tierscope.operators import growth, revenue
 from tierscope.operators.latest import max_month
 from tierscope.sources import published
@@ -36,17 +37,24 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce("id", F.lit(0).cast("bigint")).alias("customer"), F.col("id").isNull().alias("no_id"), "*")
 
 
-def status() -> Column:
+def status(n_false: str = "n_false", n_true: str = "n_true") -> Column:
     """Status that a month's rows of one customer end with, as a number in the order
     NULL, FALSE, TRUE (the order in which M04 takes them)."""
-    return F.when(F.col("n_true") > 0, 2).when(F.col("n_false") > 0, 1).otherwise(0)
+    return F.when(F.col(n_true) > 0, 2).when(F.col(n_false) > 0, 1).otherwise(0)
 
 
-def _sign_up() -> Column:
-    """M05's row of a customer, as a struct whose minimum is that row: the earliest
-    month (NULL last), creation date, first paid date (NULL first)."""
-    return F.when(F.col("account_created_date").isNotNull(), F.struct(
-        F.col("month_date").isNull().alias("no_month"), "month_date", "account_created_date", "first_paid_date"))
+def _last() -> Column:
+    """Month (NULL last, as PostgreSQL orders it) and status of a month's rows as one
+    number, whose maximum is a hash aggregate."""
+    month = F.when(F.col("month_date").isNull(), F.lit(1 << 32)).otherwise(day_number("month_date"))
+    return month * 4 + status()
+
+
+def _last_of(code: str) -> Column:
+    month = F.shiftright(code, 2)
+    unknown = month == F.lit(1 << 32)
+    return F.struct(unknown.alias("no_month"), F.when(~unknown, date_of_day_number(month)).alias("month_date"),
+                    F.col(code).bitwiseAND(F.lit(3).cast("bigint")).cast("int").alias("status"))
 
 
 def per_month(rows: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def per_month(rows: DataFrame) -> DataFrame:
     numbers of NULL, FALSE and TRUE rows that M04 counts."""
     return keyed(rows).groupBy(*KEYS, "month_date").agg(
         F.count_if(F.col("is_active").isNull()).alias("n_null"), F.count_if(~F.col("is_active")).alias("n_false"),
-        F.count_if("is_active").alias("n_true"), F.min(_sign_up()).alias("sign_up"),
+        F.count_if("is_active").alias("n_true"), F.min(sign_up_code()).alias("sign_up"),
         F.bool_or(F.col("annual_recurring_revenue") > 0).alias("paid"))
 
 
@@ -68,10 +76,9 @@ def state_of_months(months: DataFrame) -> DataFrame:
     return months.groupBy(*KEYS).agg(
         F.min("month_date").alias("first_month"),
         F.min(F.when(F.col("paid"), F.col("month_date"))).alias("first_paid_month"),
-        F.min("sign_up").alias("sign_up"), F.max("month_date").alias("last_month"),
-        # PostgreSQL orders a NULL month last
-        F.max(F.struct(F.col("month_date").isNull().alias("no_month"), "month_date", status().alias("status"))).alias("last"),
-        F.sum(F.col("n_null") + F.col("n_false") + F.col("n_true")).alias("n_rows"))
+        F.min("sign_up").alias("sign_up"), F.max("month_date").alias("last_month"), F.max(_last()).alias("last"),
+        F.sum(F.col("n_null") + F.col("n_false") + F.col("n_true")).alias("n_rows")).withColumns(
+        {"sign_up": sign_up_of("sign_up"), "last": _last_of("last")})
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -90,7 +97,8 @@ def _table(path: str) -> str:
 
 
 def _write(spark: SparkSession, state: DataFrame, path: str, buckets: int) -> None:
-    (state.write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS)
+    # dealt as the buckets are: one file each, however many tasks have made the state
+    (state.repartition(buckets, *KEYS).write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS)
      .option("path", f"{path}/state-{buckets}").mode("overwrite").saveAsTable(_table(f"{path}/state-{buckets}")))
 
 

@@ -5,9 +5,9 @@ A customer whose months are all later than the last one known adds to the totals
 from the batch and the status that its state holds. A customer with an earlier month
 changes what its later months had added: its few months are read back from the
 stored batches, and the difference between what they add now and what they added
-before goes to the totals. State and totals are published together under the batch's
-number, so a batch that is replayed after a failure counts once, and readers see the
-totals of one batch.
+before goes to the totals, both from one pass over those months. State and totals
+are published together under the batch's number, so a batch that is replayed after
+a failure counts once, and readers see the totals of one batch.
 """
 
 from __future__ import annotations
@@ -46,10 +46,6 @@ def _steps(months: DataFrame, before: Column | None = None) -> DataFrame:
     return growth.churn_steps(months.select("month_date", *COUNTS, _known(prev).alias("prev_last")))
 
 
-def _combined(months: DataFrame) -> DataFrame:
-    return months.groupBy(*cs.KEYS, "month_date").agg(*[F.sum(c).alias(c) for c in COUNTS])
-
-
 def apply_batch(spark: SparkSession, batch: DataFrame, number: int, root: str, run: str = "",
                 buckets: int = cs.BUCKETS) -> None:
     """Add the rows of batch ``number`` to the state and the totals under ``root``. A batch
@@ -71,7 +67,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, root: str, r
     else:
         old = cs.state_at(spark, version)
         state = cs.merged(old, new_state)
-        parts = [spark.read.parquet(f"{version}/totals"), *_changes(spark, root, months, old, number)]
+        parts = [spark.read.parquet(f"{version}/totals"), *_changes(spark, root, months, new_state, old, number, buckets)]
         totals = parts[0]
         for p in parts[1:]:
             totals = totals.unionByName(p)
@@ -84,19 +80,50 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, root: str, r
     published.publish(spark, root, write, f"{run}.{number}")
 
 
-def _changes(spark: SparkSession, root: str, months: DataFrame, state: DataFrame, number: int) -> list[DataFrame]:
+def _late(spark: SparkSession, root: str, new_state: DataFrame, state: DataFrame) -> DataFrame:
+    """Customers of a batch that have a month no later than the last one known; kept in
+    a folder of its own, because several steps ask for them."""
+    first = F.col("first_month")  # NULL if the batch has only undated rows of the customer
     at = lambda no_month, month: F.struct(no_month.alias("no_month"), month.alias("month_date"))
+    known = state.select(*cs.KEYS, F.col("last").alias("known"))
+    path = f"{root.rstrip('/')}_late"
+    (new_state.select(*cs.KEYS, "first_month").join(known, cs.KEYS)
+     .where(at(first.isNull(), first) <= at(F.col("known.no_month"), F.col("known.month_date")))
+     .select(*cs.KEYS).write.mode("overwrite").parquet(path))
+    return spark.read.parquet(path)
+
+
+def _difference(earlier: DataFrame, months: DataFrame, late: DataFrame) -> DataFrame:
+    """What the months of ``late`` customers add now less what they added before: from
+    one row per (customer, month) with the counts of earlier batches and of all."""
+    before = [f"old_{c}" for c in COUNTS]
+    zero = F.lit(0).cast("bigint")
+    rows = earlier.select(*cs.KEYS, "month_date", *COUNTS, *[F.col(c).alias(b) for c, b in zip(COUNTS, before)]).unionByName(
+        months.select(*cs.KEYS, "month_date", *COUNTS, *[zero.alias(b) for b in before]))
+    both = rows.join(late, cs.KEYS, "left_semi").groupBy(*cs.KEYS, "month_date").agg(
+        *[F.sum(c).alias(c) for c in COUNTS + before])
+    line = Window.partitionBy(*cs.KEYS).orderBy(asc_pg("month_date"))
+    had_rows = F.col("old_n_null") + F.col("old_n_false") + F.col("old_n_true") > 0
+    prev = F.lag(cs.status()).over(line)
+    # the month before among those that earlier batches had
+    old_prev = F.last(F.when(had_rows, cs.status(*before[1:])), ignorenulls=True).over(
+        line.rowsBetween(Window.unboundedPreceding, -1))
+    steps = both.select("month_date", *COUNTS, *before, _known(prev).alias("prev_last"), _known(old_prev).alias("old_prev_last"))
+    now, undone = growth.step_columns(*COUNTS, "prev_last"), growth.step_columns(*before, "old_prev_last")
+    return steps.select("month_date", *[(now[c] - F.when(had_rows, undone[c]).otherwise(0)).alias(c) for c in TOTALS])
+
+
+def _changes(spark: SparkSession, root: str, months: DataFrame, new_state: DataFrame, state: DataFrame, number: int,
+             buckets: int) -> list[DataFrame]:
     mine = months.join(state.select(*cs.KEYS, "last"), cs.KEYS, "left")
-    late_row = at(F.col("month_date").isNull(), F.col("month_date")) <= at(F.col("last.no_month"), F.col("last.month_date"))
-    late = mine.where(late_row).select(*cs.KEYS).distinct()
+    late = _late(spark, root, new_state, state)
     if late.isEmpty():  # history isn't opened
         return [growth.churn_totals(_steps(mine, F.col("last.status")))]
+    late = late.repartition(buckets, *cs.KEYS)  # the other side follows
     timely = mine.join(late, cs.KEYS, "left_anti")
-    earlier = (spark.read.parquet(_history(root)).where(F.col("batch") < number)
-               .select(*cs.KEYS, "month_date", *COUNTS).join(late, cs.KEYS, "left_semi"))
-    now = earlier.unionByName(months.select(*cs.KEYS, "month_date", *COUNTS).join(late, cs.KEYS, "left_semi"))
-    undone = _steps(_combined(earlier)).select("month_date", *[(-F.col(c)).alias(c) for c in TOTALS])
-    return [growth.churn_totals(x) for x in (_steps(timely, F.col("last.status")), _steps(_combined(now)), undone)]
+    earlier = spark.read.parquet(_history(root)).where(F.col("batch") < number)
+    return [growth.churn_totals(_steps(timely, F.col("last.status"))),
+            growth.churn_totals(_difference(earlier, months, late))]
 
 
 def start_churn(spark: SparkSession, base_path: str, root: str, checkpoint_path: str,
