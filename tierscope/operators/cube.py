@@ -9,7 +9,7 @@ M02, M03, M07, M08, M10, M11, M12 and M15, and the frames over them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.functions.expr import (asc_pg, cents, desc_pg, exact_sum, from_cents, money_avg, pct, plan_sort_key,
@@ -62,8 +62,11 @@ def _plans(cube: DataFrame) -> DataFrame:
     return cube.where("scope = 'plan' AND n_active > 0").withColumnRenamed("value", "plan")
 
 
-def _latest(cube: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("month_date") == _months(cube).select(F.max("month_date")).scalar())
+def _latest(cube: DataFrame) -> DataFrame:
+    """The cube's rows of its last month. The month comes from a window over the cube (one
+    row per month and value): a subquery would compute the cube once more."""
+    last = F.max(F.when(F.col("scope") == "month", F.col("month_date"))).over(Window.partitionBy())
+    return cube.withColumn("_last", last).where("month_date = _last").drop("_last")
 
 
 def monthly_metrics(cube: DataFrame) -> DataFrame:
@@ -91,22 +94,21 @@ def plan_distribution(cube: DataFrame) -> DataFrame:
 
 def breakdown_latest(cube: DataFrame, dimension: str) -> DataFrame:
     """M07 (``country``) and M08 (``industry``)."""
-    rows = _latest(cube, cube.where((F.col("scope") == dimension) & (F.col("n_active") > 0)))
+    rows = _latest(cube).where((F.col("scope") == dimension) & (F.col("n_active") > 0))
     return rows.select(F.col("value").alias(dimension), F.col("active_customers").alias("unique_customers"),
                        from_cents("arr").alias("total_arr")).orderBy(desc_pg("total_arr"), F.col(dimension))
 
 
 def latest_snapshot(cube: DataFrame) -> DataFrame:
-    """M10."""
-    months = _months(cube)
-    last = months.select(F.max("month_date")).scalar()
-    prev = months.where(F.col("month_date") < last).select(F.max("month_date")).scalar()
-    at = lambda month, c: F.max(F.when(F.col("month_date") == month, F.col(c)))
+    """M10. Months are ranked (one row each), so that the cube is computed once."""
+    months = _months(cube).where("month_date IS NOT NULL").withColumn(
+        "rank", F.dense_rank().over(Window.orderBy(F.col("month_date").desc())))
+    at = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
     return months.agg(
-        F.coalesce(at(last, "active_customers"), F.lit(0)).cast("bigint").alias("active_customers"),
-        from_cents(at(last, "arr")).alias("total_arr"),
-        F.coalesce(at(prev, "active_customers"), F.lit(0)).cast("bigint").alias("prev_active_customers"),
-        from_cents(at(prev, "arr")).alias("prev_arr"))
+        F.coalesce(at(1, "active_customers"), F.lit(0)).cast("bigint").alias("active_customers"),
+        from_cents(at(1, "arr")).alias("total_arr"),
+        F.coalesce(at(2, "active_customers"), F.lit(0)).cast("bigint").alias("prev_active_customers"),
+        from_cents(at(2, "arr")).alias("prev_arr"))
 
 
 def mau_metrics(cube: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def mau_metrics(cube: DataFrame) -> DataFrame:
 
 def inactive_rate_current(cube: DataFrame) -> DataFrame:
     """M12."""
-    return _latest(cube, _plans(cube)).select(
+    return _plans(_latest(cube)).select(
         "plan", F.col("n_active").alias("total_customers"), F.col("n_idle").alias("inactive_count"),
         pct("n_idle", "n_active").alias("pct_inactive")).orderBy(plan_sort_key())
 
