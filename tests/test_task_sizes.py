@@ -81,9 +81,15 @@ def test_feed_deals_the_state_by_the_rows(spark, monkeypatch):
 
 
 def test_bucket_has_one_file(spark):
-    root = root_dir()
-    cs.update_state(spark, root, table(spark, [row(i, "2023-01-31") for i in range(50)]).repartition(5), 2)
-    assert len(cs.read_state(spark, root).inputFiles()) == 2
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        root = root_dir()
+        cs.update_state(spark, root, table(spark, [row(i, "2023-01-31") for i in range(50)]), 3)
+        assert len(cs.read_state(spark, root).inputFiles()) == 3
+    finally:
+        spark.conf.set(key, before)
 
 
 @pytest.mark.parametrize("report", [cube.latest_snapshot, cube.inactive_rate_current,
