@@ -54,3 +54,36 @@ def test_query_equals_brute_force(spark, library):
         ids = library.encode_ordinary(r[1])
         want.add((r[0], len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode_bytes(ids))))
     assert got == want
+
+
+def test_texts_that_are_not_utf8():
+    """Numbering in columns keeps bytes that no string holds, and the order of first use."""
+    split = bpe.splitters(public_tokenizers.PATTERN)
+    texts = [b"", b"the \xff\xfe the", "the é 日".encode(), b"\xed\xa0\x80 a", b""]
+    distinct, numbers, sizes = bpe._numbered(texts, split)
+    words = distinct.to_pylist()
+    assert len(set(words)) == len(words)
+    at = 0
+    for t, n in zip(texts, sizes.tolist()):
+        assert b"".join(words[i] for i in numbers[at:at + n].tolist()) == t
+        at += n
+    firsts = list(dict.fromkeys(numbers.tolist()))
+    assert firsts == list(range(len(words)))
+
+
+@pytest.mark.parametrize("digests", [False, True])
+def test_texts_gathered_in_blocks(spark, library, monkeypatch, digests):
+    """Documents longer and shorter than a block, equal chunks among them."""
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 200)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aab é日\n 1's") for _ in range(rng.choice([0, 1, 5, 90]))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows], "doc_id bigint, text string").coalesce(1)
+    got = sorted(tuple(r) for r in bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, digests=digests).collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = library.encode_ordinary(t)
+        want.append((i, len(ids), *((sha(",".join(map(str, ids)).encode()), sha(t.encode())) if digests else (ids, t.encode()))))
+    assert got == sorted([*want, *want])

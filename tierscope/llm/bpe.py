@@ -22,7 +22,6 @@ import heapq
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from tierscope.llm.common import column, pack, shuffle_partitions, unpack
 
 CHUNK_BYTES = 8 << 20
+BLOCK_WORDS = 1 << 18  # pre-tokens whose bytes are gathered at a time, or one text's
 PLAIN_LIMIT = 0x240  # code points below it start with a byte under 0xC9 in UTF-8
 
 _WORDS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("payload", pa.binary())])
@@ -124,15 +124,32 @@ def _chunks(batches) -> Iterator[tuple[str, list, list[bytes]]]:
         yield name(), ids, texts
 
 
-def _numbered(texts: list[bytes], split) -> tuple[list[str], list[np.ndarray]]:
-    """Distinct pre-tokens in order of first use, and each text as their numbers."""
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    rows = []
+def _numbered(texts: list[bytes], split) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens in order of first use, all texts as their numbers, and
+    how many each text has."""
+    own = []
     for t in texts:
-        own = _pretokens(t, *split)
-        rows.append(np.fromiter(map(number.__getitem__, own), "<u4", len(own)))
-    return list(number), rows
+        words = _pretokens(t, *split)
+        try:
+            own.append(pa.array(words, pa.large_string()).cast(pa.large_binary()))
+        except UnicodeEncodeError:  # bytes that aren't UTF-8
+            own.append(pa.array([w.encode("utf-8", "surrogateescape") for w in words], pa.large_binary()))
+    coded = pa.concat_arrays(own).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype("<u4"), np.array([len(x) for x in own], "<u4")
+
+
+def _bytes_of(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a large_binary array end to end, and where each string begins (and the last one ends)."""
+    _, ends, data = strings.buffers()
+    ends = np.frombuffer(ends, np.int64, len(strings) + 1, 8 * strings.offset) if len(strings) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), ends
+
+
+def _joined(strings: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Neighbouring strings joined, ``counts`` of them at a time."""
+    data, ends = _bytes_of(strings)
+    at = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(data)])
 
 
 def _planes(numbers: np.ndarray) -> list[np.ndarray]:
@@ -160,14 +177,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     def send_words(batches):
         split = splitters(pattern)
         for chunk, _, texts in _chunks(batches):
-            distinct, _ = _numbered(texts, split)
-            dealt = [[] for _ in range(parts)]
-            raw = [w.encode("utf-8", "surrogateescape") for w in distinct]
-            for i, w in enumerate(raw):
-                dealt[zlib.crc32(w) % parts].append(i)
-            out = [(p, pack(np.array(own, "<u4"), np.array([len(raw[i]) for i in own], "<u4"),
-                             tail=b"".join([raw[i] for i in own])))
-                   for p, own in enumerate(dealt) if own]
+            distinct, _, _ = _numbered(texts, split)
+            of = np.array([zlib.crc32(w) % parts for w in distinct.to_pylist()], np.int64)
+            order = np.argsort(of, kind="stable")
+            data, at = _bytes_of(distinct.take(pa.array(order)))
+            sizes = np.diff(at).astype("<u4")
+            edges = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+            out = [(int(of[order[a]]), pack(order[a:b].astype("<u4"), sizes[a:b], tail=bytes(data[at[a]:at[b]])))
+                   for a, b in zip(edges.tolist(), edges[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * len(out)), pa.array([p for p, _ in out], pa.int32()),
                  pa.array([x for _, x in out], pa.binary())], schema=_WORDS)
@@ -196,9 +213,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     def send_texts(batches):
         split = splitters(pattern)
         for chunk, ids, texts in _chunks(batches):
-            distinct, numbered = _numbered(texts, split)
-            seq = np.concatenate(numbered)
-            sizes = np.array([len(r) for r in numbered], "<u4")
+            distinct, seq, sizes = _numbered(texts, split)
             tail = pa.array(ids, docs_id).to_pandas().isna().to_numpy()
             body = np.array([0 if i is None else i for i in ids], "<i8") if whole else None
             named = body.tobytes() if whole else "\0".join(map(str, ids)).encode()
@@ -218,55 +233,67 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         else [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
 
     def reassemble(batches):
-        table = {r: b for b, r in load_ranks(vocabulary).items()}  # token id to bytes
-        name, ids, data = None, {}, {}
+        table = {r: b for b, r in load_ranks(vocabulary).items()}
+        span = range(max(table, default=-1) + 1)
+        # bytes and decimal digits by token id
+        tables = (pa.array([table.get(r) for r in span], pa.large_binary()),
+                  pa.array([b"%d," % r for r in span], pa.large_binary()))
+        name, got, words = None, [], None
         for batch in batches:
             for chunk, k, payload in zip(column(batch, "chunk"), column(batch, "kind"),
                                          column(batch, "payload")):
                 if chunk != name:
-                    name, ids, data = chunk, {}, {}
+                    name, got, words = chunk, [], None
                 if k == 0:
-                    own, counts, flat, _ = unpack(payload, "<u4", "<u4", "<u4")
-                    flat, at = flat.tolist(), 0
-                    for i, c in zip(own.tolist(), counts.tolist()):
-                        x = flat[at:at + c]
-                        at += c
-                        data[i] = b"".join([table[t] for t in x])
-                        ids[i] = b",".join([b"%d" % t for t in x]) if digests else x
+                    got.append(unpack(payload, "<u4", "<u4", "<u4")[:3])
                     continue
                 sizes, *planes, n, tail = unpack(payload, "<u4", "u1", "u1", "u1", "u1", "<u4")
                 seq = np.stack(planes, 1).reshape(-1).view("<u4")
-                if len(ids) != int(n[0]):
-                    raise ValueError(f"the documents changed between two readings: {chunk} has {len(ids)} of {int(n[0])} pre-tokens")
-                lengths = np.array([(ids[i].count(b",") + 1) if digests else len(ids[i])
-                                    for i in range(len(ids))], np.int64)
-                yield from _documents(sizes, seq, tail, ids, data, lengths)
-
-    def _documents(sizes, seq, tail, ids, data, lengths):
+                if words is None:
+                    words, got = _words(got, tables), []
+                place = words[0]
+                if len(place) != int(n[0]) or (place < 0).any():
+                    raise ValueError(f"the documents changed between two readings: {chunk} has {(place >= 0).sum()} of {int(n[0])} pre-tokens")
+                yield from _documents(sizes, seq, tail, *words)
+
+    def _words(got, tables):
+        """Where each pre-token lies in the arrays that follow: its number of ids, its bytes,
+        and its ids as digits (each with a comma) or numbers."""
+        own, counts, flat = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, "<u4") for k in range(3))
+        place = np.full(int(own.max()) + 1 if len(own) else 0, -1)
+        place[own] = np.arange(len(own))
+        ids = (_joined(tables[1].take(pa.array(flat)), counts) if digests
+               else pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]),
+                                                  pa.array(flat.astype(np.int32))))
+        return place, counts.astype(np.int64), _joined(tables[0].take(pa.array(flat)), counts), ids
+
+    def _documents(sizes, seq, tail, place, counts, data, ids):
         n = len(sizes)
         cut = (n + 7) // 8
         null = np.unpackbits(np.frombuffer(tail[:cut], np.uint8), count=n).astype(bool)
         names = (np.frombuffer(tail[cut:], "<i8").tolist() if whole
                  else tail[cut:].decode().split("\0"))
-        counts = lengths[seq] if len(seq) else np.zeros(0, np.int64)
-        at, cols = 0, [[], [], [], []]
-        for j, s in enumerate(sizes.tolist()):
-            own = seq[at:at + s].tolist()
-            cols[0].append(None if null[j] else names[j])
-            cols[1].append(int(counts[at:at + s].sum()))
-            decoded = b"".join([data[i] for i in own])
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        a = 0
+        while a < n:
+            b = min(a + 1000, max(a + 1, int(np.searchsorted(at, at[a] + BLOCK_WORDS, "right")) - 1))
+            own = place[seq[at[a]:at[b]]]
+            edges = at[a:b + 1] - at[a]
+            tokens = np.concatenate([[0], np.cumsum(counts[own])])[edges]
+            raw, ends = _bytes_of(data.take(pa.array(own)))
+            raw = [raw[x:y] for x, y in zip(ends[edges[:-1]].tolist(), ends[edges[1:]].tolist())]
             if digests:
-                cols[2].append(hashlib.sha256(b",".join([ids[i] for i in own])).hexdigest())
-                cols[3].append(hashlib.sha256(decoded).hexdigest())
+                digits, ends = _bytes_of(ids.take(pa.array(own)))
+                first = [hashlib.sha256(digits[x:max(x, y - 1)]).hexdigest()
+                         for x, y in zip(ends[edges[:-1]].tolist(), ends[edges[1:]].tolist())]
+                second = [hashlib.sha256(x).hexdigest() for x in raw]
             else:
-                cols[2].append([t for i in own for t in ids[i]])
-                cols[3].append(decoded)
-            at += s
-            if len(cols[0]) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
-                cols = [[], [], [], []]
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
+                first = pa.ListArray.from_arrays(tokens.astype(np.int32), ids.take(pa.array(own)).flatten())
+                second = [bytes(x) for x in raw]
+            cols = ([None if null[j] else names[j] for j in range(a, b)], np.diff(tokens), first, second)
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
+            a = b
 
     sent = rows.mapInArrow(send_words, "chunk string, part int, payload binary")
     back = sent.repartition("part").mapInArrow(
