@@ -4,8 +4,11 @@ Documents are rows and 5-word shingles (64-bit hashes) are columns of an
 incidence matrix. Two documents link when ``100 * |A & B| >= 80 * |A | B|``.
 
 1. Candidate blocks. A link needs ``ceil(0.8 n)`` common shingles of either
-   document, so it shares one of the ``n - ceil(0.8 n) + 1`` smallest hashes of
-   both (the size-derived prefix). Only these columns are shuffled. Inside a
+   document, so in any one order of all shingles it shares one of the first
+   ``n - ceil(0.8 n) + 1`` of both (the size-derived prefix). The order is that of
+   the hashes, but shingles that were found often (``frequent``) come last, the
+   most frequent at the very end: a passage or line of many documents reaches a
+   prefix only where a document has little else. Only prefix columns are shuffled. Inside a
    column, documents are joined when their sizes allow a link and 128 one-bit
    min-hashes agree in at least ``AGREE`` places (a link at exactly 0.8 agrees in
    115 on average and misses this bound with a probability under 1e-7); a
@@ -23,6 +26,8 @@ between different texts are never thinned out, only not listed one by one.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,43 +42,141 @@ BLOCK = 512
 COLUMN_ROWS = 1 << 17  # entries of columns that meet in one task; more are split
 BITS, AGREE = 128, 94
 SLICE = 4096  # columns of the incidence matrix multiplied at a time
+CHUNK = 1 << 18  # bytes of text that are split and hashed at a time
+SHORT = 64  # bytes of the longest word that is hashed in numpy
+SEEN = 1 << 20, 3  # a shingle is frequent if so many (shingles, of documents one after the other) hold it so many times
+LATE = 1 << 18  # so many frequent shingles come last, at most
+SENT = 1 << 20  # prefix entries of a task that are packed at a time
+SMALL = 64  # columns of up to so many sketches are compared together
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ADD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 _ODD = (np.random.default_rng(7).integers(1, 1 << 63, BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]
     h = (h ^ (h >> np.uint64(27))) * _MIX[1]
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(raw: bytes | None, known: _Hashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; with fewer words the whole
-    sequence is one; without words none. Words are separated by blank, tab, line
+def _words(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of lowered bytes, which begin with one
+    blank and end with eight."""
+    blank = _BLANK[np.frombuffer(low, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    h = _mixed(length.astype(np.uint64) * _ADD)
+    on, k = np.arange(len(starts)), 0
+    while len(on) and k < SHORT:
+        v = eight[starts[on] + k] & _FIRST[np.minimum(length[on] - k, 8)]
+        h[on] = _mixed(h[on] ^ v)
+        k += 8
+        on = on[length[on] > k]
+    for i in on.tolist():
+        h[i] = xxhash.xxh64_intdigest(low[starts[i]:starts[i] + length[i]])
+    return starts, h
+
+
+def _follow(h: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return _mixed(h * _ADD + after)
+
+
+def _sets(raws: list[bytes], size: int) -> Iterator[np.ndarray]:
+    ends = np.cumsum([len(raw) + 1 for raw in raws]) + 1
+    starts, h = _words(b"".join([b" ", b" ".join(raws).translate(_LOWER), b" " * 8]))
+    at = np.concatenate([[0], np.searchsorted(starts, ends)])
+    first, n = at[:-1], np.diff(at)
+    out = h.copy()
+    whole = max(0, len(h) - size + 1)
+    for i in range(1, size):
+        out[:whole] = _follow(out[:whole], h[i:i + whole])
+    for k in range(1, size):
+        few = first[n == k]
+        if len(few):
+            one = h[few]
+            for i in range(1, k):
+                one = _follow(one, h[few + i])
+            out[few] = _mixed(one + np.uint64(k))
+    taken = np.repeat(at[1:], n) - np.arange(len(h)) >= size  # the last words of a text start no shingle
+    taken[first[(n > 0) & (n < size)]] = True
+    flat = out[taken]
+    cuts = np.concatenate([[0], np.cumsum(taken)])[at]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        flat[a:b].sort()
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])[:len(flat)]
+    new[cuts[:-1][n > 0]] = True
+    flat, cuts = flat[new], np.concatenate([[0], np.cumsum(new)])[cuts]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield flat[a:b]
+
+
+def shingles(raws: Iterable[bytes | None], size: int = WORDS) -> Iterator[np.ndarray]:
+    """For every text the sorted distinct hashes of its shingles; with fewer words the
+    whole sequence is one; without words none. Words are separated by blank, tab, line
     feed, vertical tab, form feed and carriage return; A-Z are lowered."""
-    own = (raw or b"").translate(_LOWER).split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-    k = min(size, len(own))
-    out = h[:len(h) - k + 1].copy()
-    for i in range(1, k):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i])
-    if k < size:
-        out = _mixed(out + np.uint64(k))
-    return np.unique(out)
+    held, n = [], 0
+    for raw in raws:
+        held.append(raw or b"")
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield from _sets(held, size)
+            held, n = [], 0
+    if held:
+        yield from _sets(held, size)
+
+
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[:len(a)])
+    return starts, np.diff(np.append(starts, len(a)))
+
+
+def often(sets: list[np.ndarray], times: int) -> bytes | None:
+    """Shingles that at least ``times`` of the sets hold, with their number of sets."""
+    flat = np.sort(np.concatenate(sets))
+    starts, sizes = _runs(flat)
+    many = sizes >= times
+    return pack(flat[starts[many]].astype("<u8"), sizes[many].astype("<i8")) if many.any() else None
+
+
+def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``LATE`` most frequent shingles of rows ``(often)``, sorted, and their
+    places in the order of all shingles, 1 and up (0 is any other shingle)."""
+
+    def entries(batches):
+        for batch in batches:
+            for payload in column(batch, "often"):
+                gram, sets, _ = unpack(payload, "<u8", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view("<i8")), pa.array(sets)], names=["gram", "sets"])
+
+    top = found.mapInArrow(entries, "gram bigint, sets bigint").groupBy("gram").agg(F.sum("sets").alias("sets")).orderBy(
+        F.desc("sets"), "gram").limit(LATE).select("gram").toArrow()
+    gram = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], (len(gram) - order).astype(np.int32)
+
+
+def prefixes(sets: list[np.ndarray], n: np.ndarray, percent: int, late: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of all sets, one after the other, and their lengths."""
+    size = n - -(-percent * n // 100) + 1
+    flat, ends = np.concatenate(sets), np.cumsum(n)
+    grams, places, maybe = late
+    place = np.zeros(len(flat), np.int32)
+    if len(grams):
+        at = np.flatnonzero(maybe[flat & np.uint64(len(maybe) - 1)])
+        where = np.minimum(np.searchsorted(grams, flat[at]), len(grams) - 1)
+        place[at] = np.where(grams[where] == flat[at], places[where], 0)
+    own = np.arange(len(flat)) - np.repeat(ends - n, n) < np.repeat(size, n)
+    moved = np.unique(np.searchsorted(ends, np.flatnonzero(own & (place > 0)), "right"))
+    for d in moved.tolist():
+        a, b = ends[d] - n[d], ends[d]
+        flat[a:b] = flat[a:b][np.argsort(place[a:b], kind="stable")]
+    return flat[own], size
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -96,48 +199,92 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return BITS - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def _forest(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of one column's candidates: every newly reached document
-    is compared with those not reached yet."""
+def _forest(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of one column's candidates, by their numbers: every newly reached
+    document is compared with those of fitting size not reached yet."""
     out = []
-    left = np.arange(len(ids))
+    left = np.argsort(n, kind="stable")
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             at = reached.pop()
-            ok = (_agree(sketch[left], sketch[at]) >= AGREE) & _sizes_allow(n[left], n[at], percent)
-            new = left[ok]
-            out += [(int(ids[at]), int(i)) for i in ids[new]]
-            reached += new.tolist()
-            left = left[~ok]
+            lo = np.searchsorted(n[left], -(-percent * n[at] // 100))
+            hi = np.searchsorted(n[left], 100 * n[at] // percent, "right")
+            near = left[lo:hi]
+            ok = _agree(sketch[near], sketch[at]) >= AGREE
+            if ok.any():
+                new = near[ok]
+                out += [(int(at), int(i)) for i in new]
+                reached += new.tolist()
+                left = np.delete(left, lo + np.flatnonzero(ok))
     return out
 
 
+def _lowest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``count`` nodes the lowest node that pairs ``(a, b)`` connect it with."""
+    low = np.arange(count)
+    while True:
+        at = np.minimum(low[a], low[b])
+        now = low.copy()
+        for end in (a, b):
+            np.minimum.at(now, low[end], at)  # roots hang on the lower root
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
+
+
 def _column_edges(gram, ids, n, sketch, percent) -> np.ndarray:
     """Candidate edges of all columns in one part."""
-    order = np.lexsort((ids, gram))
+    order = np.argsort(gram, kind="stable")
+    starts, sizes = _runs(gram[order])
+    order = order[np.repeat(sizes > 1, sizes)]
+    # equal sketches and sizes (copies above all) hang on the first of them
+    same = _mixed(_mixed(sketch[order, 0] + n[order].astype(np.uint64) * _ADD) ^ sketch[order, 1])
+    order = order[np.lexsort((ids[order], same, gram[order]))]
     gram, ids, n, sketch = gram[order], ids[order], n[order], sketch[order]
-    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(gram)]]))
-    two = starts[sizes == 2]
-    ok = (_agree(sketch[two], sketch[two + 1]) >= AGREE) & _sizes_allow(n[two], n[two + 1], percent)
-    edges = [np.stack([ids[two[ok]], ids[two[ok] + 1]], 1)]
-    for a, s in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        # equal sketches and sizes (copies above all) hang on the first of them
-        own = slice(a, a + s)
-        key = np.column_stack([sketch[own], n[own].astype(np.uint64)])
-        _, first, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
-        group = group.reshape(-1)
-        edges.append(np.stack([ids[own][first][group], ids[own]], 1))
-        if len(first) > 1:
-            found = _forest(ids[own][first], n[own][first], sketch[own][first], percent)
-            if found:
-                edges.append(np.array(found, np.int64))
+    equal = (gram[1:] == gram[:-1]) & (n[1:] == n[:-1]) & (sketch[1:] == sketch[:-1]).all(1)
+    starts = np.flatnonzero(np.concatenate([[True], ~equal])[:len(gram)])
+    edges = [np.stack([np.repeat(ids[starts], np.diff(np.append(starts, len(ids)))), ids], 1)]
+    gram, ids, n, sketch = gram[starts], ids[starts], n[starts], sketch[starts]
+    starts, sizes = _runs(gram)
+    a, b = [], []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        own = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        for at in range(0, len(own), max(1, (1 << 18) // len(i))):
+            some = own[at:at + max(1, (1 << 18) // len(i)), None]
+            x, y = (some + i).ravel(), (some + j).ravel()
+            ok = _sizes_allow(n[x], n[y], percent)
+            x, y = x[ok], y[ok]
+            ok = _agree(sketch[x], sketch[y]) >= AGREE
+            a.append(x[ok])
+            b.append(y[ok])
+    if a:
+        edges.append(np.stack([ids[_lowest(len(ids), np.concatenate(a), np.concatenate(b))], ids], 1))
+    for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        own = slice(at, at + size)
+        found = _forest(n[own], sketch[own], percent)
+        if found:
+            edges.append(ids[own][np.array(found)])
     e = np.concatenate(edges)
     e = np.sort(e[e[:, 0] != e[:, 1]], 1)
     return np.unique(e, axis=0) if len(e) else e
 
 
+def _pack_entries(gram, ids, n, marks) -> bytes:
+    """Entries of one part; hashes and sketches don't get smaller, so they aren't compressed."""
+    rest = pack(np.diff(ids, prepend=0).astype("<i8"), n.astype("<i4"))
+    return b"".join([len(gram).to_bytes(4, "little"), gram.astype("<u8").tobytes(), marks.astype("<u8").tobytes(), rest])
+
+
+def _unpack_entries(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    count = int.from_bytes(payload[:4], "little")
+    step, n, _ = unpack(payload[4 + 24 * count:], "<i8", "<i4")
+    return (np.frombuffer(payload, "<u8", count, 4), np.cumsum(step), n.astype(np.int64),
+            np.frombuffer(payload, "<u8", 2 * count, 4 + 8 * count).reshape(-1, 2))
+
+
 def _pairs(e: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())],
                                       names=["a", "b"])
@@ -151,10 +298,10 @@ def split_columns(packed: DataFrame, percent: int, limit: int) -> DataFrame:
     def entries(batches):
         for batch in batches:
             for payload in column(batch, "payload"):
-                gram, step, n, marks, _ = unpack(payload, "<u8", "<i8", "<i4", "<u8")
-                marks = np.ascontiguousarray(marks.reshape(-1, 2).T).view(np.int64)
+                gram, ids, n, marks = _unpack_entries(payload)
+                marks = np.ascontiguousarray(marks.T).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view("<i8")), pa.array(np.cumsum(step)), pa.array(n),
+                    [pa.array(gram.view("<i8")), pa.array(ids), pa.array(n.astype(np.int32)),
                      pa.array(marks[0]), pa.array(marks[1])], names=["gram", "doc_id", "n", "s0", "s1"])
 
     single = packed.mapInArrow(entries, "gram bigint, doc_id bigint, n int, s0 bigint, s1 bigint")
@@ -190,51 +337,54 @@ def split_columns(packed: DataFrame, percent: int, limit: int) -> DataFrame:
             .mapInArrow(meet, "a bigint, b bigint"))
 
 
-def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int = COLUMN_ROWS) -> DataFrame:
+def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int = COLUMN_ROWS,
+               late: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int32))) -> DataFrame:
     """Candidate edges ``(a, b)`` from rows ``(doc_id, raw)``. Columns are dealt
-    into ``parts``; those of a part with more than ``limit`` entries are split."""
+    into ``parts``; those of a part with more than ``limit`` entries are split.
+    ``late`` is what ``frequent`` gives."""
 
     def send(batches):
-        known = _Hashes()
+        maybe = np.zeros(1 << 22, bool)  # which last bits the late shingles have
+        maybe[late[0] & np.uint64(len(maybe) - 1)] = True
+        held, ids, sets = [], [], []
+
+        def taken():
+            n = np.array([len(s) for s in sets], np.int64)
+            gram, length = prefixes(sets, n, percent, (*late, maybe))
+            own = np.array(ids, np.int64), n, sketches(sets)
+            ids.clear()
+            sets.clear()
+            return gram, *[np.repeat(x, length, axis=0) for x in own]
+
+        def packed():
+            gram, ids, n, marks = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            of = (_mixed(gram) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            order = np.argsort(of, kind="stable")
+            starts, sizes = _runs(of[order])
+            dealt_out = np.split(order, starts[1:])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(of[order[starts]].astype(np.int32)), pa.array(sizes),
+                 pa.array([_pack_entries(gram[o], ids[o], n[o], marks[o]) for o in dealt_out], pa.binary())],
+                names=["part", "entries", "payload"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids, sets = [], []
-                for i, raw in zip(column(part, "doc_id"), column(part, "raw")):
-                    s = shingles(raw, known, size)
-                    if len(s):
-                        ids.append(i)
-                        sets.append(s)
-                if not ids:
-                    continue
-                marks = sketches(sets)
-                n = np.array([len(s) for s in sets], np.int64)
-                prefix = n - -(-percent * n // 100) + 1
-                gram = np.concatenate([s[:p] for s, p in zip(sets, prefix.tolist())])
-                owner = np.repeat(np.arange(len(ids)), prefix)
-                ids = np.array(ids, np.int64)
-                of = (_mixed(gram) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                cuts = np.flatnonzero(np.diff(of[order])) + 1
-                dealt_out = np.split(order, cuts)
-                out = []
-                for o in dealt_out:
-                    w = owner[o]
-                    out.append(pack(gram[o].astype("<u8"), np.diff(ids[w], prepend=0).astype("<i8"),
-                                    n[w].astype("<i4"), marks[w].astype("<u8")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(of[o[0]]) for o in dealt_out], pa.int32()),
-                     pa.array([len(o) for o in dealt_out], pa.int64()), pa.array(out, pa.binary())],
-                    names=["part", "entries", "payload"])
+            for i, s in zip(column(batch, "doc_id"), shingles(column(batch, "raw"), size)):
+                if len(s):
+                    ids.append(i)
+                    sets.append(s)
+                if len(sets) >= 500:
+                    held.append(taken())
+                    if sum(len(x[0]) for x in held) >= SENT:
+                        yield packed()
+        if sets:
+            held.append(taken())
+        if held:
+            yield packed()
 
     def meet(batches):
         for _, payloads in by_part(batches):
-            got = [unpack(p, "<u8", "<i8", "<i4", "<u8") for p in payloads]
-            e = _column_edges(np.concatenate([g[0] for g in got]),
-                              np.concatenate([np.cumsum(g[1]) for g in got]),
-                              np.concatenate([g[2] for g in got]).astype(np.int64),
-                              np.concatenate([g[3].reshape(-1, 2) for g in got]), percent)
-            yield _pairs(e)
+            yield _pairs(_column_edges(*(np.concatenate(x) for x in zip(*map(_unpack_entries, payloads))), percent))
 
     packed = stored(rows.mapInArrow(send, "part int, entries bigint, payload binary"))
     crowded = packed.groupBy("part").agg(F.sum("entries").alias("n")).where(F.col("n") > limit).select("part")
@@ -316,8 +466,6 @@ def family_links(rows: DataFrame, percent: int, size: int) -> DataFrame:
                        (F.col("own") > F.col("other")).alias("second"), "doc_id", "raw")
 
     def multiply(batches):
-        known = _Hashes()
-
         def product(key, held):
             _, i, j = key
             sides = [[h for h in held if not h[0]], [h for h in held if h[0]]]
@@ -331,12 +479,12 @@ def family_links(rows: DataFrame, percent: int, size: int) -> DataFrame:
 
         now, held, out = None, [], []
         for batch in batches:
-            for f, i, j, second, doc, raw in zip(*(column(batch, c) for c in (
-                    "family", "i", "j", "second", "doc_id", "raw"))):
+            for f, i, j, second, doc, own in zip(*(column(batch, c) for c in (
+                    "family", "i", "j", "second", "doc_id")), shingles(column(batch, "raw"), size)):
                 if (f, i, j) != now:
                     out += product(now, held) if len(held) > 1 else []
                     now, held = (f, i, j), []
-                held.append((second, doc, shingles(raw, known, size)))
+                held.append((second, doc, own))
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -364,22 +512,38 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLO
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
     def count(batches):
-        known = _Hashes()
+        held, n = [], 0
         for batch in batches:
-            sets = [shingles(raw, known, size) for raw in column(batch, "raw")]
+            sets = list(shingles(column(batch, "raw"), size))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "same"])
-
-    counted = stored(rows.mapInArrow(count, "doc_id bigint, n_shingles bigint, same binary"))
+                 pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.nulls(len(sets), pa.binary())], names=["doc_id", "n_shingles", "same", "often"])
+            for s in sets:
+                held.append(s)
+                n += len(s)
+                if n >= SEEN[0]:
+                    yield found(held)
+                    held, n = [], 0
+        if held:
+            yield found(held)
+
+    def found(sets):
+        payload = [p for p in [often(sets, SEEN[1])] if p]
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(payload), pa.int64()), pa.nulls(len(payload), pa.int64()), pa.nulls(len(payload), pa.binary()),
+             pa.array(payload, pa.binary())], names=["doc_id", "n_shingles", "same", "often"])
+
+    counted = stored(rows.mapInArrow(count, "doc_id bigint, n_shingles bigint, same binary, often binary"))
+    late = frequent(counted.where("often is not null").select("often"))
+    counted = counted.where("often is null").select("doc_id", "n_shingles", "same")
     named = counted.where("doc_id is not null and n_shingles > 0")
     copies = named.groupBy("same").agg(F.min("doc_id").alias("first"))
     copied = named.join(copies, "same").select("doc_id", "first")
-    found = connected_components(candidates(
-        rows.where("doc_id is not null"), percent, size, 8 * shuffle_partitions(docs.sparkSession), column_rows))
+    near = connected_components(candidates(
+        rows.where("doc_id is not null"), percent, size, 8 * shuffle_partitions(docs.sparkSession), column_rows, late))
     # one document of each set of copies stands for them in the products
-    stands = found.join(copies, F.col("node") == F.col("first"), "left_semi")
+    stands = near.join(copies, F.col("node") == F.col("first"), "left_semi")
     families = stored(stands.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"))
     blocks = F.ceil(F.col("members") / block).cast("int")
     needed = stands.join(families, "component").select(
