@@ -42,10 +42,10 @@ BLOCK = 512
 COLUMN_ROWS = 1 << 17  # entries of columns that meet in one task; more are split
 BITS, AGREE = 128, 94
 SLICE = 4096  # columns of the incidence matrix multiplied at a time
-CHUNK = 1 << 18  # bytes of text that are split and hashed at a time
+CHUNK = 1 << 18  # bytes of text that are hashed, and shingles that are sketched, at a time
 SHORT = 64  # bytes of the longest word that is hashed in numpy
 SEEN = 1 << 20, 3  # a shingle is frequent if so many (shingles, of documents one after the other) hold it so many times
-LATE = 1 << 18  # so many frequent shingles come last, at most
+TOLD, LATE = 1 << 13, 1 << 18  # so many such shingles are reported at a time, and come last, at most
 SENT = 1 << 20  # prefix entries of a task that are packed at a time
 SMALL = 64  # columns of up to so many sketches are compared together
 
@@ -137,15 +137,19 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def often(sets: list[np.ndarray], times: int) -> bytes | None:
-    """Shingles that at least ``times`` of the sets hold, with their number of sets."""
+    """Shingles that at least ``times`` of the sets hold, with their number of sets; if
+    more than ``TOLD`` do, those that most hold, of equals those that come first."""
     flat = np.sort(np.concatenate(sets))
     starts, sizes = _runs(flat)
-    many = sizes >= times
-    return pack(flat[starts[many]].astype("<u8"), sizes[many].astype("<i8")) if many.any() else None
+    gram, sizes = flat[starts[sizes >= times]], sizes[sizes >= times]
+    if len(gram) > TOLD:
+        most = np.sort(np.argsort(-sizes, kind="stable")[:TOLD])
+        gram, sizes = gram[most], sizes[most]
+    return pack(gram.astype("<u8"), sizes.astype("<i8")) if len(gram) else None
 
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ``LATE`` most frequent shingles of rows ``(often)``, sorted, and their
+    """The most frequent shingles of rows ``(often)``, ``LATE`` at most, sorted, and their
     places in the order of all shingles, 1 and up (0 is any other shingle)."""
 
     def entries(batches):
@@ -154,11 +158,20 @@ def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 gram, sets, _ = unpack(payload, "<u8", "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view("<i8")), pa.array(sets)], names=["gram", "sets"])
 
-    top = found.mapInArrow(entries, "gram bigint, sets bigint").groupBy("gram").agg(F.sum("sets").alias("sets")).orderBy(
-        F.desc("sets"), "gram").limit(LATE).select("gram").toArrow()
+    summed = stored(found.mapInArrow(entries, "gram bigint, sets bigint").groupBy("gram").agg(
+        F.sum("sets").alias("sets"), F.floor(8 * F.log2(F.sum("sets"))).alias("level")))
+    least, many = None, 0
+    for level, count in sorted(summed.groupBy("level").count().collect(), reverse=True):  # 8 levels for each power of 2
+        many += count
+        if many > LATE:
+            break
+        least = level
+    top = summed.where(F.col("level") >= F.lit(least)).select("gram", "sets").toArrow()
     gram = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
-    return gram[order], (len(gram) - order).astype(np.int32)
+    place = np.empty(len(gram), np.int32)
+    place[np.lexsort((gram, top.column("sets").to_numpy()))] = np.arange(1, len(gram) + 1)
+    return gram[order], place[order]
 
 
 def prefixes(sets: list[np.ndarray], n: np.ndarray, percent: int, late: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +359,7 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int
     def send(batches):
         maybe = np.zeros(1 << 22, bool)  # which last bits the late shingles have
         maybe[late[0] & np.uint64(len(maybe) - 1)] = True
-        held, ids, sets = [], [], []
+        held, ids, sets, total = [], [], [], 0
 
         def taken():
             n = np.array([len(s) for s in sets], np.int64)
@@ -373,8 +386,10 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int
                 if len(s):
                     ids.append(i)
                     sets.append(s)
-                if len(sets) >= 500:
+                    total += len(s)
+                if total >= CHUNK:
                     held.append(taken())
+                    total = 0
                     if sum(len(x[0]) for x in held) >= SENT:
                         yield packed()
         if sets:
@@ -514,17 +529,19 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS, block: int = BLO
     def count(batches):
         held, n = [], 0
         for batch in batches:
-            sets = list(shingles(column(batch, "raw"), size))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.nulls(len(sets), pa.binary())], names=["doc_id", "n_shingles", "same", "often"])
-            for s in sets:
-                held.append(s)
-                n += len(s)
+            counts, digests = [], []
+            for s in shingles(column(batch, "raw"), size):
+                counts.append(len(s))
+                digests.append(xxhash.xxh128_digest(s.tobytes()))
+                if len(s):
+                    held.append(s)
+                    n += len(s)
                 if n >= SEEN[0]:
                     yield found(held)
                     held, n = [], 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.nulls(len(counts), pa.binary())], names=["doc_id", "n_shingles", "same", "often"])
         if held:
             yield found(held)
 
