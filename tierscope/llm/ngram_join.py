@@ -46,7 +46,7 @@ CHUNK = 1 << 18  # bytes of text that are hashed, and shingles that are sketched
 SHORT = 64  # bytes of the longest word that is hashed in numpy
 SEEN = 1 << 20, 3  # a shingle is frequent if so many (shingles, of documents one after the other) hold it so many times
 TOLD, LATE = 1 << 13, 1 << 18  # so many such shingles are reported at a time, and come last, at most
-SENT = 1 << 20  # prefix entries of a task that are packed at a time
+SENT = 1 << 19  # prefix entries of a task that are packed at a time
 SMALL = 64  # columns of up to so many sketches are compared together
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -376,10 +376,12 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int
             order = np.argsort(of, kind="stable")
             starts, sizes = _runs(of[order])
             dealt_out = np.split(order, starts[1:])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(of[order[starts]].astype(np.int32)), pa.array(sizes),
-                 pa.array([_pack_entries(gram[o], ids[o], n[o], marks[o]) for o in dealt_out], pa.binary())],
-                names=["part", "entries", "payload"])
+            for at in range(0, len(dealt_out), 64):  # small batches, for the memory of the JVM
+                some = dealt_out[at:at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(of[o[0]]) for o in some], pa.int32()), pa.array(sizes[at:at + 64]),
+                     pa.array([_pack_entries(gram[o], ids[o], n[o], marks[o]) for o in some], pa.binary())],
+                    names=["part", "entries", "payload"])
 
         for batch in batches:
             for i, s in zip(column(batch, "doc_id"), shingles(column(batch, "raw"), size)):
@@ -391,11 +393,11 @@ def candidates(rows: DataFrame, percent: int, size: int, parts: int, limit: int
                     held.append(taken())
                     total = 0
                     if sum(len(x[0]) for x in held) >= SENT:
-                        yield packed()
+                        yield from packed()
         if sets:
             held.append(taken())
         if held:
-            yield packed()
+            yield from packed()
 
     def meet(batches):
         for _, payloads in by_part(batches):
